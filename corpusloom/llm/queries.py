@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_lexicon, packing, quality_crf
+from . import bpe_lexicon, line_dedup, packing, quality_crf, secret_scan, toxicity
 from .common import load
 
 
@@ -21,18 +22,57 @@ def op1_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.rate(docs, quality_crf.fit(docs, load(spark, sf_dir, "labels")))
 
 
+def op3_line_cuckoo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(load(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_lexicon.round_trip(load(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(load(spark, sf_dir, "documents")))
+
+
 def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def fold_of(column: str = "doc_id"):
+    """Remainder by 5 of the CRC-32 of an id as text: rows with 0 are held out."""
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(5))
+
+
+def op10_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, load(spark, sf_dir, "labels"), where=fold_of() != 0)
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (fold_of() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_lines": op1_quality_lines,
+    "op3_line_cuckoo": op3_line_cuckoo,
     "op6_bpe_lexicon": op6_bpe_lexicon,
+    "op7_linked_secrets": op7_linked_secrets,
     "op8_best_two_fit": op8_best_two_fit,
+    "op10_string_kernel": op10_string_kernel,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_cuckoo": r"""
+        WITH line AS (
+          SELECT doc_id, u.k, u.line,
+                 lower_ascii.t AS key
+          FROM documents d,
+               LATERAL (SELECT unnest(string_split(coalesce(d.text, ''), chr(10))) AS line,
+                               generate_subscripts(string_split(coalesce(d.text, ''), chr(10)), 1) AS k) u,
+               LATERAL (SELECT translate(trim(u.line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)),
+                                         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t) lower_ascii),
+        hot AS (SELECT key FROM line WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+        SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines,
+               CAST(count(*) FILTER (WHERE key IN (SELECT key FROM hot)) AS BIGINT) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE key NOT IN (SELECT key FROM hot)), '')) AS kept_sha256
+        FROM line GROUP BY doc_id""",
+}
