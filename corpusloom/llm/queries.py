@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_lexicon, line_dedup, packing, quality_crf, secret_scan, toxicity
+from . import bpe_lexicon, hnsw, license_scan, line_dedup, packing, quality_crf, secret_scan, toxicity
 from .common import load
 
 
@@ -22,6 +22,14 @@ def op1_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.rate(docs, quality_crf.fit(docs, load(spark, sf_dir, "labels")))
 
 
+def op2_hnsw_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op4_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(load(spark, sf_dir, "documents"))
+
+
 def op3_line_cuckoo(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup(load(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -53,7 +61,9 @@ def op10_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_lines": op1_quality_lines,
+    "op2_hnsw_shards": op2_hnsw_shards,
     "op3_line_cuckoo": op3_line_cuckoo,
+    "op4_license_dice": op4_license_dice,
     "op6_bpe_lexicon": op6_bpe_lexicon,
     "op7_linked_secrets": op7_linked_secrets,
     "op8_best_two_fit": op8_best_two_fit,
@@ -61,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_license_dice": license_scan.oracle_sql(),
     "op3_line_cuckoo": r"""
         WITH line AS (
           SELECT doc_id, u.k, u.line,
