@@ -117,7 +117,8 @@ def id_bloom(ids: DataFrame, column: str, bits: int = 1 << 25) -> bytes:
 
     A wrong hit only costs a row that a later exact join drops."""
     words = bits // 64
-    found = ids.select(F.pmod(F.xxhash64(column), F.lit(bits)).alias("b")).select((F.col("b") / 64).cast("long").alias("w"), F.shiftleft(F.lit(1).cast("long"), F.pmod("b", F.lit(64)).cast("int")).alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+    at = ids.select(F.pmod(F.xxhash64(column), F.lit(bits)).alias("b"))
+    found = at.selectExpr("shiftright(b, 6) as w", "shiftleft(1L, cast(pmod(b, 64) as int)) as m").groupBy("w").agg(F.bit_or("m").alias("m"))
     out = np.zeros(words, dtype=np.int64)
     for batch in found.toLocalIterator(prefetchPartitions=True):
         out[batch["w"]] = batch["m"]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_lexicon, hnsw, license_scan, line_dedup, packing, quality_crf, secret_scan, toxicity
+from . import bpe_lexicon, hnsw, jaccard_join, license_scan, line_dedup, packing, quality_crf, secret_scan, toxicity
 from .common import load
 
 
@@ -35,6 +35,10 @@ def op3_line_cuckoo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_jaccard_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(load(spark, sf_dir, "documents"))
+
+
 def op6_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_lexicon.round_trip(load(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hnsw_shards": op2_hnsw_shards,
     "op3_line_cuckoo": op3_line_cuckoo,
     "op4_license_dice": op4_license_dice,
+    "op5_jaccard_product": op5_jaccard_product,
     "op6_bpe_lexicon": op6_bpe_lexicon,
     "op7_linked_secrets": op7_linked_secrets,
     "op8_best_two_fit": op8_best_two_fit,
@@ -71,6 +76,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_jaccard_product": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * n_both >= 75 * (x.n + y.n - n_both)),
+        reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other)
+        SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.other) AS component_id
+        FROM reach r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
     "op4_license_dice": license_scan.oracle_sql(),
     "op3_line_cuckoo": r"""
         WITH line AS (
