@@ -36,7 +36,7 @@ CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 PIECE = regex.compile(PATTERN.replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]").replace(f"[^[{WHITE}]", f"[^{WHITE}"))
 
 LEXICON_WORDS = 1 << 16
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -54,35 +54,39 @@ class Merges:
             spec = json.load(f)
         vocab, alphabet = spec["model"]["vocab"], byte_alphabet()
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.first = [0] * 256
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.first, self.last = [0] * 256, [0] * 256  # of a byte within a word and at its end
         for c, b in alphabet.items():
-            self.first[b] = vocab[c]
+            self.first[b], self.last[b] = vocab[c], vocab[c + suffix]
         self.size = max([*vocab.values(), *self.special.values()]) + 1
         self.rank: dict[int, int] = {}
         self.made: list[int] = []
         for k, (a, b) in enumerate(x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"]):
             self.rank.setdefault(vocab[a] * self.size + vocab[b], k)
-            self.made.append(vocab[a + b])
+            self.made.append(vocab[(a.removesuffix(suffix) if suffix else a) + b])
         self.token = [b""] * self.size
+        self.decimal = list(map(str, range(self.size)))
         for s, i in vocab.items():
-            self.token[i] = bytes(alphabet[c] for c in s)
+            self.token[i] = bytes(alphabet[c] for c in (s.removesuffix(suffix) if suffix else s))
         for s, i in self.special.items():
             self.token[i] = s.encode()
 
     def merge(self, word: bytes) -> list[int]:
         ids = [self.first[b] for b in word]
+        if word:
+            ids[-1] = self.last[word[-1]]
         if len(ids) > 48:
             return self._merge_long(ids)
-        rank, size, none = self.rank, self.size, len(self.made)
-        while len(ids) > 1:
-            best, at = none, -1
-            for k in range(len(ids) - 1):
-                r = rank.get(ids[k] * size + ids[k + 1], none)
-                if r < best:
-                    best, at = r, k
-            if at < 0:
-                break
-            ids[at : at + 2] = [self.made[best]]
+        get, size, none, made = self.rank.get, self.size, len(self.made), self.made
+        ranks = [get(a * size + b, none) for a, b in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) < none:
+            at = ranks.index(best)
+            ids[at] = new = made[best]
+            del ids[at + 1], ranks[at]
+            if at:
+                ranks[at - 1] = get(ids[at - 1] * size + new, none)
+            if at < len(ranks):
+                ranks[at] = get(new * size + ids[at + 1], none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -204,7 +208,9 @@ class _Cache(dict):
         self.lexicon, self.merges, self.most = lexicon, merges, most
 
     def __missing__(self, chunk: str) -> bytes:
-        if (out := self.lexicon.find(chunk.encode())) is None:
+        if chunk[-1] in ".,!" and chunk[:-1].strip(" ").isalpha() and chunk[:-1].isascii():  # the pattern parts these
+            out = self[chunk[:-1]] + self[chunk[-1]]
+        elif (out := self.lexicon.find(chunk.encode())) is None:
             out = array("I", self.merges.pieces(chunk)).tobytes()
         if len(chunk) <= 64:
             if len(self) >= self.most:
@@ -309,8 +315,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def digests(codec: Codec, text: str | None) -> tuple[int, str, str]:
     """Token count, hash of the ids and hash of the text decoded from them."""
-    ids = codec.encode(text)
-    listed = ",".join(map(str, ids))
+    ids = codec.encode(text).tolist()
+    listed = ",".join(map(codec.merges.decimal.__getitem__, ids))
     return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import math
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -21,17 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .bpe_lexicon import Merges
 
 CAPACITY = 4096
 SHARD_ROWS = 20_000
-CACHE_WORDS = 400_000
-
-#: Beyond these characters a word goes to the tokenizer as it stands: lower-casing there is the library's own.
-_PLAIN = "".join(map(chr, range(0x250)))
-
+CACHE_WORDS = 1_000_000
 
 class _Cache(dict):
-    """Blank-free chunk to the bytes of its ids; words are independent, as this tokenizer drops white space."""
+    """Blank-free chunk to the bytes of its ids; words are independent, as this tokenizer drops white space.
+
+    Lower-case Latin words, with a full stop or comma after them, are merged here; all else goes to the library."""
 
     def __init__(self, path: str, most: int):
         from tokenizers import Tokenizer
@@ -39,11 +39,17 @@ class _Cache(dict):
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merges = Merges(path)
         with open(path, encoding="utf-8") as f:
             self.special = [x["content"] for x in json.load(f)["added_tokens"]]
 
     def __missing__(self, word: str) -> bytes:
-        out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if word[-1] in ".," and word[:-1].isalpha() and word[-2] < "İ":
+            out = self[word[:-1]] + self[word[-1]]
+        elif word.isalpha() and max(word) < "İ" and word.islower():
+            out = array("I", self.merges.merge(word.encode())).tobytes()
+        else:
+            out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(word) <= 64:
             if len(self) >= self.most:
                 self.clear()
