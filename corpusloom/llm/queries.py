@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_lexicon, hnsw, jaccard_join, license_scan, line_dedup, packing, quality_crf, secret_scan, toxicity
+from . import bpe_lexicon, hnsw, jaccard_join, license_scan, line_dedup, packing, quality_crf, secret_scan, suffix_dedup, toxicity
 from .common import load
 
 
@@ -51,6 +51,11 @@ def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op9_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup(load(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def fold_of(column: str = "doc_id"):
     """Remainder by 5 of the CRC-32 of an id as text: rows with 0 are held out."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(5))
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe_lexicon": op6_bpe_lexicon,
     "op7_linked_secrets": op7_linked_secrets,
     "op8_best_two_fit": op8_best_two_fit,
+    "op9_previous_factors": op9_previous_factors,
     "op10_string_kernel": op10_string_kernel,
 }
 
