@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-M, EF_BUILD, EF_SEARCH = 16, 96, 160
+M, EF_BUILD, EF_SEARCH = 16, 64, 112
 SHARD_ROWS = 2048
 QUERY_BLOCK = 128
 

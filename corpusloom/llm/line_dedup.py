@@ -17,6 +17,7 @@ documents of their own; a null doc_id counts, but is never the first document.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -215,24 +216,28 @@ def drop_lines(text: str | None, gone, doc_id: int | None, keep_first: bool) ->
     return len(lines), len(lines) - len(kept), b"\n".join(kept).decode()
 
 
-FIELDS = "doc_id long, n_lines long, n_dropped long, text string"
+FIELDS = "n_lines long, n_dropped long, text string"
+
+
+def _kept(ids: pd.Series, texts: pd.Series, gone, keep_first: bool) -> pd.DataFrame:
+    rows = [drop_lines(t, g, None if pd.isna(i) else int(i), keep_first) for i, t, g in zip(ids, texts, gone)]
+    return pd.DataFrame(rows, columns=["n_lines", "n_dropped", "text"])
 
 
 def _apply_broadcast(docs: DataFrame, found: DataFrame, shards: int, keep_first: bool) -> DataFrame:
     rows = [(r["shard"], bytes(r["cuckoo"]), bytes(r["h1s"]), bytes(r["h2s"]), bytes(r["firsts"])) for r in found.collect()]
     shared = docs.sparkSession.sparkContext.broadcast(rows)
 
-    def run(batches):
+    @F.pandas_udf(FIELDS)
+    def kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         lookup = Lookup(shared.value, shards)
-        for b in batches:
-            ids = [None if pd.isna(i) else int(i) for i in b["doc_id"]]
-            distinct = list({hash_key(k) for t in b["text"] for k in keys_of(t)[1] if k})
+        for ids, texts in batches:
+            distinct = list({hash_key(k) for t in texts for k in keys_of(t)[1] if k})
             hit = lookup.find(np.frombuffer(b"".join(distinct), "<i8").reshape(-1, 2))
             gone = {distinct[k]: first for k, first in hit.items()}
-            out = [(i, *drop_lines(t, gone, i, keep_first)) for i, t in zip(ids, b["text"])]
-            yield pd.DataFrame(out, columns=["doc_id", "n_lines", "n_dropped", "text"])
+            yield _kept(ids, texts, [gone] * len(ids), keep_first)
 
-    return docs.mapInPandas(run, FIELDS)
+    return docs.withColumn("_kept", kept("doc_id", "text"))
 
 
 def _apply_shuffled(docs: DataFrame, found: DataFrame, shards: int, keep_first: bool) -> DataFrame:
@@ -240,7 +245,7 @@ def _apply_shuffled(docs: DataFrame, found: DataFrame, shards: int, keep_first:
 
     Hot keys don't gather: the lines' side of the join is split by Spark's skew handling, and a text's dropped keys
     are no more than its own lines."""
-    named = docs.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
+    named = docs.withColumns({"_t1": F.coalesce(F.xxhash64("text"), F.lit(0)), "_t2": F.xxhash64(F.lit(1), "text")})
 
     def lines(batches):
         for b in batches:
@@ -253,27 +258,27 @@ def _apply_shuffled(docs: DataFrame, found: DataFrame, shards: int, keep_first:
                 yield pd.DataFrame({"h1": np.frombuffer(h1, "<i8"), "h2": np.frombuffer(h2, "<i8"), "first_doc": np.frombuffer(first, "<i8")})
 
     keys = found.mapInPandas(exact, "h1 long, h2 long, first_doc long")
-    each = named.select("t1", "t2", "text").dropDuplicates(["t1", "t2"]).mapInPandas(lines, "t1 long, t2 long, h1 long, h2 long")
-    gone = each.join(keys, ["h1", "h2"]).groupBy("t1", "t2").agg(F.collect_list(F.struct("h1", "h2", "first_doc")).alias("gone"))
+    each = named.select(F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), "text").dropDuplicates(["t1", "t2"]).mapInPandas(lines, "t1 long, t2 long, h1 long, h2 long")
+    gone = each.join(keys, ["h1", "h2"]).groupBy(F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).agg(F.collect_list(F.struct("h1", "h2", "first_doc")).alias("_gone"))
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for i, t, g in zip(b["doc_id"], b["text"], b["gone"]):
-                i = None if pd.isna(i) else int(i)
-                at = {np.array([x["h1"], x["h2"]], "<i8").tobytes(): x["first_doc"] for x in (g if g is not None else ())}
-                out.append((i, *drop_lines(t, at, i, keep_first)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_lines", "n_dropped", "text"])
+    @F.pandas_udf(FIELDS)
+    def kept(ids: pd.Series, texts: pd.Series, listed: pd.Series) -> pd.DataFrame:
+        at = [{np.array([x["h1"], x["h2"]], "<i8").tobytes(): x["first_doc"] for x in (g if g is not None else ())} for g in listed]
+        return _kept(ids, texts, at, keep_first)
 
-    return named.join(gone, ["t1", "t2"], "left").select("doc_id", "text", "gone").mapInPandas(run, FIELDS)
+    return named.join(gone, ["_t1", "_t2"], "left").withColumn("_kept", kept("doc_id", "text", "_gone")).drop("_t1", "_t2", "_gone")
 
 
-def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = False, table: DataFrame | None = None, shards: int = SHARDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """doc_id, n_lines, n_dropped and the text left of every document.
+def with_kept(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = False, table: DataFrame | None = None, shards: int = SHARDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows as they are, all columns, with a column _kept: n_lines, n_dropped and the text left.
 
     Keys of at least min_docs documents lose all their lines, or all but the first in their first document where
     keep_first is set.  table is a reference-count table kept from before; by default it is counted here."""
-    docs = C.docs_of(docs)
     found = C.stash(filters(refcounts(docs) if table is None else table, min_docs, shards))
     size = found.agg(F.sum(F.length("cuckoo") + F.length("h1s") + F.length("h2s") + F.length("firsts")).alias("n")).first()["n"] or 0
     return (_apply_broadcast if size <= broadcast_bytes else _apply_shuffled)(docs, found, shards, keep_first)
+
+
+def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = False, **more) -> DataFrame:
+    """doc_id, n_lines, n_dropped and the text left of every document; see with_kept."""
+    return with_kept(C.docs_of(docs), min_docs, keep_first, **more).select("doc_id", "_kept.*")

@@ -146,6 +146,16 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     return C.docs_of(docs).mapInPandas(run, FIELDS)
 
 
+def redacted(text, scope: int = SCOPE):
+    """A column of texts with all reported stretches replaced."""
+
+    @F.pandas_udf("string")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([redact(t, scan_text(t, scope)[0]) for t in texts], dtype=object)
+
+    return of(text)
+
+
 def digest(scanned: DataFrame) -> DataFrame:
     """Counts of the base kinds, a hash of the base spans and all spans as text."""
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

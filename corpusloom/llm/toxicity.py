@@ -267,25 +267,29 @@ class Scorer:
 _workers: dict[int, Scorer] = {}
 
 
-def score(docs: DataFrame, model) -> DataFrame:
-    """doc_id and score of every document."""
-    spark = docs.sparkSession
+def scores(spark, model, text):
+    """A column of scores for a column of texts."""
     if model is None:
-        return C.docs_of(docs).select("doc_id", F.lit(0.0).alias("score"))
+        return F.lit(0.0)
     shared = spark.sparkContext.broadcast(model)
     name = zlib.crc32(model[0].tobytes() + model[1].tobytes())
 
-    def run(batches):
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
         if name not in _workers:
             _workers.clear()
             _workers[name] = Scorer(shared.value)
-        scorer = _workers[name]
-        for b in batches:
-            scores = []
-            for at in range(0, len(b), 500):
-                found = [tokens_of(t) for t in b["text"].iloc[at : at + 500]]
-                scorer.learn(set().union(*found))
-                scores += map(scorer.score, found)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": scores})
-
-    return C.docs_of(docs).mapInPandas(run, "doc_id long, score double")
+        scorer, out = _workers[name], []
+        for at in range(0, len(texts), 500):
+            found = [tokens_of(t) for t in texts.iloc[at : at + 500]]
+            scorer.learn(set().union(*found))
+            out += map(scorer.score, found)
+        return pd.Series(out, dtype="float64")
+
+    return of(text)
+
+
+def score(docs: DataFrame, model) -> DataFrame:
+    """doc_id and score of every document."""
+    docs = C.docs_of(docs)
+    return docs.select("doc_id", scores(docs.sparkSession, model, docs["text"]).alias("score"))
