@@ -77,7 +77,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates=None) -> DataF
     unit that reaches the threshold."""
     spark = docs.sparkSession
     sizes = size_bounds(templates)
-    low, high = threshold / (2 - threshold) * min(sizes), (2 - threshold) / threshold * max(sizes)
+    low, high = threshold / (2 - threshold) * min(sizes) - 1e-6, (2 - threshold) / threshold * max(sizes) + 1e-6
     rows = C.docs_of(docs).where("text is not null").withColumn("row", F.monotonically_increasing_id())
     lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("unit", "piece"))
     whole = rows.where(F.instr("text", "\n") > 0).select("row", "doc_id", F.lit(-1).alias("unit"), F.col("text").alias("piece"))
@@ -85,7 +85,8 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates=None) -> DataF
     units = lines.unionByName(whole).withColumn("n_bigrams", count.cast("long")).where(F.col("n_bigrams").between(low, high))
     each = units.select("row", "doc_id", "unit", "n_bigrams", F.explode(bigrams(F.split(normalised(F.lower("piece")), " "))).alias("bigram"))
     known = F.broadcast(template_bigrams(spark, templates))
-    within = (F.col("n_bigrams") >= threshold / (2 - threshold) * F.col("t_size")) & (F.col("n_bigrams") <= (2 - threshold) / threshold * F.col("t_size"))
+    least, most = threshold * F.col("t_size"), (2 - threshold) * F.col("t_size")
+    within = (F.col("n_bigrams") * (2 - threshold) >= least - 1e-9) & (F.col("n_bigrams") * threshold <= most + 1e-9)
     met = each.join(known, "bigram").where(within)
     shared = met.groupBy("row", "doc_id", "unit", "n_bigrams", "template", "license", "t_size", "bigram").agg(F.least(F.count("*"), F.first("t_count")).alias("both"))
     dice = (2.0 * F.col("common")) / (F.col("n_bigrams") + F.col("t_size"))
