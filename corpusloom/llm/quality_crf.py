@@ -3,7 +3,8 @@
 Each line of a text is content or boilerplate.  The field has two states, a linear score of line features for each
 and a score for each transition.  It is trained here, on a bounded sample of labelled documents, by maximum
 likelihood; lines of good documents are content, lines of poor ones start as boilerplate and are labelled anew by
-the model between the passes, since a poor document may hold good lines.  A document is kept when its base rules
+their own scores between the passes, since a poor document may hold good lines; transitions are learned after the
+first pass.  A document is kept when its base rules
 hold and the share of its words that lies on content lines reaches KEEP_SHARE.
 
 Defined results: null and empty texts have no words, fail the base rules and are not kept; a table without labels
@@ -143,6 +144,8 @@ def train(docs: list[tuple[np.ndarray, int]], passes: int = 3, steps: int = 60,
         for step in range(1, steps + 1):
             batch = rng.choice(len(docs), size=min(len(docs), 160), replace=False)
             grads = _gradient([(docs[k][0], tags[k]) for k in batch], emit, move)
+            if turn == 0:
+                grads = grads[0], 0 * grads[1]
             for w, g, mm, vv in zip((emit, move), grads, m, v):
                 g = g - 1e-3 * w
                 mm *= 0.9
@@ -153,7 +156,7 @@ def train(docs: list[tuple[np.ndarray, int]], passes: int = 3, steps: int = 60,
         if turn < passes - 1:  # poor documents' lines that look like content become content; one line at least stays
             for k, (x, q) in enumerate(docs):
                 if q == 0:
-                    tags[k] = viterbi(x, emit, move).astype(int)
+                    tags[k] = ((x @ emit) @ (-1, 1) > 0).astype(int)
                     if not tags[k].any():
                         tags[k][int(np.argmax((x @ emit) @ (-1, 1)))] = 1
     return emit, move
