@@ -302,6 +302,8 @@ def repeats(docs: DataFrame, size: int = MIN_BYTES, keep: str = "none") -> DataF
     parts = parts.where("spans is not null")
     whole = kinds.where("n > 1").select("v", "g", "width", F.col("at.place").alias("own"), F.col("at.first").alias("own_first"))
     lean = found.select("v", "g", "t1", "t2", "place", "first")
+    if keep == "first":  # of a text's copies, that of the smallest doc_id speaks for it
+        lean = lean.join(lean.groupBy("t1", "t2").agg(F.min("place").alias("place")), ["t1", "t2", "place"], "left_semi")
     whole = lean.join(whole, ["v", "g"])
     if keep == "first":
         whole = whole.where("place <> own or first <> own_first")
