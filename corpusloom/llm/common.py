@@ -88,7 +88,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(a long, b long) edges to (node, component), component being the smallest node that can be reached.
+    """(a long, b long) edges to (node, component), component being the smallest node that can be reached;
+    that smallest node has no row of its own.
 
     Alternates large-star and small-star steps; each is one aggregation on the node and each result is stashed.
     A node with very many neighbours is never gathered: the minimum is aggregated map-side, then joined."""
