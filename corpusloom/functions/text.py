@@ -162,7 +162,7 @@ def repair_json(x: Column) -> Column:
 
 def first_casing(values: Column, stop: list[str], min_chars: int, most: int) -> Column:
     """Trimmed values of min_chars or more outside the stop list, one for each lower-cased form in order, most at most."""
-    kept = F.filter(F.transform(values, F.trim), lambda v: (F.length(v) >= min_chars) & ~F.lower(v).isin(*stop) if stop else F.length(v) >= min_chars)
+    kept = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: (F.length(v) >= min_chars) & ~F.lower(v).isin(*stop) if stop else F.length(v) >= min_chars)
     low = F.transform(kept, F.lower)
     once = F.filter(F.arrays_zip(kept.alias("v"), low.alias("l"), F.sequence(F.lit(1), F.greatest(F.size(kept), F.lit(1))).alias("p")), lambda z: F.array_position(low, z["l"]) == z["p"])
     return F.slice(F.transform(once, lambda z: z["v"]), 1, most)

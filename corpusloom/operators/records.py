@@ -17,7 +17,7 @@ def first_value(values: Column) -> Column:
 
 
 def all_values(values: Column) -> Column:
-    return F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def last_matching(values: Column, test, otherwise: Column) -> Column:
