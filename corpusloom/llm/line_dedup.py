@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 MIN_DOCS = 10
-SHARDS = 64
+SHARDS, SHARD_KEYS = 64, 1 << 20  # shards at least, and dropped keys in one of them, about
 BROADCAST_BYTES = 64 << 20
 SLOTS = 4
 
@@ -153,8 +153,8 @@ def delete(table: DataFrame, removed: DataFrame, left: DataFrame | None = None)
     return out.join(kept, ["h1", "h2"], "left").select("h1", "h2", "n_docs", F.when(F.coalesce(lost, F.lit(False)), F.col("kept_first")).otherwise(F.col("first_doc")).alias("first_doc"))
 
 
-def filters(table: DataFrame, min_docs: int = MIN_DOCS, shards: int = SHARDS) -> DataFrame:
-    """(shard, cuckoo, h1s, h2s, firsts): each shard's filter and the exact keys behind it."""
+def filters(hot: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """(shard, cuckoo, h1s, h2s, firsts): each shard's filter and the exact keys behind it, for the keys to drop."""
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["h1", "h2"])
@@ -164,8 +164,8 @@ def filters(table: DataFrame, min_docs: int = MIN_DOCS, shards: int = SHARDS) ->
         firsts = np.where(first, -1, rows["first_doc"].fillna(-1).to_numpy()).astype(np.int64)
         return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "cuckoo": [cuckoo.table.tobytes()], "h1s": [h1.tobytes()], "h2s": [h2.tobytes()], "firsts": [firsts.tobytes()]})
 
-    hot = table.where(F.col("n_docs") >= min_docs).select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), "h1", "h2", "first_doc")
-    return hot.groupBy("shard").applyInPandas(build, "shard int, cuckoo binary, h1s binary, h2s binary, firsts binary")
+    dealt = hot.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), "h1", "h2", "first_doc")
+    return dealt.groupBy("shard").applyInPandas(build, "shard int, cuckoo binary, h1s binary, h2s binary, firsts binary")
 
 
 def update_filter(cuckoo: Cuckoo, up: list[tuple[int, int]], down: list[tuple[int, int]]) -> bool:
@@ -269,12 +269,14 @@ def _apply_shuffled(docs: DataFrame, found: DataFrame, shards: int, keep_first:
     return named.join(gone, ["_t1", "_t2"], "left").withColumn("_kept", kept("doc_id", "text", "_gone")).drop("_t1", "_t2", "_gone")
 
 
-def with_kept(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = False, table: DataFrame | None = None, shards: int = SHARDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def with_kept(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = False, table: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows as they are, all columns, with a column _kept: n_lines, n_dropped and the text left.
 
     Keys of at least min_docs documents lose all their lines, or all but the first in their first document where
     keep_first is set.  table is a reference-count table kept from before; by default it is counted here."""
-    found = C.stash(filters(refcounts(docs) if table is None else table, min_docs, shards))
+    hot = C.stash((refcounts(docs) if table is None else table).where(F.col("n_docs") >= min_docs))
+    shards = max(SHARDS, math.ceil(hot.count() / SHARD_KEYS))
+    found = C.stash(filters(hot, shards))
     size = found.agg(F.sum(F.length("cuckoo") + F.length("h1s") + F.length("h2s") + F.length("firsts")).alias("n")).first()["n"] or 0
     return (_apply_broadcast if size <= broadcast_bytes else _apply_shuffled)(docs, found, shards, keep_first)
 
