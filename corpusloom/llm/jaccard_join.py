@@ -19,6 +19,9 @@ the whole sequence is the one shingle; repeated rows are copies; columns besides
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -29,23 +32,11 @@ from . import common as C
 
 WORDS, NUM, DEN = 5, 3, 4
 HOT_MIN, HOT_MOST = 16, 1 << 18  # a shingle put last; how many at most, as they are broadcast (2 MB)
+BLOCK_PAIRS = 2000  # pairs that two blocks of rows have, about; bounds the sets that a task holds
 SMALL = 16  # columns of up to so many classes are multiplied in full at once
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 400_000:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_words = _Hashes()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.uint64)
     with np.errstate(over="ignore"):
@@ -54,20 +45,58 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit shingles of a whole text."""
-    words = (text or "").encode().lower().split()  # bytes: A-Z alone is lowered, blank and tab to CR split
-    n = len(words)
-    if not n:
-        return np.empty(0, np.int64)
-    if n < WORDS:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=n)], np.uint64).view(np.int64)
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
+_BYTE = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
+_STEP = np.uint64(0x9FB21C651E98DF25)
+_SPACE = np.isin(np.arange(256), list(C.SPACE.encode()))
+CHUNK = 1 << 20  # bytes of text that are hashed at once
+
+
+def batch_shingles(texts) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit shingles of each whole text; bytes of about CHUNK are hashed together."""
+    held: list[bytes] = []
+    size = 0
+    for t in texts:
+        raw = t.encode().lower() if isinstance(t, str) else b""  # bytes: A-Z alone is lowered
+        held.append(raw)
+        size += len(raw)
+        if size >= CHUNK:
+            yield from _shingle(held)
+            held, size = [], 0
+    yield from _shingle(held)
+
+
+def _shingle(raw: list[bytes]) -> Iterator[np.ndarray]:
+    if not raw:
+        return
+    b = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    word = ~_SPACE[b]
+    turn = np.diff(np.r_[0, word.view(np.int8), 0])
+    starts = np.flatnonzero(turn == 1)
+    lengths = np.flatnonzero(turn == -1) - starts
+    ends_at = np.cumsum([len(x) + 1 for x in raw])
+    cut = np.r_[0, np.searchsorted(starts, ends_at)]
     with np.errstate(over="ignore"):
-        total = w[: n - WORDS + 1] * _POWERS[0]
-        for k in range(1, WORDS):
-            total = total + w[k : n - WORDS + 1 + k] * _POWERS[k]
-    return np.unique(mix(total).view(np.int64))
+        if len(starts):
+            first = np.r_[0, np.cumsum(lengths)[:-1]]
+            powers = np.cumprod(np.full(int(lengths.max()), _STEP))
+            place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+            h = mix(np.add.reduceat(_BYTE[b[word]] * powers[place], first) ^ (lengths.astype(np.uint64) * _POWERS[1]))
+            total = h * _POWERS[0]
+            for k in range(1, min(WORDS, len(h))):
+                total[: len(h) - k] += h[k:] * _POWERS[k]
+            total = mix(total).view(np.int64)
+        for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            n = z - a
+            if n >= WORDS:
+                yield np.unique(total[a : z - WORDS + 1])
+            elif n:
+                yield mix((h[a:z] * _POWERS[:n]).sum(keepdims=True) + np.uint64(n)).view(np.int64)
+            else:
+                yield np.empty(0, np.int64)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    return next(batch_shingles([text]))
 
 
 def class_of(found: np.ndarray) -> int:
@@ -89,23 +118,24 @@ def prefix(found: np.ndarray, hot: np.ndarray | None, num: int = NUM, den: int =
     return cold[:p] if len(cold) >= p else np.concatenate([cold, found[last][: p - len(cold)]])
 
 
-def profile(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """One scan's two outputs: (doc_id, n, c) of every document with hot false, and shingles that a task saw in
-    several prefixes, as c with their count in n, with hot true."""
+def profile(docs: DataFrame) -> DataFrame:
+    """One scan's two outputs: (doc_id, n, c) of every document with hot false, and shingles that a batch saw in
+    several classes, as c with their count in n, with hot true.
+
+    All shingles are counted, not those of prefixes alone: as frequent ones are put last, prefixes reach further."""
 
     def run(batches):
         known: set[int] = set()
         for b in batches:
             ids, sizes, classes, firsts = [], [], [], []
-            for i, t in zip(b["doc_id"], b["text"]):
-                s = shingles(t)
+            for i, s in zip(b["doc_id"], batch_shingles(b["text"])):
                 c = class_of(s)
                 ids.append(None if pd.isna(i) else int(i))
                 sizes.append(len(s))
                 classes.append(c)
                 if len(s) and c not in known:
                     known.add(c)
-                    firsts.append(s[: prefix_length(len(s), num, den)])
+                    firsts.append(s)
             yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n": sizes, "c": classes, "hot": False})
             if firsts:
                 value, count = np.unique(np.concatenate(firsts), return_counts=True)
@@ -123,8 +153,7 @@ def incidence(docs: DataFrame, hot: np.ndarray, num: int = NUM, den: int = DEN)
         known: set[int] = set()
         for b in batches:
             rows = []
-            for t in b["text"]:
-                s = shingles(t)
+            for s in batch_shingles(b["text"]):
                 if not len(s) or (c := class_of(s)) in known:
                     continue
                 known.add(c)
@@ -142,28 +171,37 @@ def _possible(n1, i1, n2, i2, num: int, den: int):
     return (den * np.minimum(n1, n2) >= num * np.maximum(n1, n2)) & (np.minimum(n1 - i1, n2 - i2) >= need)
 
 
-def by_column(batches, columns: list[str]):
-    """Whole columns of the matrix from rows sorted by s: arrays that end where s changes."""
+def by_column(batches, columns: list[str], rows: int = 1 << 17):
+    """Whole columns of the matrix from rows sorted by s: arrays of about so many rows that end where s changes."""
     held: list[pd.DataFrame] = []
+    size = 0
     for b in batches:
         if not len(b):
             continue
-        s = b["s"].to_numpy()
-        cut = int(np.searchsorted(s, s[-1], "left"))
-        if cut:
-            yield [np.concatenate([x[k].to_numpy() for x in [*held, b.iloc[:cut]]]) for k in columns]
-            held = []
-        held.append(b.iloc[cut:])
+        if size >= rows:
+            s = b["s"].to_numpy()
+            cut = int(np.searchsorted(s, s[-1], "left"))
+            if cut:
+                yield [np.concatenate([x[k].to_numpy() for x in [*held, b.iloc[:cut]]]) for k in columns]
+                held, size = [], 0
+                b = b.iloc[cut:]
+        held.append(b)
+        size += len(b)
     if held:
         yield [np.concatenate([x[k].to_numpy() for x in held]) for k in columns]
 
 
+MET = "a long, b long, na int, nb int, k int, big boolean"
+
+
 def multiply(rows: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(a, b) pairs that meet in a column, big false; and the rows of columns that were not multiplied in full, as
-    a = class, b = shingle, with n and i, big true."""
+    """(a, b, na, nb, k): pairs that meet, their sizes and in how many of the columns multiplied in full, big false;
+    and the rows of the other columns, as a = class, b = shingle, na = n and nb = i, big true."""
 
-    def pairs(a, b):
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "n": 0, "i": 0, "big": False}).drop_duplicates()
+    def pairs(c, n, x, y, k):
+        swap = c[x] > c[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        return c[x], c[y], n[x], n[y], np.full(len(x), k)
 
     def run(batches):
         for s, c, n, i in by_column(batches, ["s", "c", "n", "i"]):
@@ -174,35 +212,52 @@ def multiply(rows: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
             start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
             size = np.diff(np.r_[start, len(s)])
             each = np.repeat(size, size)
-            keep = (each > 1) & (each <= SMALL)
+            keep = np.flatnonzero((each > 1) & (each <= SMALL))
             got = []
-            ks, kc, kn, ki = s[keep], c[keep], n[keep], i[keep]
             for d in range(1, SMALL):
-                if len(ks) <= d:
+                x, y = keep[:-d], keep[d:]
+                same = s[x] == s[y]
+                x, y = x[same], y[same]
+                if not len(x):
                     break
-                at = np.flatnonzero(ks[:-d] == ks[d:])
-                at = at[_possible(kn[at], ki[at], kn[at + d], ki[at + d], num, den)]
-                got.append(pairs(kc[at], kc[at + d]))
-            for b0, g in zip(start[size > SMALL], size[size > SMALL]):
-                bc, bn, bi = c[b0 : b0 + g], n[b0 : b0 + g], i[b0 : b0 + g]
-                level = np.floor(np.log(bn) / np.log(den / num)).astype(int)
-                order = np.lexsort((mix(bc), bi))  # fewest rare shingles first
-                leader = {}
-                for k in order.tolist():
-                    leader.setdefault(int(level[k]), k)
+                ok = den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])  # by size alone: places would spoil the count
+                got.append(pairs(c, n, x[ok], y[ok], 1))
+            wide = []
+            for b0, g in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
+                at = np.arange(b0, b0 + g)
+                level = np.floor(np.log(n[at]) / np.log(den / num)).astype(int)
+                leader: dict[int, int] = {}
+                for j in np.lexsort((mix(c[at]), i[at])).tolist():  # fewest rare shingles first
+                    leader.setdefault(int(level[j]), b0 + j)
                 for down in (0, 1):
                     to = np.array([leader.get(x - down, -1) for x in level.tolist()])
-                    at = np.flatnonzero((to >= 0) & (to != np.arange(g)))
-                    at = at[_possible(bn[at], bi[at], bn[to[at]], bi[to[at]], num, den)]
-                    got.append(pairs(bc[at], bc[to[at]]))
-                got.append(pd.DataFrame({"a": bc, "b": s[b0], "n": bn, "i": bi, "big": True}))
-            out = [x for x in got if len(x)]
-            if out:
-                out = pd.concat(out)
-                yield out[out["big"] | ~out.duplicated(["a", "b", "big"])]
+                    x, y = at[(to >= 0) & (to != at)], to[(to >= 0) & (to != at)]
+                    ok = _possible(n[x], i[x], n[y], i[y], num, den)
+                    got.append(pairs(c, n, x[ok], y[ok], 0))
+                wide.append(at)
+            if got:
+                out = pd.DataFrame(dict(zip(("a", "b", "na", "nb", "k"), (np.concatenate(x) for x in zip(*got)))))
+                out = out.groupby(["a", "b", "na", "nb"], as_index=False, sort=False)["k"].sum()
+                yield out.assign(big=False)
+            if wide:
+                at = np.concatenate(wide)
+                yield pd.DataFrame({"a": c[at], "b": s[at], "na": n[at], "nb": i[at], "k": 0, "big": True})
 
     parts = C.partitions(rows.sparkSession)
-    return rows.repartition(parts, "s").sortWithinPartitions("s").mapInPandas(run, "a long, b long, n int, i int, big boolean")
+    return rows.repartition(parts, "s").sortWithinPartitions("s").mapInPandas(run, MET)
+
+
+def prune(met: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(a, b) whose overlap may still reach the threshold.
+
+    Common shingles are those counted, those in columns not multiplied in full, of which a pair shares no more than
+    either class has, and those beyond the prefix that ends first."""
+    pairs = met.where("not big").groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
+    wide = met.where("big").groupBy("a").agg(F.count("*").alias("w"))
+    rest = lambda n: F.ceil(F.col(n) * num / den) - 1
+    most = F.col("k") + F.least(F.coalesce("wa", F.lit(0)), F.coalesce("wb", F.lit(0))) + F.greatest(rest("na"), rest("nb"))
+    out = pairs.join(wide.withColumnRenamed("w", "wa"), "a", "left").join(wide.select(F.col("a").alias("b"), F.col("w").alias("wb")), "b", "left")
+    return out.where(most * (num + den) >= num * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def multiply_across(rows: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -224,7 +279,7 @@ def multiply_across(rows: DataFrame, num: int = NUM, den: int = DEN) -> DataFram
 
 
 def sets_of(docs: DataFrame, profiles: DataFrame, needed: DataFrame) -> DataFrame:
-    """(c, found array<long>) of the classes needed, from one document of each.
+    """(c, found, counts) of the classes needed, from one document of each; found holds 64-bit shingles, sorted.
 
     A bit map of fixed size lets only documents through that may be needed; the join after it is exact."""
     ids = profiles.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id")).join(needed, "c", "left_semi")
@@ -237,50 +292,93 @@ def sets_of(docs: DataFrame, profiles: DataFrame, needed: DataFrame) -> DataFram
         for b in batches:
             at = b["at"].to_numpy()
             rows = []
-            for t in b["text"][(words[at >> 6] >> (at & 63)) & 1 == 1]:
-                s = shingles(t)
+            for s in batch_shingles(b["text"][(words[at >> 6] >> (at & 63)) & 1 == 1]):
                 if len(s) and (c := class_of(s)) not in known:
                     known.add(c)
-                    rows.append((c, s))
-            yield pd.DataFrame(rows, columns=["c", "found"])
+                    rows.append((c, s.tobytes(), counts_of(s)))
+            yield pd.DataFrame(rows, columns=["c", "found", "counts"])
+
+    found = C.docs_of(docs).select("text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("at")).mapInPandas(run, "c long, found binary, counts binary")
+    return found.join(needed, "c", "left_semi").groupBy("c").agg(F.first("found").alias("found"), F.first("counts").alias("counts"))
+
+
+def counts_of(found: np.ndarray) -> bytes:
+    """The set's size and how many shingles fall into each of about size / 2 buckets: a sixteenth of the set's bytes."""
+    k = max(6, int(len(found)).bit_length() - 2)
+    counts = np.bincount((found.view(np.uint64) >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k)
+    return len(found).to_bytes(8, "little") + counts.astype("<u2").clip(0, 255).astype(np.uint8).tobytes()
+
+
+def may_link(x: bytes, y: bytes, num: int, den: int) -> bool:
+    """Whether the buckets leave room: an overlap is at most the sum of the smaller counts."""
+    u, v = np.frombuffer(x, np.uint8, -1, 8), np.frombuffer(y, np.uint8, -1, 8)
+    if max(u.max(), v.max()) == 255:  # the count may be larger
+        return True
+    low = min(len(u), len(v))
+    u, v = (a.reshape(low, -1).sum(1) if len(a) > low else a for a in (u, v))
+    n = int.from_bytes(x[:8], "little") + int.from_bytes(y[:8], "little")
+    return (num + den) * int(np.minimum(u, v).sum()) >= num * n
+
 
-    found = C.docs_of(docs).select("text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("at")).mapInPandas(run, "c long, found array<long>")
-    return found.join(needed, "c", "left_semi").groupBy("c").agg(F.first("found").alias("found"))
+def link(x: bytes, y: bytes, num: int, den: int) -> bool:
+    u, v = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+    return (num + den) * len(np.intersect1d(u, v, assume_unique=True)) >= num * (len(u) + len(v))
 
 
-def settle(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """The (a, b) whose whole overlap reaches the threshold."""
-    left = sets.select(F.col("c").alias("a"), F.col("found").alias("x"))
-    right = sets.select(F.col("c").alias("b"), F.col("found").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    enough = (num + den) * both >= num * (F.size("x") + F.size("y"))
-    return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
+def block_product(pairs: DataFrame, rows: DataFrame, test, num: int, den: int) -> DataFrame:
+    """The (a, b) of pairs that pass a test on their rows' data, by a product in blocks; rows: (c, data).
+
+    Classes are dealt into blocks by a hash, so that two blocks have about BLOCK_PAIRS of the pairs.  A task multiplies
+    a block by a block; a row travels once for each block that it meets, however many partners it has there."""
+    blocks = max(1, math.isqrt(pairs.count() // BLOCK_PAIRS))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    asked = pairs.select("a", "b", block("a").alias("x"), block("b").alias("y"))
+    at = F.col("x").alias("row"), F.col("y").alias("col")
+    uses = asked.select(F.col("a").alias("c"), *at).unionByName(asked.select(F.col("b").alias("c"), *at)).distinct()
+    sent = uses.join(rows, "c").select("c", "row", "col", "data")
+
+    def product(p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        data = dict(zip(s["c"].tolist(), s["data"]))
+        return pd.DataFrame([(a, b) for a, b in zip(p["a"].tolist(), p["b"].tolist()) if test(data[a], data[b], num, den)], columns=["a", "b"])
+
+    return asked.groupBy("x", "y").cogroup(sent.groupBy("row", "col")).applyInPandas(product, "a long, b long")
+
+
+def settle(docs: DataFrame, profiles: DataFrame, pairs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """The (a, b) whose whole overlap reaches the threshold: first by bucket counts, which bound it, then by the sets."""
+    needed = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    sets = C.stash(sets_of(docs, profiles, needed))
+    near = C.stash(block_product(pairs, sets.select("c", F.col("counts").alias("data")), may_link, num, den))
+    left = near.select(F.col("a").alias("c")).unionByName(near.select(F.col("b").alias("c"))).distinct()
+    out = C.stash(block_product(near, sets.join(left, "c", "left_semi").select("c", F.col("found").alias("data")), link, num, den))
+    C.forget(sets, near)
+    return out
 
 
 def classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, c) of every document, and (c, component_id) of every class that links with another."""
-    both = C.stash(profile(docs, num, den))
+    both = C.stash(profile(docs))
     profiles = both.where("not hot").select("doc_id", "n", "c")
     often = both.where("hot").groupBy("c").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_MIN).orderBy(F.desc("n"), "c").limit(HOT_MOST)
     hot = np.sort(np.array([r["c"] for r in often.select("c").collect()], np.int64))
     met = C.stash(multiply(incidence(docs, hot, num, den), num, den))
-    pairs = met.where("not big").select("a", "b").distinct()
-    needed = met.select(F.col("a").alias("c")).unionByName(met.where("not big").select(F.col("b").alias("c"))).distinct()
-    sets = C.stash(sets_of(docs, profiles, needed))
-    edges = C.stash(settle(pairs, sets, num, den))
+    pairs = C.stash(prune(met, num, den))
+    edges = settle(docs, profiles, pairs, num, den)
     comp, last = C.connected_components(edges)
-    big = met.where("big").select(F.col("b").alias("s"), F.col("a").alias("c"), "n", "i").join(comp.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    big = met.where("big").select(F.col("b").alias("s"), F.col("a").alias("c"), F.col("na").alias("n"), F.col("nb").alias("i")).join(comp.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     open_columns = big.groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("s")
-    more = multiply_across(big.join(open_columns, "s", "left_semi"), num, den).join(pairs, ["a", "b"], "left_anti")
-    found = C.stash(settle(more, sets, num, den))
-    if found.head(1):
-        C.forget(last)
-        comp, last = C.connected_components(edges.unionByName(found))
+    more = C.stash(multiply_across(big.join(open_columns, "s", "left_semi"), num, den).join(pairs, ["a", "b"], "left_anti"))
+    found = None
+    if more.head(1):
+        found = settle(docs, profiles, more, num, den)
+        if found.head(1):
+            C.forget(last)
+            comp, last = C.connected_components(edges.unionByName(found))
     first = profiles.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
     linked = comp.withColumnRenamed("node", "c").unionByName(comp.select(F.col("component").alias("c"), "component")).distinct().join(first, "c")
     least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = C.stash(linked.join(least, "component").select("c", "component_id"))
-    C.forget(met, sets, edges, found, last)
+    C.forget(met, pairs, edges, more, last, *([found] if found is not None else []))
     return profiles, out
 
 
