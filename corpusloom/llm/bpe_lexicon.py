@@ -274,15 +274,9 @@ def build_lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> byt
     return compile_lexicon({w.encode(): merges.pieces(w) for w in rows})
 
 
-_workers: dict[str, Codec] = {}
-
-
 def codec_for(path: str, blob: bytes, name: str) -> Codec:
     """One codec per worker and lexicon."""
-    if name not in _workers:
-        _workers.clear()
-        _workers[name] = Codec(path, blob)
-    return _workers[name]
+    return C.held_by_worker(("codec", name), lambda: Codec(path, blob))
 
 
 def encode(docs: DataFrame, path: str, words: int = LEXICON_WORDS, fold=None, fields: str = "ids array<int>") -> DataFrame:

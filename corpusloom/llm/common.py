@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import uuid
 
 import numpy as np
@@ -71,6 +74,28 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+_held: dict = {}
+
+
+def held_by_worker(key, make):
+    """What a Python worker keeps between batches and stages, made once; another key's takes its place.
+
+    Workers outlive stages, so the caches of one operator would else lie beside those of the next."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Give back what the operator before kept in this worker, to the system too where its library can."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int, where=None) -> DataFrame:
     """At most per_class rows for either label of a column, chosen by a hash of doc_id; doc_id, text, y.
 

@@ -115,6 +115,7 @@ def refcounts(docs: DataFrame) -> DataFrame:
     """(h1, h2, n_docs, first_doc): the exact reference-count table of a set of documents."""
 
     def count(batches):
+        C.release()
         for b in batches:
             seen: dict[bytes, list] = {}
             for i, t in zip(b["doc_id"], b["text"]):
@@ -230,6 +231,7 @@ def _apply_broadcast(docs: DataFrame, found: DataFrame, shards: int, keep_first:
 
     @F.pandas_udf(FIELDS)
     def kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        C.release()
         lookup = Lookup(shared.value, shards)
         for ids, texts in batches:
             distinct = list({hash_key(k) for t in texts for k in keys_of(t)[1] if k})

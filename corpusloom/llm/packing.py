@@ -66,13 +66,8 @@ class _Cache(dict):
         return b"".join(map(self.__getitem__, (text.lower() if plain else text).split()))
 
 
-_workers: dict[str, _Cache] = {}
-
-
 def tokenizer_for(path: str) -> _Cache:
-    if path not in _workers:
-        _workers[path] = _Cache(path, CACHE_WORDS)
-    return _workers[path]
+    return C.held_by_worker(("packing", path), lambda: _Cache(path, CACHE_WORDS))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:

@@ -28,9 +28,9 @@ from . import common as C
 
 SPAN, DECAY = 6, 0.6
 LANDMARKS = 192
-SAMPLE_DOCS = 2000  # labelled documents of either label that are learned from, at most
+SAMPLE_DOCS = 1500  # labelled documents of either label that are learned from, at most
 ROUNDS = 4
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 LOW = -3.0  # a missing word's value
 
 _SPACED = re.compile(r"(?:(?<=\s)|^)\w(?:[ .*_-]\w){3,}(?=\W|$)")
@@ -105,11 +105,11 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised kernel of every word with every landmark."""
     lm = norms(landmarks)
     out = np.empty((len(words), len(landmarks)))
-    tables = np.zeros((len(landmarks), SIZE), np.float32)
-    for who, u, w in _occurrences(landmarks):
-        np.add.at(tables, (who, u), w)
-    for k in range(len(landmarks)):
-        out[:, k] = apply_weights(words, tables[k]) / lm[k]
+    for k, landmark in enumerate(landmarks):  # one landmark's subsequences at a time
+        table = np.zeros(SIZE)
+        for _, u, w in _occurrences([landmark]):
+            np.add.at(table, u, w)
+        out[:, k] = apply_weights(words, table) / lm[k]
     return out
 
 
@@ -153,52 +153,73 @@ def _machine(positive: list[str], negative: list[str], rng) -> np.ndarray:
     return table
 
 
-def _first_scores(docs: list[tuple[int, list[str]]]) -> dict[str, float]:
-    """Before any machine: a word's standing is its most telling stretch of four to six characters."""
+GRAM_BUCKETS = 1 << 22
+
+
+def _first_scores(words: list[str], docs: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Before any machine: a word's standing is that of its most telling stretch of four to six characters, the
+    word's ends counted as characters.  Stretches are counted by a hash into a table of fixed size."""
     n1 = sum(y for y, _ in docs)
     n0 = len(docs) - n1
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    grams = {w: {w[k : k + n] for n in (4, 5, 6) for k in range(len(w) - n + 1)} | {f"<{w}>"} for _, ws in docs for w in ws}
-    for y, ws in docs:
-        seen[y].update(set().union(*(grams[w] for w in ws)) if ws else ())
-    z = {}
-    for g, a in seen[1].items():
-        if a > 1:
-            p1, p0 = a / n1, seen[0][g] / n0
-            p = (a + seen[0][g]) / (n1 + n0)
-            z[g] = (p1 - 3 * p0) / (p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12) ** 0.5
-    return {w: max((z.get(g, 0.0) for g in gs), default=0.0) for w, gs in grams.items()}
-
-
-def train(docs: list[tuple[int, list[str]]], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray] | None:
+    c, owner = _codes(words)
+    owners, buckets = [], []
+    for n in (4, 5, 6):
+        if len(c) >= n:
+            h = np.zeros(len(c) - n + 1, np.uint64)
+            with np.errstate(over="ignore"):
+                for k in range(n):
+                    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + c[k : len(c) - n + 1 + k].astype(np.uint64)
+                h ^= h >> np.uint64(32)
+            same = owner[: len(c) - n + 1] == owner[n - 1 :]
+            owners.append(owner[: len(c) - n + 1][same])
+            buckets.append((h[same] % np.uint64(GRAM_BUCKETS)).astype(np.int32))
+    owner, bucket = np.concatenate(owners), np.concatenate(buckets)
+    order = np.argsort(owner, kind="stable")
+    bucket, at = bucket[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
+    seen = np.zeros((2, GRAM_BUCKETS), np.int32)
+    for y, ids in docs:
+        if len(ids):
+            seen[y][np.unique(np.concatenate([bucket[at[k] : at[k + 1]] for k in np.unique(ids)]))] += 1
+    p1, p0 = seen[1] / n1, seen[0] / n0
+    p = (seen[0] + seen[1]) / (n1 + n0)
+    z = np.where(seen[1] > 1, (p1 - 3 * p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12), 0.0)
+    out = np.zeros(len(words))
+    np.maximum.at(out, np.repeat(np.arange(len(words)), np.diff(at)), z[bucket])
+    return out
+
+
+def train(texts, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray] | None:
     """Subsequence weights and the logistic calibration from (label, words of the sentences)."""
-    if len({y for y, _ in docs}) < 2:
+    index: dict[str, int] = {}
+    docs = [(y, np.array([index.setdefault(w, len(index)) for w in ws], np.int64)) for y, ws in texts]
+    if len({y for y, _ in docs}) < 2 or not index:
         return None
+    words = list(index)
+    del index
     rng = np.random.default_rng(11)
-    words = sorted({w for _, ws in docs for w in ws})
-    value = _first_scores(docs)
-    clean = [w for y, ws in docs if not y for w in ws]
-    negative: list[str] = [clean[k] for k in rng.permutation(len(clean))[:2000]]
+    value = _first_scores(words, docs)
+    clean = np.concatenate([ids for y, ids in docs if not y])
+    negative = clean[rng.permutation(len(clean))[:2000]].tolist()
     table = None
     for turn in range(rounds):
-        positive = []
-        for y, ws in docs:
-            if not ws:
+        positive: list[int] = []
+        for y, ids in docs:
+            if not len(ids):
                 continue
-            top = sorted(ws, key=lambda w: (-value[w], w))[:3]
+            top = ids[np.lexsort((ids, -value[ids]))[:3]].tolist()
             if y:
-                positive += [top[0], *(w for w in top[1:] if value[w] > (4 if turn == 0 else 0))]
+                positive += [top[0], *(k for k in top[1:] if value[k] > (4 if turn == 0 else 0) and value[k] >= 0.5 * value[top[0]])]
             else:
                 negative += top[:2]
         negative = list(dict.fromkeys(negative))
         if len(negative) > 12_000:
-            ranked = sorted(negative, key=lambda w: (-value[w], w))
-            negative = ranked[:8000] + ranked[8000::max(1, len(ranked) // 4000)]
+            ranked = sorted(negative, key=lambda k: (-value[k], k))
+            negative = ranked[:8000] + ranked[8000 :: max(1, len(ranked) // 4000)]
         known = set(negative)
-        positive = [w for w in positive if w not in known] or positive
-        table = _machine(positive, negative, rng)
-        value = dict(zip(words, (apply_weights(words, table[:-1]) + table[-1]).tolist()))
-    x = np.array([[1.0, *_worst([value[w] for w in ws])] for _, ws in docs])
+        positive = [k for k in positive if k not in known] or positive
+        table = _machine([words[k] for k in positive], [words[k] for k in negative], rng)
+        value = np.concatenate([apply_weights(words[k : k + 20_000], table[:-1]) for k in range(0, len(words), 20_000)]) + table[-1]
+    x = np.array([[1.0, *_worst(value[ids].tolist())] for _, ids in docs])
     y = np.array([float(y) for y, _ in docs])
     w = np.zeros(3)
     weight = np.where(y > 0, 0.3 / y.mean(), 0.7 / (1 - y.mean())) / len(y)  # clean texts count more
@@ -233,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: in
 
     sample = C.labelled_sample(docs, labels, column, per_class, where)
     rows = sorted((r["y"], r["words"]) for r in sample.select("y", "text").mapInPandas(run, "y int, words string").collect())
-    return train([(y, ws.split(" ") if ws else []) for y, ws in rows])
+    return train((y, ws.split(" ") if ws else []) for y, ws in rows)
 
 
 class Scorer:
@@ -267,9 +288,6 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(self.logit @ (1.0, a, b), -30, 30))))
 
 
-_workers: dict[int, Scorer] = {}
-
-
 def scores(spark, model, text):
     """A column of scores for a column of texts."""
     if model is None:
@@ -279,10 +297,7 @@ def scores(spark, model, text):
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        if name not in _workers:
-            _workers.clear()
-            _workers[name] = Scorer(shared.value)
-        scorer, out = _workers[name], []
+        scorer, out = C.held_by_worker(("toxicity", name), lambda: Scorer(shared.value)), []
         for at in range(0, len(texts), 500):
             found = [tokens_of(t) for t in texts.iloc[at : at + 500]]
             scorer.learn(set().union(*found))
