@@ -10,7 +10,7 @@ position in that order, each window's longest previous factor (and, with positio
 one).  A window repeats if either reaches min_bytes.
 
 A hash with many different runs is dealt into blocks of BLOCK_RUNS; windows that meet no equal one in their block
-are then compared between blocks by a hash.  Scans that come later learn by bit maps of fixed size which hashes are
+are then compared between blocks by a hash, in buckets.  Scans that come later learn by bit maps of fixed size which hashes are
 worth sending; the joins behind them are exact.  Texts that occur several times are sent once a task.
 
 keep="none" removes every occurrence, keep="first" leaves the first one (smallest doc_id, then place).
@@ -31,7 +31,7 @@ from . import common as C
 MIN_BYTES = 200
 GRAM = 32
 BLOCK_RUNS = 512
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 BITS = 1 << 25
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 _LAST = (1 << 62) + 1  # the place of an unknown doc_id in the order
@@ -72,13 +72,13 @@ def runs(text: bytes, size: int = MIN_BYTES):
         least = by[GRAM] * _M[5]
         least ^= least >> np.uint64(32)
         least *= _M[6]
-        span, n = size - GRAM + 1, 1
+        span, n, gram = size - GRAM + 1, 1, least
         while 2 * n <= span:
             least = np.minimum(least[:-n], least[n:])
             n *= 2
         v = np.minimum(least[:m], least[span - n : span - n + m])
         win = window_hashes(by, m, size)
-        first = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (least[: m - 1] == v[:-1])])
+        first = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (gram[: m - 1] == v[:-1])])
         last = np.r_[first[1:], m] - 1
         total = np.add.reduceat(win ^ (win >> np.uint64(33)), first)
         g = (win[first] * _M[3] ^ win[last] * _M[4]) + total * _M[7] + (last - first).astype(np.uint64)
@@ -171,9 +171,10 @@ def repeated_windows(texts: list[bytes], size: int = MIN_BYTES) -> tuple[list[np
     if len(at):
         windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(joined, size)[at])
         suffix = np.argsort(windows.view(f"S{size}").ravel(), kind="stable")  # suffix order over the windows' bytes
-        ranked = windows[suffix]
-        differ = ranked[1:] != ranked[:-1]
-        common = np.r_[0, np.where(differ.any(1), differ.argmax(1), size)]
+        common = np.zeros(len(at), np.int64)
+        for k in range(1, len(at), 4096):  # common prefixes of neighbours, some at a time
+            differ = windows[suffix[k : k + 4096]] != windows[suffix[k - 1 : k - 1 + len(suffix[k : k + 4096])]]
+            common[k : k + 4096] = np.where(differ.any(1), differ.argmax(1), size)
         positions = at[suffix]
         previous = longest_previous_factors(positions, common)
         following = longest_previous_factors(-positions, common)
@@ -238,12 +239,14 @@ def candidates(docs: DataFrame, repeated: bytes, mixed: bytes, size: int = MIN_B
     return docs.mapInPandas(run, "v long, g long, t1 long, t2 long, place long, first int, last int, content binary")
 
 
-RESOLVED = "v long, g long, open boolean, hash long, place long, first int, any binary, later binary"
+RESOLVED = "v long, g long, any binary, later binary, bucket int, payload binary"
+_RUN = np.dtype([("v", "<i8"), ("g", "<i8"), ("place", "<i8"), ("first", "<i4")])
+_OPEN = np.dtype([("hash", "<u8"), ("run", "<i4"), ("at", "<i4")])
 
 
-def resolve(edges: DataFrame, size: int = MIN_BYTES) -> DataFrame:
+def resolve(edges: DataFrame, buckets: int, size: int = MIN_BYTES) -> DataFrame:
     """For runs (v, g, part, parts, place, first, content): the windows that repeat within their block, as spans; and
-    of hashes in several blocks the windows yet unmatched and one of each matched kind, open, with their hash."""
+    of hashes in several blocks each window's first in its block, packed into buckets by the window's hash."""
 
     def run(batches):
         held: list[tuple] = []
@@ -252,37 +255,91 @@ def resolve(edges: DataFrame, size: int = MIN_BYTES) -> DataFrame:
         def settle(rows):
             rows.sort(key=lambda r: (r[4], r[5]))
             any_, later, hashes = repeated_windows([r[6] for r in rows], size)
-            out = []
-            seen: set[int] = set()
-            for (v, g, _, parts, place, first, _), a, b, h in zip(rows, any_, later, hashes):
+            for (v, g, *_), a, b in zip(rows, any_, later):
                 if a.any():
-                    out.append((v, g, False, 0, place, first, spans_of(a).tobytes(), spans_of(b).tobytes()))
-                if parts > 1:
-                    h = h.view(np.int64)
-                    for k in np.flatnonzero(~b).tolist():  # each kind's first of this block
-                        if int(h[k]) not in seen:
-                            seen.add(int(h[k]))
-                            out.append((v, g, True, int(h[k]), place, first + k, np.array([k, k], "<i4").tobytes(), b"1" if a[k] else None))
-            return pd.DataFrame(out, columns=["v", "g", "open", "hash", "place", "first", "any", "later"])
+                    yield v, g, spans_of(a).tobytes(), spans_of(b).tobytes(), None, None
+            split = [k for k, r in enumerate(rows) if r[3] > 1]
+            if split:
+                entries = []
+                for j, k in enumerate(split):
+                    at = np.flatnonzero(~later[k])  # a window that repeats an earlier one here is spoken for by that one
+                    e = np.zeros(len(at), _OPEN)
+                    e["hash"], e["run"], e["at"] = hashes[k][at], j, at
+                    entries.append(e)
+                e = np.concatenate(entries)
+                table = np.array([(rows[k][0], rows[k][1], rows[k][4], rows[k][5]) for k in split], _RUN)
+                bucket = (e["hash"] % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
+                for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    part = e[order[x:y]]
+                    used, part["run"] = np.unique(part["run"], return_inverse=True)
+                    head = np.array([len(used)], "<i8").tobytes()
+                    yield 0, 0, None, None, int(bucket[order[x]]), head + table[used].tobytes() + part.tobytes()
+
+        def frame(rows):
+            return pd.DataFrame(list(settle(rows)), columns=["v", "g", "any", "later", "bucket", "payload"]).astype({"bucket": "Int32"})
 
         for b in batches:
             for row in zip(b["v"].tolist(), b["g"].tolist(), b["part"].tolist(), b["parts"].tolist(), b["place"].tolist(), b["first"].tolist(), b["content"]):
                 if weight >= CHUNK_BYTES and held[-1][:1] + held[-1][2:3] != row[:1] + row[2:3]:
-                    yield settle(held)
+                    yield frame(held)
                     held, weight = [], 0
                 held.append(row)
                 weight += len(row[6])
         if held:
-            yield settle(held)
+            yield frame(held)
 
     n = C.partitions(edges.sparkSession)
     return edges.repartition(n, "v", "part").sortWithinPartitions("v", "part").mapInPandas(run, RESOLVED)
 
 
-def repeats(docs: DataFrame, size: int = MIN_BYTES, keep: str = "none") -> DataFrame:
-    """(t1, t2, spans array<struct<first, last>>): of each text that is not alone, the windows to be removed.
+def resolve_across(packed: DataFrame) -> DataFrame:
+    """(v, g, any, later): windows that repeat between blocks.  A bucket holds all windows of its hashes."""
+
+    def settle(payloads: list[bytes]):
+        runs_, entries, n = [], [], 0
+        for x in payloads:
+            k = int(np.frombuffer(x, "<i8", 1)[0])
+            runs_.append(np.frombuffer(x, _RUN, k, 8))
+            e = np.frombuffer(x, _OPEN, -1, 8 + k * _RUN.itemsize).copy()
+            e["run"] += n
+            n += k
+            entries.append(e)
+        r, e = np.concatenate(runs_), np.concatenate(entries)
+        place, first = r["place"][e["run"]], r["first"][e["run"]].astype(np.int64) + e["at"]
+        e = e[(order := np.lexsort((first, place, e["hash"])))]
+        place, first = place[order], first[order]
+        same = e["hash"][1:] == e["hash"][:-1]
+        met = np.r_[same, False] | np.r_[False, same]
+        head = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(e)), 0))
+        later = met & ((place != place[head]) | (first != first[head]))
+        order = np.lexsort((e["at"], e["run"]))
+        order = order[met[order]]
+        run, at, later = e["run"][order], e["at"][order], later[order]
+        cuts = np.flatnonzero(np.r_[True, np.diff(run) != 0, True]) if len(run) else np.zeros(1, int)
+        pairs = lambda a: np.repeat(a, 2).astype("<i4").tobytes()
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield int(r["v"][run[x]]), int(r["g"][run[x]]), pairs(at[x:y]), pairs(at[x:y][later[x:y]])
+
+    def one(batches):
+        now, held = None, []
+        for b in batches:
+            for bucket, payload in zip(b["bucket"].tolist(), b["payload"]):
+                if held and bucket != now:
+                    yield pd.DataFrame(list(settle(held)), columns=["v", "g", "any", "later"])
+                    held = []
+                now = bucket
+                held.append(payload)
+        if held:
+            yield pd.DataFrame(list(settle(held)), columns=["v", "g", "any", "later"])
 
-    A text that occurs several times has the span (-1, place of the document that stays, or -1 for none)."""
+    n = C.partitions(packed.sparkSession)
+    return packed.select("bucket", "payload").repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(one, "v long, g long, any binary, later binary")
+
+
+def repeats(docs: DataFrame, size: int = MIN_BYTES, keep: str = "none") -> DataFrame:
+    """(t1, t2, runs): of each text with repeats, the runs with windows to be removed; see windows_of."""
     docs = C.docs_of(docs)
     seen = C.stash(survey(docs, size).groupBy("v").agg(F.sum("n").alias("n"), F.min("g").alias("low"), F.max("g").alias("high")).where("n > 1"))
     repeated, mixed = bit_map(seen, "v"), bit_map(seen.where("low <> high"), "v")
@@ -290,16 +347,11 @@ def repeats(docs: DataFrame, size: int = MIN_BYTES, keep: str = "none") -> DataF
     kinds = C.stash(found.groupBy("v", "g").agg(F.count("*").alias("n"), F.min(F.struct("place", "first")).alias("at"), F.first("last").alias("last"), F.first("content", ignorenulls=True).alias("content"), F.min(F.col("last") - F.col("first")).alias("width")))
     several = kinds.groupBy("v").agg(F.count("*").alias("k")).where("k > 1").withColumn("parts", F.ceil(F.col("k") / BLOCK_RUNS).cast("int"))
     edges = kinds.where("content is not null").join(several, "v").select("v", "g", F.pmod(F.xxhash64("g"), F.col("parts")).cast("int").alias("part"), "parts", F.col("at.place").alias("place"), F.col("at.first").alias("first"), "content")
-    solved = C.stash(resolve(edges, size))
-    open_ = solved.where("open")
-    met = open_.groupBy("hash").agg(F.count("*").alias("k"), F.min(F.struct("place", "first")).alias("least")).where("k > 1")
-    across = open_.join(met, "hash").select("v", "g", "any", F.when(F.struct("place", "first") != F.col("least"), F.col("any")).alias("later"))
-    parts = solved.where("not open").select("v", "g", "any", "later").unionByName(across)
-    if keep == "first":
-        parts = parts.select("v", "g", F.col("later").alias("spans"))
-    else:
-        parts = parts.select("v", "g", F.col("any").alias("spans"))
-    parts = parts.where("spans is not null")
+    solved = C.stash(resolve(edges, 4 * C.partitions(docs.sparkSession), size))
+    across = resolve_across(solved.where("bucket is not null"))
+    parts = solved.where("bucket is null").select("v", "g", "any", "later").unionByName(across)
+    spans = F.col("later" if keep == "first" else "any")
+    parts = parts.where(F.length(spans) > 0).groupBy("v", "g").agg(F.collect_list(spans).alias("spans"))
     whole = kinds.where("n > 1").select("v", "g", "width", F.col("at.place").alias("own"), F.col("at.first").alias("own_first"))
     lean = found.select("v", "g", "t1", "t2", "place", "first")
     if keep == "first":  # of a text's copies, that of the smallest doc_id speaks for it
@@ -307,15 +359,22 @@ def repeats(docs: DataFrame, size: int = MIN_BYTES, keep: str = "none") -> DataF
     whole = lean.join(whole, ["v", "g"])
     if keep == "first":
         whole = whole.where("place <> own or first <> own_first")
-    all_of = whole.select("t1", "t2", F.col("first").alias("a"), (F.col("first") + F.col("width")).cast("int").alias("z"))
-
-    def shift(batches):
-        for b in batches:
-            rows = [(t1, t2, f + x, f + y) for t1, t2, f, s in zip(b["t1"], b["t2"], b["first"], b["spans"]) for x, y in np.frombuffer(s, "<i4").reshape(-1, 2).tolist()]
-            yield pd.DataFrame(rows, columns=["t1", "t2", "a", "z"])
-
-    some = lean.join(parts, ["v", "g"]).select("t1", "t2", "first", "spans").mapInPandas(shift, "t1 long, t2 long, a int, z int")
-    return all_of.unionByName(some).groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "z")).alias("spans"))
+    none = F.lit(None)
+    all_of = whole.select("t1", "t2", "first", F.col("width").cast("int").alias("width"), none.cast("array<binary>").alias("spans"))
+    some = lean.join(parts, ["v", "g"]).select("t1", "t2", "first", none.cast("int").alias("width"), "spans")
+    return all_of.unionByName(some).groupBy("t1", "t2").agg(F.collect_set(F.struct("first", "width", "spans")).alias("runs"))
+
+
+def windows_of(found) -> list[tuple[int, int]]:
+    """(first, last) windows of a text's runs: whole ones by their width, others by their packed spans."""
+    out = []
+    for r in found:
+        at = int(r["first"])
+        if r["spans"] is None:
+            out.append((at, at + int(r["width"])))
+        else:
+            out += [(at + a, at + z) for x in r["spans"] for a, z in np.frombuffer(x, "<i4").reshape(-1, 2).tolist()]
+    return out
 
 
 def remove(text: bytes, spans, size: int = MIN_BYTES) -> tuple[int, int, bytes]:
@@ -350,8 +409,9 @@ def dedup(docs: DataFrame, size: int = MIN_BYTES, keep: str = "none") -> DataFra
     named = docs.mapInPandas(names, "doc_id long, t1 long, t2 long, raw binary")
     copies = docs.mapInPandas(lambda batches: (x.drop(columns="raw")[x["raw"].map(len) >= size] for x in names(batches)), "doc_id long, t1 long, t2 long")
     copies = copies.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("doc_id").alias("own")).where("n > 1")
-    marks = spans.select("t1", "t2", "spans", F.lit(None).cast("long").alias("own"), F.lit(False).alias("copies")).unionByName(copies.select("t1", "t2", F.lit(None).cast("array<struct<a:int,z:int>>").alias("spans"), "own", F.lit(True).alias("copies")))
-    marks = C.stash(marks.groupBy("t1", "t2").agg(F.first("spans", ignorenulls=True).alias("spans"), F.min("own").alias("own"), F.max("copies").alias("copies")))
+    kind = spans.schema["runs"].dataType
+    marks = spans.select("t1", "t2", "runs", F.lit(None).cast("long").alias("own"), F.lit(False).alias("copies")).unionByName(copies.select("t1", "t2", F.lit(None).cast(kind).alias("runs"), "own", F.lit(True).alias("copies")))
+    marks = C.stash(marks.groupBy("t1", "t2").agg(F.first("runs", ignorenulls=True).alias("runs"), F.min("own").alias("own"), F.max("copies").alias("copies")))
     shared = docs.sparkSession.sparkContext.broadcast(bit_map(marks, "t1"))
 
     def quiet(batches):
@@ -364,8 +424,8 @@ def dedup(docs: DataFrame, size: int = MIN_BYTES, keep: str = "none") -> DataFra
     def cut(batches):
         for b in batches:
             rows = []
-            for i, raw, spans_, own, copied in zip(b["doc_id"], b["raw"], b["spans"], b["own"], b["copies"]):
-                at = None if spans_ is None else [(s["a"], s["z"]) for s in spans_]
+            for i, raw, found, own, copied in zip(b["doc_id"], b["raw"], b["runs"], b["own"], b["copies"]):
+                at = None if found is None else windows_of(found)
                 stays = keep == "first" and not pd.isna(own) and not pd.isna(i) and int(i) == int(own)
                 if copied is True and not stays:
                     at = [(0, len(raw) - size)]
@@ -375,4 +435,4 @@ def dedup(docs: DataFrame, size: int = MIN_BYTES, keep: str = "none") -> DataFra
     named = docs.mapInPandas(quiet, "doc_id long, t1 long, t2 long, raw binary, hit boolean")
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     still = named.where("not hit").select("doc_id", F.length("raw").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("raw").alias("kept"))
-    return named.where("hit").join(marks, ["t1", "t2"], "left").select("doc_id", "raw", "spans", "own", "copies").mapInPandas(cut, fields).unionByName(still)
+    return named.where("hit").join(marks, ["t1", "t2"], "left").select("doc_id", "raw", "runs", "own", "copies").mapInPandas(cut, fields).unionByName(still)
