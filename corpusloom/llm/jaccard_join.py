@@ -125,6 +125,7 @@ def profile(docs: DataFrame) -> DataFrame:
     All shingles are counted, not those of prefixes alone: as frequent ones are put last, prefixes reach further."""
 
     def run(batches):
+        C.release()
         known: set[int] = set()
         for b in batches:
             ids, sizes, classes, firsts = [], [], [], []
@@ -150,6 +151,7 @@ def incidence(docs: DataFrame, hot: np.ndarray, num: int = NUM, den: int = DEN)
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
+        C.release()
         known: set[int] = set()
         for b in batches:
             rows = []
@@ -278,28 +280,39 @@ def multiply_across(rows: DataFrame, num: int = NUM, den: int = DEN) -> DataFram
     return rows.repartition(parts, "s").sortWithinPartitions("s").mapInPandas(run, "a long, b long").distinct()
 
 
-def sets_of(docs: DataFrame, profiles: DataFrame, needed: DataFrame) -> DataFrame:
-    """(c, found, counts) of the classes needed, from one document of each; found holds 64-bit shingles, sorted.
+BITS = 1 << 25
+
+
+def marked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key may be among those wanted (a column of the same name): by a bit map of fixed size, without a
+    shuffle.  A join after it is exact."""
+    shared = rows.sparkSession.sparkContext.broadcast(C.id_bloom(wanted, key, BITS))
+
+    @F.pandas_udf("boolean")
+    def hit(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((np.frombuffer(shared.value, np.int64)[at >> 6] >> (at & 63)) & 1 == 1)
 
-    A bit map of fixed size lets only documents through that may be needed; the join after it is exact."""
+    return rows.where(hit(F.pmod(F.xxhash64(key), F.lit(BITS))))
+
+
+def sets_of(docs: DataFrame, profiles: DataFrame, needed: DataFrame) -> DataFrame:
+    """(c, found, counts) of the classes needed, and of few others, from one document of each; found holds 64-bit
+    shingles, sorted.  Where rows repeat, so may a class."""
     ids = profiles.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id")).join(needed, "c", "left_semi")
-    bits = 1 << 25
-    shared = docs.sparkSession.sparkContext.broadcast(C.id_bloom(ids, "doc_id", bits))
 
     def run(batches):
-        words = np.frombuffer(shared.value, np.int64)
+        C.release()
         known: set[int] = set()
         for b in batches:
-            at = b["at"].to_numpy()
             rows = []
-            for s in batch_shingles(b["text"][(words[at >> 6] >> (at & 63)) & 1 == 1]):
+            for s in batch_shingles(b["text"]):
                 if len(s) and (c := class_of(s)) not in known:
                     known.add(c)
                     rows.append((c, s.tobytes(), counts_of(s)))
             yield pd.DataFrame(rows, columns=["c", "found", "counts"])
 
-    found = C.docs_of(docs).select("text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("at")).mapInPandas(run, "c long, found binary, counts binary")
-    return found.join(needed, "c", "left_semi").groupBy("c").agg(F.first("found").alias("found"), F.first("counts").alias("counts"))
+    return marked(C.docs_of(docs), "doc_id", ids).select("text").mapInPandas(run, "c long, found binary, counts binary")
 
 
 def counts_of(found: np.ndarray) -> bytes:
@@ -350,7 +363,7 @@ def settle(docs: DataFrame, profiles: DataFrame, pairs: DataFrame, num: int = NU
     sets = C.stash(sets_of(docs, profiles, needed))
     near = C.stash(block_product(pairs, sets.select("c", F.col("counts").alias("data")), may_link, num, den))
     left = near.select(F.col("a").alias("c")).unionByName(near.select(F.col("b").alias("c"))).distinct()
-    out = C.stash(block_product(near, sets.join(left, "c", "left_semi").select("c", F.col("found").alias("data")), link, num, den))
+    out = C.stash(block_product(near, marked(sets, "c", left).select("c", F.col("found").alias("data")), link, num, den))
     C.forget(sets, near)
     return out
 
