@@ -139,9 +139,10 @@ def profile(docs: DataFrame) -> DataFrame:
                     firsts.append(s)
             yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n": sizes, "c": classes, "hot": False})
             if firsts:
-                value, count = np.unique(np.concatenate(firsts), return_counts=True)
-                value, count = value[count > 1], count[count > 1]
-                yield pd.DataFrame({"doc_id": pd.array([None] * len(value), dtype="Int64"), "n": count, "c": value, "hot": True})
+                for r in range(8):  # an eighth of the shingles at a time, to sort less at once
+                    value, count = np.unique(np.concatenate([s[s & 7 == r] for s in firsts]), return_counts=True)
+                    value, count = value[count > 1], count[count > 1]
+                    yield pd.DataFrame({"doc_id": pd.array([None] * len(value), dtype="Int64"), "n": count, "c": value, "hot": True})
 
     return C.docs_of(docs).mapInPandas(run, "doc_id long, n long, c long, hot boolean")
 
@@ -150,19 +151,26 @@ def incidence(docs: DataFrame, hot: np.ndarray, num: int = NUM, den: int = DEN)
     """(s, c, n, i): class c of n shingles has prefix shingle s in place i.  A task sends a class once."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
+    def frame(rows):
+        lengths = [len(r[0]) for r in rows]
+        return pd.DataFrame({"s": np.concatenate([r[0] for r in rows]), "c": np.repeat([r[1] for r in rows], lengths), "n": np.repeat(np.array([r[2] for r in rows], np.int32), lengths), "i": np.concatenate([np.arange(x, dtype=np.int32) for x in lengths])})
+
     def run(batches):
         C.release()
         known: set[int] = set()
         for b in batches:
-            rows = []
+            rows, size = [], 0
             for s in batch_shingles(b["text"]):
                 if not len(s) or (c := class_of(s)) in known:
                     continue
                 known.add(c)
                 rows.append((prefix(s, shared.value, num, den), c, len(s)))
+                size += len(rows[-1][0])
+                if size >= 1 << 17:
+                    yield frame(rows)
+                    rows, size = [], 0
             if rows:
-                lengths = [len(r[0]) for r in rows]
-                yield pd.DataFrame({"s": np.concatenate([r[0] for r in rows]), "c": np.repeat([r[1] for r in rows], lengths), "n": np.repeat(np.array([r[2] for r in rows], np.int32), lengths), "i": np.concatenate([np.arange(x, dtype=np.int32) for x in lengths])})
+                yield frame(rows)
 
     return C.docs_of(docs).select("text").mapInPandas(run, "s long, c long, n int, i int")
 

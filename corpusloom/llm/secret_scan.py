@@ -151,7 +151,6 @@ def redacted(text, scope: int = SCOPE):
 
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
-        C.release()
         return pd.Series([redact(t, scan_text(t, scope)[0]) for t in texts], dtype=object)
 
     return of(text)
