@@ -14,6 +14,7 @@ of both kinds gives a neutral model, under which the base rules alone decide.
 from __future__ import annotations
 
 from collections import Counter
+from operator import ne
 
 import numpy as np
 import pandas as pd
@@ -72,8 +73,8 @@ def line_features(lines: list[str]) -> np.ndarray:
         row[5] = min(1.0, 4 * (s.count("!") + s.count("?")) / n)
         row[6] = min(1.0, 4 * sum(map(s.count, "0123456789")) / m)
         low = s.lower()
-        row[7] = min(1.0, 2 * sum(a != b for a, b in zip(s[:400], low[:400])) / min(m, 400))
-        row[8] = sum(w[0].isupper() for w in words[:100]) / min(n, 100)
+        row[7] = min(1.0, 2 * sum(map(ne, s, low if len(low) == len(s) else map(str.lower, s))) / m)
+        row[8] = sum(w[0].isupper() for w in words) / n
         row[9] = sum(a == b for a, b in zip(words, words[1:])) / n
         row[10] = s in seen
         row[11] = min(1.0, (m - n) / n / 12)

@@ -102,6 +102,14 @@ def test_field_learns_boilerplate_lines():
     assert share < 0.65 and path[0] == 0 and all(path[1:])
 
 
+def test_line_features_see_the_whole_line():
+    for s in (prose(9, 200) + " BUY NOW" * 150, prose(9, 200) + " \u0130STANBUL" * 150):
+        words = s.split()
+        row = dict(zip(quality_crf.FEATURES, quality_crf.line_features([s])[0]))
+        assert row["upper"] == min(1.0, 2 * sum(c != c.lower() for c in s) / len(s)) > 0.5
+        assert row["first_upper"] == sum(w[0].isupper() for w in words) / len(words) > 0.4
+
+
 # 2 nearest neighbours
 
 
