@@ -30,6 +30,10 @@ def op4_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(load(spark, sf_dir, "documents"))
 
 
+def op4_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.passages(load(spark, sf_dir, "documents"))
+
+
 def op3_line_cuckoo(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup(load(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hnsw_shards": op2_hnsw_shards,
     "op3_line_cuckoo": op3_line_cuckoo,
     "op4_license_dice": op4_license_dice,
+    "op4_license_passages": op4_license_passages,
     "op5_jaccard_product": op5_jaccard_product,
     "op6_bpe_lexicon": op6_bpe_lexicon,
     "op7_linked_secrets": op7_linked_secrets,

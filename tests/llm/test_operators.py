@@ -246,6 +246,50 @@ def test_licence_scan_runs_no_python(docs):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def passages_brute(text, templates, t):
+    import regex
+
+    grams = lambda s: list(zip(w := regex.sub(r"[^\p{L}\p{N}]+", " ", s.lower()).strip().split(" "), w[1:]))
+    g, runs, taken = grams(text), [], []
+    for k, (name, x) in enumerate(templates):
+        b = Counter(grams(x))
+        for i in range(len(g)):
+            for j in range(i, min(len(g), i + 2 * b.total())):
+                common, size = (Counter(g[i : j + 1]) & b).total(), j + 1 - i
+                if 2 * common / (size + b.total()) >= t:
+                    runs.append((-2 * common * common / (size + b.total()), name, k, i, j, size, common, 2 * common / (size + b.total())))
+    for r in sorted(runs):
+        if not any(q[3] <= r[4] and r[3] <= q[4] for q in taken):
+            taken.append(r)
+    return {(r[3], r[5], r[1], r[6], r[7]) for r in taken}
+
+
+def test_licence_passages_against_brute_force(spark, nothing):
+    gpl = next(x for _, x in license_scan.TEMPLATES if x.startswith("This program is free")).split(" ")
+    short = license_scan.TEMPLATES[:2] + license_scan.TEMPLATES[3:4] + license_scan.TEMPLATES[5:8] + [("Twice", "one two one two one two three")]
+    texts = [None, "", "word", prose(5, 200), prose(5, 30) + "\n# " + "\n# ".join(" ".join(gpl[k : k + 10]) for k in range(0, len(gpl), 10)) + "\n" + prose(6, 60)]
+    texts.append("Copyright 2020 Foo. Released under the MIT License. All code here was written by us.")
+    texts.append(" ".join(x for _, x in short) + " released under the mit license" * 3 + " one two one two one two one two three one two")
+    docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, start int")
+    got = {k: set() for k in range(len(texts))}
+    for r in license_scan.passages(docs, templates=short).collect():
+        got[r["doc_id"]].add((r["start"], r["n_bigrams"], r["license"], r["common"], r["dice"]))
+    assert got == {k: passages_brute(t or "", short, license_scan.THRESHOLD) for k, t in enumerate(texts)}
+    assert [len(x) for x in got.values()][:4] == [0] * 4 and {x[2] for x in got[4]} == {"GPL-3.0"} and len(got[6]) > 8
+    assert license_scan.passages(nothing).count() == 0
+
+
+def test_licence_passages_wrapped_inline_and_full(spark):
+    gpl = next(x for _, x in license_scan.TEMPLATES if x.startswith("This program is free")).split(" ")
+    full = lambda k: prose(8, 50) + "\n\n" + license_scan.TEXTS[k][1].replace(", ", ",\n") + "\n" + prose(7, 50)
+    texts = [prose(5, 40) + "\n" + "\n".join(" ".join(gpl[k : k + 11]) for k in range(0, len(gpl), 11)) + "\n" + prose(6, 60), "Copyright 2020 Foo. Released under the MIT License. All code here was written by us.", *map(full, range(4))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["license"], r["dice"]) for r in license_scan.passages(docs).collect())
+    assert got == [(0, "GPL-3.0", 1.0), (1, "MIT", 1.0), (2, "MIT", 1.0), (3, "BSD-2-Clause", 1.0), (4, "BSD-3-Clause", 1.0), (5, "ISC", 1.0)]
+    plan = spark._jvm.PythonSQLUtils.explainString(license_scan.passages(docs)._jdf.queryExecution(), "simple")
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
 # 5 Jaccard join
 
 
