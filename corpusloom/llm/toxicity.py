@@ -2,12 +2,14 @@
 
 The kernel of two words counts common subsequences of three characters that span at most SPAN characters, each
 weighted by DECAY for every character skipped, so insults with gaps or inserted characters stay near the plain
-ones.  A sentence's value against a landmark is that of its best word.  The machine is trained on sentences of
-labelled documents: those of clean documents are negative; of a toxic document the sentences that the model
-finds worst are positive, chosen anew in each round, and clean documents' worst ones are added as hard negatives.
+ones.  The units of a sentence are its words and its pairs of neighbouring words, in which the blank is a character
+that subsequences cross; a pair counts where neither of its words is bad by itself.  The machine is trained on units of
+labelled documents: those of clean documents are negative; of a toxic document the units that the model
+finds worst are positive, chosen anew in each round, also with a blank inserted, and clean documents' worst ones are
+added as hard negatives.
 Landmarks give a feature map K_mm^(-1/2) k_m(x); as the kernel has an explicit (finite) feature space, the trained
-machine collapses exactly into one weight for each subsequence, and scoring a word is a sum of looked-up weights.
-A document's score is a logistic function of the values of its two worst words, occurrences counted.
+machine collapses exactly into one weight for each subsequence, and scoring a unit is a sum of looked-up weights.
+A document's score is a logistic function of the values of its two worst units, occurrences counted.
 
 Defined results: null and empty texts score as a text without any word; a table without labels of both kinds gives
 score 0 everywhere; no column but the text is an input of a score.
@@ -41,13 +43,18 @@ _CODE[0xE0:0x100] = np.arange(28, 60)
 _CODE[0x100:] = 59
 for _a, _b in zip("013457@$", "oieastas"):  # look-alikes
     _CODE[ord(_a)] = _CODE[ord(_b)]
+_CODE[ord(" ")] = 63
 _STEPS = [(d1, d2, DECAY ** (d2 - 2)) for d2 in range(2, SPAN) for d1 in range(1, d2)]
 SIZE = 64**3
+_MARKS = ".,;:!?\"'()[]{}|#*%&$<>-_«»¿¡"
+PHRASES = 2000  # pairs that training looks at because they are more frequent in toxic documents, at most
+SAMPLE_PAIRS = 30  # other pairs of a clean document that training looks at
+CHUNK_WORDS = 100_000
 
 
 def spans_of(word: str) -> list[str]:
     """A token as the words that are scored: without marks at its ends; very long tokens as overlapping stretches."""
-    w = word.strip(".,;:!?\"'()[]{}|#*%&$<>-_«»¿¡") or word
+    w = word.strip(_MARKS) or word
     return [w] if len(w) <= 24 else [w[k : k + 16] for k in range(0, len(w) - 8, 8)]
 
 
@@ -55,6 +62,58 @@ def sentences(text: str) -> list[str]:
     return [s for s in re.split(r"[.!?\n]+", text) if s.strip()]
 
 
+def neighbours(text: str | None) -> tuple[list[str], list[bool]]:
+    """The words of all sentences in order, and whether the next one is of the same sentence."""
+    words: list[str] = []
+    follows: list[bool] = []
+    for s in sentences((text or "").lower()):
+        found = s.split()
+        words += found
+        follows += [True] * (len(found) - 1) + [False]
+    return words, follows
+
+
+def bare(word: str) -> str:
+    return word.strip(_MARKS) or word
+
+
+def pairs_of(text: str | None) -> set[str]:
+    words, follows = neighbours(text)
+    words = [bare(w) for w in words]
+    return {f"{a} {b}" for a, b, f in zip(words, words[1:], follows) if f and len(a) + len(b) < 32}
+
+
+def pair_values(words: list[str], table: np.ndarray) -> np.ndarray:
+    """apply_weights for every word joined with the next by a blank: differences of one array's running sums, the marks
+    at the pair's ends apart; pairs shorter than SPAN one by one."""
+    c = _codes([" ".join(words)])[0][1:-1].astype(np.int64)
+    high, mid = c << 12, c << 6
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(sizes + 1) - 1
+    s, e = (end - sizes)[:-1], end[1:]
+    out = np.zeros(len(s))
+    short = np.flatnonzero(e - s < SPAN).tolist()
+    if short:
+        texts = [f"{words[k]} {words[k + 1]}" for k in short]
+        index = {t: k for k, t in enumerate(dict.fromkeys(texts))}
+        out[short] = apply_weights(list(index), table)[[index[t] for t in texts]]
+    long = np.flatnonzero(e - s >= SPAN)
+    s, e = s[long], e[long]
+    value, square = np.zeros(len(s)), np.zeros(len(s))
+    first, last = table[61 << 12 : 62 << 12], table[62::64]
+    for d2 in range(2, SPAN) if len(s) else ():
+        w, m = DECAY ** (d2 - 2), len(c) - d2
+        inner, ends = np.zeros(m), np.zeros(len(s))
+        for d1 in range(1, d2):
+            inner += table[high[:m] | mid[d1 : d1 + m] | c[d2:]]
+            ends += first[mid[s - 1 + d1] | c[s - 1 + d2]] + last[mid[e - d2] | c[e - d2 + d1]]
+        sums = np.concatenate([[0.0], np.cumsum(inner)])
+        value += w * (sums[e - d2] - sums[s] + ends)
+        square += w * w * (d2 - 1) * (e - s + 2 - d2)
+    out[long] = value / np.sqrt(np.maximum(square, 1e-12))
+    return out
+
+
 def tokens_of(text: str | None) -> set[str]:
     if not text:
         return set()
@@ -195,9 +254,12 @@ def train(texts, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray] | None:
     if len({y for y, _ in docs}) < 2 or not index:
         return None
     words = list(index)
+    pairs = np.array([k for k, w in enumerate(words) if " " in w], np.int64)
+    parts = np.array([[index.get(x, -1) for x in words[k].split(" ", 1)] for k in pairs], np.int64).reshape(-1, 2)
     del index
     rng = np.random.default_rng(11)
     value = _first_scores(words, docs)
+    value[pairs[_part_values(value, parts) >= value[pairs]]] = 0
     clean = np.concatenate([ids for y, ids in docs if not y])
     negative = clean[rng.permutation(len(clean))[:2000]].tolist()
     table = None
@@ -217,8 +279,14 @@ def train(texts, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray] | None:
             negative = ranked[:8000] + ranked[8000 :: max(1, len(ranked) // 4000)]
         known = set(negative)
         positive = [k for k in positive if k not in known] or positive
-        table = _machine([words[k] for k in positive], [words[k] for k in negative], rng)
+        bad = [words[k] for k in positive]
+        split = [f"{w[:k]} {w[k:]}" for w in bad if " " not in w for k in range(1, len(w))]  # a blank may be inserted
+        split = [split[k] for k in np.sort(rng.permutation(len(split))[: 2 * len(bad)])]
+        table = _machine(bad + split, [words[k] for k in negative], rng)
         value = np.concatenate([apply_weights(words[k : k + 20_000], table[:-1]) for k in range(0, len(words), 20_000)]) + table[-1]
+        if turn < rounds - 1:  # a pair that is no worse than one of its words tells nothing new
+            value[pairs[_part_values(value, parts) >= value[pairs]]] = LOW
+    value[pairs[(value[pairs] <= 0) | (_part_values(value, parts) > 0)]] = LOW  # as in scoring
     x = np.array([[1.0, *_worst(value[ids].tolist())] for _, ids in docs])
     y = np.array([float(y) for y, _ in docs])
     w = np.zeros(3)
@@ -231,6 +299,11 @@ def train(texts, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray] | None:
     return table, w
 
 
+def _part_values(value: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """The larger value of a pair's two words; LOW for words that stand nowhere alone."""
+    return np.where(parts >= 0, value[parts], LOW).max(1) if len(parts) else np.zeros(0)
+
+
 def _worst(values) -> tuple[float, float]:
     first = second = LOW
     for v in values:
@@ -244,17 +317,32 @@ def _worst(values) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = SAMPLE_DOCS, where=None):
     """Train on at most per_class labelled documents of either label; where picks the labels that may be learned from."""
 
+    def listed(batches):
+        for b in batches:
+            rows = [(int(y), w) for y, t in zip(b["y"], b["text"]) for w in pairs_of(t)]
+            yield pd.DataFrame(rows, columns=["y", "pair"])
+
     def run(batches):
         for b in batches:
             rows = []
             for y, t in zip(b["y"], b["text"]):
                 found = Counter(w for s in sentences(t or "") for x in tokens_of(s) for w in spans_of(x))
-                rows.append((int(y), " ".join(w for w in sorted(found) for _ in range(min(2, found[w])))))
+                pairs = pairs_of(t)
+                own = zlib.crc32((t or "").encode("utf-8", "replace"))  # each document draws others
+                some = [] if y else sorted(pairs, key=lambda w: (zlib.crc32(w.encode("utf-8", "replace"), own), w))[:SAMPLE_PAIRS]
+                units = [w for w in sorted(found) for _ in range(min(2, found[w]))] + sorted((pairs & phrases).union(some))
+                rows.append((int(y), "\n".join(units)))
             yield pd.DataFrame(rows, columns=["y", "words"])
 
     sample = C.labelled_sample(docs, labels, column, per_class, where)
+    n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return None
+    counts = sample.select("y", "text").mapInPandas(listed, "y int, pair string").groupBy("pair").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
+    ahead = F.col("n1") / n[1] - 3 * F.col("n0") / n[0]
+    phrases = {r["pair"] for r in counts.where((F.col("n1") > 1) & (ahead > 0)).orderBy(ahead.desc(), "pair").limit(PHRASES).collect()}
     rows = sorted((r["y"], r["words"]) for r in sample.select("y", "text").mapInPandas(run, "y int, words string").collect())
-    return train((y, ws.split(" ") if ws else []) for y, ws in rows)
+    return train((y, ws.split("\n") if ws else []) for y, ws in rows)
 
 
 class Scorer:
@@ -280,11 +368,28 @@ class Scorer:
                 self.cache[t] = float(values[k]) if len(x) == 1 else float(values[k : k + len(x)].max())
                 k += len(x)
 
-    def score(self, text: str | None, found: set[str]) -> float:
-        a, b = _worst(map(self.cache.__getitem__, found))
+    def pairs(self, texts) -> list[list[float]]:
+        """The values above 0 of each text's pairs whose words are not bad by themselves."""
+        out: list[list[float]] = [[] for _ in texts]
+        words, open_, owner = [], [], []
+        for k, t in enumerate(texts):
+            w, f = neighbours(t)
+            words += w
+            open_ += f
+            owner += [k] * len(w)
+            if len(words) > 1 and (len(words) >= CHUNK_WORDS or k == len(texts) - 1):
+                values = pair_values([bare(x) for x in words], self.table[:-1]) + self.table[-1]
+                for j in np.flatnonzero((values > 0) & np.array(open_[:-1], bool)).tolist():
+                    if self.cache.get(words[j], LOW) <= 0 and self.cache.get(words[j + 1], LOW) <= 0:
+                        out[owner[j]].append(float(values[j]))
+                words, open_, owner = [], [], []
+        return out
+
+    def score(self, text: str | None, found: set[str], pairs=()) -> float:
+        a, b = _worst([*map(self.cache.__getitem__, found), *pairs])
         if a > 0:  # a bad word twice is two
             split = text.lower().split()
-            a, b = _worst(self.cache[t] for t in [*split, *(found - set(split))])
+            a, b = _worst([*(self.cache[t] for t in [*split, *(found - set(split))]), *pairs])
         return float(1 / (1 + np.exp(-np.clip(self.logit @ (1.0, a, b), -30, 30))))
 
 
@@ -301,7 +406,8 @@ def scores(spark, model, text):
         for at in range(0, len(texts), 500):
             found = [tokens_of(t) for t in texts.iloc[at : at + 500]]
             scorer.learn(set().union(*found))
-            out += map(scorer.score, texts.iloc[at : at + 500], found)
+            part = texts.iloc[at : at + 500].tolist()
+            out += map(scorer.score, part, found, scorer.pairs(part))
         return pd.Series(out, dtype="float64")
 
     return of(text)

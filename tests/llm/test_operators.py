@@ -576,6 +576,37 @@ def test_toxicity_tolerates_gaps(toxic_model):
     assert "moron" in toxicity.tokens_of("you m o r o n there")
 
 
+def test_pair_values_equal_the_kernel_of_joined_words():
+    table = np.random.default_rng(3).normal(size=toxicity.SIZE)
+    for words in (["a", "b"], ["a", "b", "idi", "ot", "worth", "less", "ü", "x" * 40, "a", "bc", "d"]):
+        assert np.allclose(toxicity.pair_values(words, table), toxicity.apply_weights([f"{a} {b}" for a, b in zip(words, words[1:])], table))
+
+
+def test_toxicity_crosses_blanks(spark, toxic_model):
+    clean = [prose(k, 60) for k in range(700, 760)]
+    split = ["wor thless", "worth less", "pathe tic", "mor on", "worthl ess"]
+    texts = [t + f" {split[k % 5]} and {split[(k + 1) % 5]} " + t for k, t in enumerate(clean)] + clean
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(toxicity.score(docs, toxic_model))
+    assert np.mean([got[k]["score"] >= 0.5 for k in range(60)]) >= 0.9
+    assert np.mean([got[k]["score"] >= 0.5 for k in range(60, 120)]) <= 0.05
+
+
+def test_toxicity_learns_phrases_of_harmless_words(spark):
+    def text(k, y):  # every word is as frequent in clean texts; the pair is not
+        w = prose(k, 60).replace(".", "").replace(",", "").split(" ")
+        for at in (7, 40):
+            w[at:at] = ["wither", "quickly"] if y else ["quickly", *w[at : at + 3], "wither"]
+        return " ".join(w)
+
+    rows = [(k, text(9000 + k, int(k % 4 == 0)), int(k % 4 == 0)) for k in range(300)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int"))
+    new = [(k, text(20_000 + k, k % 2)) for k in range(100)]
+    got = by_id(toxicity.score(spark.createDataFrame(new, "doc_id long, text string"), model))
+    assert np.mean([(got[k]["score"] >= 0.5) == (k % 2 == 1) for k, _ in new]) >= 0.95
+
+
 def test_collapsed_weights_equal_the_landmark_kernel():
     landmarks, words = ["idiot", "alpha", "moron"], ["idioot", "beta", "mo.ron", "alphabet"]
     k = toxicity.kernel(words, landmarks)
