@@ -11,7 +11,8 @@ Filters and exact keys travel to the documents as one broadcast while their chec
 BROADCAST_BYTES; beyond it the lines are joined with the table by key and gathered by document text instead.
 
 Defined results: a null or empty text is one empty line; empty keys are never dropped; repeated rows count as
-documents of their own; a null doc_id counts, but is never the first document.
+documents of their own; a null doc_id counts, but is never the first document; with keep_first a line
+whose documents all have a null doc_id stays in all of them.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ MIN_DOCS = 10
 SHARDS, SHARD_KEYS = 64, 1 << 20  # shards at least, and dropped keys in one of them, about
 BROADCAST_BYTES = 64 << 20
 SLOTS = 4
+UNKNOWN = -(1 << 63)  # stands for a first document without an id
 
 
 def keys_of(text: str | None) -> tuple[list[bytes], list[bytes]]:
@@ -161,11 +163,10 @@ def filters(hot: DataFrame, shards: int = SHARDS) -> DataFrame:
         rows = rows.sort_values(["h1", "h2"])
         h1, h2 = rows["h1"].to_numpy(np.int64), rows["h2"].to_numpy(np.int64)
         cuckoo = Cuckoo.of(h1.view(np.uint64), h2.view(np.uint64))
-        first = rows["first_doc"].astype("float64").isna().to_numpy()
-        firsts = np.where(first, -1, rows["first_doc"].fillna(-1).to_numpy()).astype(np.int64)
+        firsts = rows["first_doc"].to_numpy(np.int64)
         return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "cuckoo": [cuckoo.table.tobytes()], "h1s": [h1.tobytes()], "h2s": [h2.tobytes()], "firsts": [firsts.tobytes()]})
 
-    dealt = hot.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), "h1", "h2", "first_doc")
+    dealt = hot.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), "h1", "h2", F.coalesce("first_doc", F.lit(UNKNOWN).cast("long")).alias("first_doc"))
     return dealt.groupBy("shard").applyInPandas(build, "shard int, cuckoo binary, h1s binary, h2s binary, firsts binary")
 
 
@@ -209,6 +210,8 @@ def drop_lines(text: str | None, gone, doc_id: int | None, keep_first: bool) ->
     kept, mine = [], set()
     for line, key in zip(lines, keys):
         first = gone.get(hash_key(key)) if key else None
+        if first == UNKNOWN and keep_first:  # no document can be named that keeps it
+            first = None
         if first is not None and keep_first and first == doc_id and key not in mine:
             mine.add(key)
             first = None

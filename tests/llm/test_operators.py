@@ -185,6 +185,14 @@ def test_line_dedup_both_paths(docs, texts, keep_first, limit):
     assert any(v[1] for v in want.values())
 
 
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+def test_lines_of_documents_without_ids_stay(spark, limit):
+    rows = [(None, "all null\nsome null")] * 10 + [(-1, "some null\nminus one"), (7, "minus one\nseven")] + [(k, "minus one") for k in range(20, 29)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in line_dedup.dedup(docs, keep_first=True, broadcast_bytes=limit).collect())
+    assert got == Counter({(None, "all null"): 10, (-1, "some null\nminus one"): 1, (7, "seven"): 1} | {(k, ""): 1 for k in range(20, 29)})
+
+
 def test_line_counts_are_reversible(docs, nothing):
     a, b = docs.where("doc_id < 20"), docs.where("doc_id >= 20")
     rows = lambda t: {(r["h1"], r["h2"]): (r["n_docs"], r["first_doc"]) for r in t.collect()}
