@@ -117,6 +117,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     that smallest node has no row of its own.
 
     Alternates large-star and small-star steps; each is one aggregation on the node and each result is stashed.
+    An error is raised where the state still changes after the last round.
     A node with very many neighbours is never gathered: the minimum is aggregated map-side, then joined."""
     spark = edges.sparkSession
     cur = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
@@ -135,6 +136,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if last == (sums["n"], sums["h"]):
             break
         last = (sums["n"], sums["h"])
+    else:
+        raise RuntimeError(f"connected components did not settle in {rounds} rounds")
     return cur.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("component")), cur
 
 

@@ -653,6 +653,11 @@ def test_connected_components(spark):
     assert {x["node"]: x["component"] for x in comp.collect()} == want
 
 
+def test_connected_components_that_do_not_settle(spark):
+    with pytest.raises(RuntimeError, match="did not settle in 2 rounds"):
+        common.connected_components(spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long"), rounds=2)
+
+
 def test_pipeline_stages(spark, small):
     import corpus_pipeline
 
