@@ -8,7 +8,8 @@ crossed it downwards.  A line is looked up in its shard's filter first, and what
 table, so false positives drop nothing.
 
 Filters and exact keys travel to the documents as one broadcast while their checked size is at most
-BROADCAST_BYTES; beyond it the lines are joined with the table by key and gathered by document text instead.
+BROADCAST_BYTES; beyond it the lines are joined with the exact keys and gathered by document text instead, and the
+filters take no part.
 
 Defined results: a null or empty text is one empty line; empty keys are never dropped; repeated rows count as
 documents of their own; a null doc_id counts, but is never the first document; with keep_first a line
@@ -246,7 +247,7 @@ def _apply_broadcast(docs: DataFrame, found: DataFrame, shards: int, keep_first:
 
 
 def _apply_shuffled(docs: DataFrame, found: DataFrame, shards: int, keep_first: bool) -> DataFrame:
-    """The same beyond the bound: filters are spread over the shards' tasks and meet only their own lines' hashes.
+    """The same beyond the bound, without the filters: the lines' hashes are joined with the shards' exact keys.
 
     Hot keys don't gather: the lines' side of the join is split by Spark's skew handling, and a text's dropped keys
     are no more than its own lines."""
