@@ -1,10 +1,11 @@
 """A front end for a subset of SPARQL 1.1 queries, compiled to DataFrame plans over a table of triples.
 
-Understood: PREFIX; SELECT of variables and (expression AS ?v), DISTINCT; COUNT, COUNT(DISTINCT), SUM, MIN, MAX; basic
-graph patterns with a, names, IRIs and literals; OPTIONAL, UNION, nested groups; FILTER with && || ! comparison, IN,
-NOT EXISTS; BIND; STR, SUBSTR, STRLEN, LCASE, UCASE, CONTAINS, STRSTARTS, IF, RAND, xsd:integer; GROUP BY, ORDER BY,
-LIMIT, OFFSET.  Patterns become filtered projections of the triples joined on the variables they share; Catalyst picks
-order and strategy.  Solutions are bags.  An unbound variable is null; a filter that is not true drops its solution.
+Understood: PREFIX; SELECT of variables and (expression AS ?v), DISTINCT; COUNT, COUNT(DISTINCT), SUM, MIN, MAX, AVG, also
+within expressions; basic graph patterns with a, names, IRIs and literals; OPTIONAL, UNION, nested groups; FILTER with
+&& || ! comparison, arithmetic, IN, NOT EXISTS; BIND; STR, SUBSTR, STRLEN, LCASE, UCASE, CONTAINS, STRSTARTS, IF, RAND,
+xsd:integer; GROUP BY, HAVING, ORDER BY, LIMIT, OFFSET.  Patterns become filtered projections of the triples joined on
+the variables they share; Catalyst picks order and strategy.  Solutions are bags.  An unbound variable is null: it is
+compatible with every value where groups are joined, and a filter that is not true drops its solution.
 What isn't understood raises SparqlError.
 """
 
@@ -34,6 +35,7 @@ class Parser:
             self.tokens.append((m.lastgroup, m[m.lastgroup]))
             at = m.end()
         self.at, self.triples, self.seed, self.prefixes = 0, triples, seed, {}
+        self.unbound: set[str] = set()  # variables that some solutions leave unbound
 
     # tokens
 
@@ -89,27 +91,37 @@ class Parser:
         for name, start in items:
             if start >= 0:
                 self.at = start
-                is_aggregate = self.word() in AGGREGATES
-                (aggregates if is_aggregate else out)[name] = self.expression(rows)
+                (aggregates if self.aggregated(start, "AS") else out)[name] = self.expression(rows)
         self.at = end
-        if keys or aggregates:
-            if reused := [k for k in aggregates if k in rows.columns]:
-                raise SparqlError(f"?{reused[0]} is already in scope")
-            rows = rows.groupBy(*keys).agg(*(c.alias(k) for k, c in aggregates.items()))
-        for name, c in out.items():
-            rows = rows.withColumn(name, c)
-        order = []
+        scope = rows.columns
+        if self.has("HAVING"):
+            aggregates["_having"] = self.primary(rows)
+        order: list[tuple[str | Column, bool]] = []
         if self.has("ORDER"):
             self.take("BY")
             while self.at < len(self.tokens) and self.word() not in ("LIMIT", "OFFSET"):
                 down = self.has("DESC")
                 if not down:
                     self.has("ASC")
-                c = self.primary(rows)
-                order.append(c.desc_nulls_last() if down else c.asc_nulls_first())
+                if self.aggregated(self.at, ""):
+                    aggregates[name := f"_order{len(order)}"] = self.primary(rows)
+                    order.append((name, down))
+                elif self.peek().startswith("?"):
+                    order.append((self.take()[1][1:], down))
+                else:
+                    order.append((self.primary(rows), down))
+        if keys or aggregates:
+            if reused := [k for k in aggregates if k in scope]:
+                raise SparqlError(f"?{reused[0]} is already in scope")
+            rows = rows.groupBy(*keys).agg(*(c.alias(k) for k, c in aggregates.items())) if aggregates else rows.select(*keys).distinct()
+        if "_having" in aggregates:
+            rows = rows.where("_having").drop("_having")
+        for name, c in out.items():
+            rows = rows.withColumn(name, c)
         if order:
-            rows = rows.orderBy(*order)
-        names = [k for name, _ in items for k in (rows.columns if name == "*" else [name])]
+            by = [F.col(c) if isinstance(c, str) and c in rows.columns else F.lit(None) if isinstance(c, str) else c for c, _ in order]
+            rows = rows.orderBy(*(c.desc_nulls_last() if down else c.asc_nulls_first() for c, (_, down) in zip(by, order)))
+        names = [k for name, _ in items for k in ([c for c in rows.columns if c[0] != "_"] if name == "*" else [name])]
         if missing := [k for k in names if k not in rows.columns]:
             rows = rows.withColumns({k: F.lit(None).cast("string") for k in missing})
         rows = rows.select(*names)
@@ -124,6 +136,18 @@ class Parser:
             raise SparqlError(f"unexpected {self.peek()!r}")
         return rows
 
+    def aggregated(self, at: int, stop: str) -> bool:
+        """Whether an expression, up to a word or the bracket that ends it, holds an aggregate."""
+        depth, found = 0, False
+        while at < len(self.tokens):
+            word = self.tokens[at][1].upper()
+            depth += {"(": 1, ")": -1}.get(word, 0)
+            found |= word in AGGREGATES and at + 1 < len(self.tokens) and self.tokens[at + 1][1] == "("
+            if (stop and word == stop and depth == 0) or (not stop and depth <= 0 and word in (")", "LIMIT", "OFFSET")) or (not stop and depth == 0 and word.startswith("?")):
+                return found
+            at += 1
+        return found
+
     # groups
 
     def group(self) -> DataFrame:
@@ -141,7 +165,10 @@ class Parser:
                     filters.append(self.at)
                     self.skip()
             elif self.has("OPTIONAL"):
-                rows = self.join(rows, self.group(), "left")
+                part = self.group()
+                new = set(part.columns) - set(rows.columns if rows is not None else [])
+                rows = self.join(rows, part, "left")
+                self.unbound |= new
             elif self.has("BIND"):
                 self.take("(")
                 if rows is None:
@@ -153,7 +180,9 @@ class Parser:
             elif self.peek() == "{":
                 part = self.group()
                 while self.has("UNION"):
-                    part = part.unionByName(self.group(), allowMissingColumns=True)
+                    other = self.group()
+                    self.unbound |= set(part.columns) ^ set(other.columns)
+                    part = part.unionByName(other, allowMissingColumns=True)
                 rows = self.join(rows, part, "inner")
             else:
                 rows = self.join(rows, self.pattern(), "inner")
@@ -166,8 +195,7 @@ class Parser:
             rows = rows.where(self.primary(rows))
         self.at = end
         for part in absent:
-            shared = [c for c in part.columns if c in rows.columns]
-            rows = rows.join(part.select(*shared).distinct(), shared, "left_anti")
+            rows = self.join(rows, part.select(*(c for c in part.columns if c in rows.columns)).distinct() if set(part.columns) & set(rows.columns) else part.limit(1), "left_anti")
         return rows
 
     def skip(self) -> None:
@@ -180,14 +208,23 @@ class Parser:
             if depth == 0:
                 return
 
-    @staticmethod
-    def join(rows: DataFrame | None, part: DataFrame, how: str) -> DataFrame:
+    def join(self, rows: DataFrame | None, part: DataFrame, how: str) -> DataFrame:
+        """Solutions that are compatible: equal in the variables that both bind.  Variables that every solution binds
+        make an equi-join; one that may be unbound on a side adds a condition to it."""
         if rows is None:
             return part
         shared = [c for c in part.columns if c in rows.columns]
+        open_ = [c for c in shared if c in self.unbound]
         if not shared:
             return rows.crossJoin(part) if how == "inner" else rows.join(part, F.lit(True), how)
-        return rows.join(part, shared, how)
+        if not open_:
+            return rows.join(part, shared, how)
+        other = part.toDF(*(f"_{c}" if c in shared else c for c in part.columns))
+        tests = [F.col(c) == F.col(f"_{c}") if c not in open_ else F.col(c).isNull() | F.col(f"_{c}").isNull() | (F.col(c) == F.col(f"_{c}")) for c in shared]
+        out = rows.join(other, reduce(lambda a, b: a & b, tests), how)
+        if how == "left_anti":
+            return out
+        return out.select(*(F.coalesce(c, f"_{c}").alias(c) if c in open_ else F.col(c) for c in rows.columns), *(c for c in part.columns if c not in shared))
 
     def term(self) -> tuple[str, str]:
         """('var', name), ('iri', short name) or ('lit', text)."""
@@ -239,10 +276,10 @@ class Parser:
         return left
 
     def comparison(self, rows: DataFrame) -> Column:
-        left = self.primary(rows)
+        left = self.sum(rows)
         for op, f in {"=": lambda a, b: a == b, "!=": lambda a, b: a != b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, "<": lambda a, b: a < b}.items():
             if self.has(op):
-                return f(left, self.primary(rows))
+                return f(left, self.sum(rows))
         if self.has("IN"):
             self.take("(")
             values = [self.expression(rows)]
@@ -252,6 +289,28 @@ class Parser:
             return reduce(lambda a, b: a | b, (left == v for v in values))
         return left
 
+    def number(self, read, rows: DataFrame) -> tuple[Column, bool]:
+        """What read gives, and whether it is a bare variable, whose text counts as a number."""
+        bare = self.peek().startswith("?")
+        at = self.at
+        c = read(rows)
+        return c, bare and self.at == at + 1
+
+    def sum(self, rows: DataFrame) -> Column:
+        return self.chain(rows, self.product, {"+": lambda a, b: a + b, "-": lambda a, b: a - b})
+
+    def product(self, rows: DataFrame) -> Column:
+        return self.chain(rows, self.primary, {"*": lambda a, b: a * b, "/": lambda a, b: a / b})
+
+    def chain(self, rows: DataFrame, read, steps: dict) -> Column:
+        left, bare = self.number(read, rows)
+        while self.peek() in steps:
+            step = steps[self.take()[1]]
+            right, bare_right = self.number(read, rows)
+            left = step(left.try_cast("double") if bare else left, right.try_cast("double") if bare_right else right)
+            bare = False
+        return left
+
     def arguments(self, rows: DataFrame) -> list[Column]:
         self.take("(")
         out: list[Column] = []
@@ -263,6 +322,8 @@ class Parser:
     def primary(self, rows: DataFrame) -> Column:
         if self.has("!"):
             return ~self.primary(rows)
+        if self.has("-"):
+            return -self.primary(rows)
         if self.has("("):
             c = self.expression(rows)
             self.take(")")
