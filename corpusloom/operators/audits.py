@@ -9,6 +9,8 @@ from ..functions.text import is_noise_title
 from .records import missing_values
 
 MIN_TRIPLES = 50
+#: Decisions on a title, and what stands for a missing one.
+FINE, NOTHING_BETTER, CORRECTED, EMPTY_TITLE = "ja_ok", "ruins_sem_manifest", "corrigido", "(vazio)"
 
 
 def codes(**tests: Column) -> Column:
@@ -51,12 +53,13 @@ def validate(graph: DataFrame, optional: tuple[str, ...] = ("language",)) -> Dat
 
 
 def repair_decision(current: Column, manifest: Column) -> Column:
-    return F.when(~is_noise_title(current), "ja_ok").when(is_noise_title(manifest), "ruins_sem_manifest").otherwise("corrigido")
+    return F.when(~is_noise_title(current), FINE).when(is_noise_title(manifest), NOTHING_BETTER).otherwise(CORRECTED)
 
 
-def download_status(skipped: Column, url: Column, head_bytes: Column, most: int, content_type: Column, size: Column, magic: Column, error: Column) -> Column:
-    """The states of a download, the first that applies."""
-    return F.when(skipped, "skipped").when(url.isNull(), "no_pdf").when(head_bytes > most, "too_large").when(error.isNotNull(), "failed").when(~F.contains(content_type, F.lit("pdf")) & ~F.contains(content_type, F.lit("octet")), "bad_content_type").when(size > most, "too_large_stream").when(size == 0, "empty").when(magic != "%PDF-", "not_pdf").otherwise("ok")
+def download_status(held: Column, url: Column, head_bytes: Column, most: int, answered: Column, content_type: Column, size: Column, magic: Column) -> Column:
+    """The state of a download, the first that applies; the states are those of sources.sinks."""
+    pdf = F.contains(F.lower(content_type), F.lit("pdf")) | F.endswith(F.lower(url), F.lit(".pdf"))
+    return F.when(held > 1024, "already_exists").when(url.isNull(), "no_pdf_url").when(head_bytes > most, "skipped_too_large").when(~answered, "download_failed").when(~pdf, "not_pdf").when(size > most, "skipped_too_large").when(magic != "%PDF-", "invalid_pdf").otherwise("ok")
 
 
 def first_tier(*candidates: Column) -> Column:

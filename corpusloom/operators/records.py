@@ -110,3 +110,9 @@ def shorten(x: Column, prefixes: list[str], chars: int = 120) -> Column:
     for p in prefixes:
         x = F.replace(x, F.lit(p), F.lit(""))
     return F.substring(x, 1, chars)
+
+
+def shuffled(rows: DataFrame, seed: int, *keys: str) -> DataFrame:
+    """Rows in an order that looks random and is the same for the same seed and keys, wherever they lie."""
+    text = F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys))
+    return rows.orderBy(F.md5(text), *keys)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from ..sources.adapters import Corpus
 from . import catalog
 
+#: What stands for an empty table, and how much of a cell is shown.
 NO_DATA, CELL = "_Sem dados._", 100
 
 SECTIONS = [("Corpus", "R01"), ("Types", "R02"), ("Rhetorical classes", "R03"), ("Years", "R04"), ("Subjects", "R05"), ("Items", "R06"), ("Density", "R07"), ("Topics", "R08"), ("Limitations by area", "R09"), ("Cited references", "R10"), ("Keywords", "R11"), ("Quantitative claims", "R12"), ("Works with most limitations", "R13"), ("Future work by area", "R14")]

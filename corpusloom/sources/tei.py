@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 NS = {"t": "http://www.tei-c.org/ns/1.0"}
 PARA_CHARS, BODY_CHARS = 30, 500
 
-PARSED = "name string, status string, title string, authors array<string>, abstract array<string>, sections array<struct<head: string, n: string, paragraphs: array<string>>>, refs array<struct<title: string, year: string, authors: array<string>>>, body_chars long"
+#: Where authors are looked for, in this order.
 AUTHOR_PATHS = (".//t:fileDesc//t:analytic//t:persName", ".//t:author//t:persName", ".//t:sourceDesc//t:persName")
 
+PARSED = "name string, status string, title string, authors array<string>, abstract array<string>, sections array<struct<head: string, n: string, paragraphs: array<string>>>, refs array<struct<title: string, year: string, authors: array<string>>>, body_chars long"
+
 
 def text_of(node) -> str:
     """All text below a node, joined by blanks, white space collapsed."""
@@ -62,6 +64,44 @@ def parse_table(rows: DataFrame, name: str = "name", content: str = "content") -
     return rows.select(F.col(name).alias("name"), F.col(content).alias("content")).mapInPandas(run, PARSED)
 
 
+OUTLINE = "name string, status string, title string, persons array<string>, body string, heads array<string>, ref_titles array<string>"
+#: The author paths that the quality gate looks at, in this order.
+GATE_AUTHOR_PATHS = (".//t:fileDesc//t:analytic//t:persName", ".//t:fileDesc//t:author//t:persName")
+
+
+def raw_text(node) -> str:
+    """All text below a node, joined by blanks; white space stays."""
+    return "" if node is None else " ".join(node.itertext()).strip()
+
+
+def outline_of(content: str | bytes) -> dict:
+    """What the quality gate judges: texts as they are, a head for each division (None where it has none)."""
+    try:
+        root = ET.fromstring(content)
+    except ET.ParseError:
+        return {"status": "parse_error"}
+    titles = [x for path in (".//t:fileDesc/t:titleStmt/t:title", ".//t:titleStmt/t:title") if (x := root.find(path, NS)) is not None]
+    persons = next((p for path in GATE_AUTHOR_PATHS if (p := root.findall(path, NS))), [])
+    body = root.find(".//t:body", NS)
+    heads = [None if (h := div.find("t:head", NS)) is None else raw_text(h) for div in ([] if body is None else body.iterfind(".//t:div", NS))]
+    refs = []
+    for bib in root.findall(".//t:listBibl/t:biblStruct", NS):
+        named = [x for level in "am" if (x := bib.find(f".//t:title[@level='{level}']", NS)) is not None]
+        refs.append(raw_text(named[0]) if named else "")
+    return {"status": "ok", "title": raw_text(titles[0]) if titles else "", "persons": [raw_text(x) for x in persons], "body": None if body is None else raw_text(body), "heads": heads, "ref_titles": refs}
+
+
+def outline(rows: DataFrame, name: str = "name", content: str = "content") -> DataFrame:
+    """An outline for each document's text or bytes; see outline_of."""
+    columns = ["name", "status", "title", "persons", "body", "heads", "ref_titles"]
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame([dict.fromkeys(columns) | {"name": n} | outline_of(c if c is not None else "") for n, c in zip(b["name"], b["content"])], columns=columns)
+
+    return rows.select(F.col(name).alias("name"), F.col(content).alias("content")).mapInPandas(run, OUTLINE)
+
+
 def read(spark: SparkSession, path: str, pattern: str = "*.tei.xml") -> DataFrame:
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return parse_table(rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content"))
