@@ -28,9 +28,11 @@ def first_wins(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value) of text files whose line order matters."""
-    whole = spark.read.option("wholetext", True).text(path)
-    return whole.select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    """(file, line, value) of text files whose line order matters; line grows along a file, and counts nothing else.
+
+    Files are split as ever, so a large one is many tasks: a line's place is its split's start, then its place there."""
+    rows = spark.read.text(path)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("line"), "value")
 
 
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -77,9 +79,10 @@ def done(log: DataFrame, statuses: list[str]) -> DataFrame:
 
 
 def files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """(path, name, length, modificationTime, content) of the files that match, in order of their names."""
+    """(path, name, length, modificationTime, content) of the files that match; orderBy("name") of what is kept of them
+    gives them in order, without a shuffle of their contents."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", "modificationTime", "content").orderBy("name")
+    return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", "modificationTime", "content")
 
 
 def newest(rows: DataFrame, name: str, time: str) -> DataFrame:
