@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any
+from ..operators.records import shuffled
 from ..sources.adapters import SUBJECT_PREFIX, Corpus, sql_prefix
 
 #: Terms that occur in the test tables, per role.
@@ -263,12 +264,12 @@ def canonical_refs(c: Corpus, limit: int = 30) -> DataFrame:
     return found.orderBy("area", F.desc("n"), "ref_titulo").limit(limit)
 
 
-@query("A07")
+@query("A07", "SELECT title AS titulo, content AS contribuicao FROM works JOIN items USING (doc_id) WHERE kind = 'contribution' AND length(title) > 20 AND length(content) > 60 AND NOT (contains(lower(content), 'este trabalho') OR contains(lower(content), 'neste trabalho') OR contains(lower(content), 'this work') OR contains(lower(content), 'this thesis')) ORDER BY md5('42|' || doc_id || '|' || j), doc_id, j LIMIT 15")
 def sample_contributions(c: Corpus, seed: int = 42, limit: int = 15) -> DataFrame:
     """A random sample of specific contributions; the seed makes it repeatable."""
     found = titled(c).join(item_texts(c, "contribution").where(F.length("content") > 60), "doc_id")
     found = found.where(~contains_any(F.col("content"), ["este trabalho", "neste trabalho", "this work", "this thesis"]))
-    return found.orderBy(F.xxhash64(F.lit(seed), "doc_id", "j")).limit(limit).select(F.col("title").alias("titulo"), F.col("content").alias("contribuicao"))
+    return shuffled(found, seed, "doc_id", "j").limit(limit).select(F.col("title").alias("titulo"), F.col("content").alias("contribuicao"))
 
 
 @query("A08", "SELECT year AS ano, count(DISTINCT doc_id) AS total FROM works JOIN (SELECT doc_id FROM subjects WHERE contains(lower(subject), 'high') UNION ALL SELECT doc_id FROM keywords WHERE contains(lower(keyword), 'high') OR contains(lower(keyword), 'cl')) USING (doc_id) WHERE length(year) = 4 GROUP BY year")

@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions import text as fn
-from ..operators import audits, records
-from ..sources import readers
+from ..operators import audits, comparison, discourse, gates, records, structure
+from ..sources import readers, services, sinks, storage, tei, turtle
 from ..sources.adapters import SUBJECT_PREFIX, Corpus, sql_prefix
-from . import graph
+from . import catalog, graph
 from .catalog import item_texts
 
 QUERIES: dict[str, tuple[Callable[[Corpus], DataFrame], str | None]] = {}
@@ -37,6 +38,30 @@ def joined(x) -> F.Column:
     return F.array_join(x, ",")
 
 
+def _listed(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def _alternatives(patterns) -> str:
+    return "|".join(f"(?:{p})" for p in patterns)
+
+
+#: Heads for the lines of the test documents, whose own words are made up.
+HEADINGS = ["1 Introdução", "VII - CONCLUSÕES", "Capítulo 5 Resultados", "Related Work", "Materiais e métodos", "Discussão", "REFERÊNCIAS", "Apêndice A", "Agradecimentos", "Sugestões para trabalhos", "Figura 3", "Considerações finais", "Fundamentos", "Resumo", "Sumário 2005"]
+HEADING_SQL = f"[{_listed(HEADINGS)}][(doc_id * 3 + i) % {len(HEADINGS)} + 1]"
+
+
+def heading():
+    return F.element_at(F.array(*map(F.lit, HEADINGS)), ((F.col("doc_id") * 3 + F.col("i")) % len(HEADINGS) + 1).cast("int"))
+
+
+def told_sections(c: Corpus) -> DataFrame:
+    """Lines as sections of which some have a telling head, some a telling phrase and some a telling class."""
+    head = F.when(F.col("doc_id") % 3 == 0, heading()).otherwise("Figura 3")
+    text = F.concat("line", F.when((F.col("doc_id") + F.col("i")) % 7 == 0, " The results show it.").otherwise(""))
+    return c.lines.select("doc_id", "i", head.alias("head"), text.alias("text"), F.when(F.col("i") % 4 == 0, "deo:Results").otherwise("doco:Section").alias("class"))
+
+
 MANIFEST_SQL = """, manifest AS (
   SELECT d.doc_id, '11422/' || d.doc_id AS handle, substr(d.text, 1, 60) AS title, list_filter([c.c_name], lambda x: x IS NOT NULL) AS creators,
          list_filter([d.source, CASE WHEN o.o_orderkey IS NOT NULL THEN 'CNPQ::' || o.o_orderpriority END], lambda x: x IS NOT NULL) AS subjects,
@@ -156,10 +181,19 @@ def _(c):
     return c.items.where(F.length("content") >= 40).select("doc_id", "kind", "j", "content")
 
 
+@operator("PRJ8", f"""SELECT doc_id, coalesce(list_filter(kept, lambda x: regexp_matches(lower(substr(x, 1, 80)), '{_alternatives(rules.ABSTRACT_MARKERS)}'))[1],
+                             kept[list_position(list_transform(kept, lambda x: length(x)), list_max(list_transform(kept, lambda x: length(x))))], '') AS abstract
+                      FROM (SELECT doc_id, list_filter(l, lambda x: NOT regexp_matches(lower(substr(x, 1, 120)), '{_alternatives(rules.ABSTRACT_SKIP)}')) AS kept
+                            FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, k: CASE WHEN k = 1 AND doc_id % 2 = 0 THEN 'Dedico ' || x WHEN k = 2 AND doc_id % 3 = 0 THEN 'Resumo: ' || x ELSE x END) AS l FROM documents))""")
+def _(c):
+    told = lambda x, k: F.when((k == 0) & (F.col("doc_id") % 2 == 0), F.concat(F.lit("Dedico "), x)).when((k == 1) & (F.col("doc_id") % 3 == 0), F.concat(F.lit("Resumo: "), x)).otherwise(x)
+    return c.raw("documents").select("doc_id", rules.abstract_of(F.transform(F.split("text", "\n"), told)).alias("abstract"))
+
+
 @operator("PRJ12", "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'deo:Results' WHEN 'assistant' THEN 'deo:Background' ELSE 'doco:Section' END AS class FROM conversations")
 def _(c):
-    names = {"user": "deo:Results", "assistant": "deo:Background"}
-    return c.raw("conversations").select("conv_id", "turn", F.coalesce(F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[F.col("role")], F.lit("doco:Section")).alias("class"))
+    kind = F.when(F.col("role") == "user", "Results").when(F.col("role") == "assistant", "contribution").otherwise(F.col("role"))
+    return c.raw("conversations").select("conv_id", "turn", rules.rhetorical_class(kind).alias("class"))
 
 
 @operator("PRJ13", "SELECT page_id, substr(replace(replace(url, 'https://', ''), 'http://', ''), 1, 20) AS short FROM pages")
@@ -172,15 +206,18 @@ def _(c):
     return records.first_section(c.sections, ["the", "und"], 200, 30).select("doc_id", big("i").alias("i"), "head", "n_chars")
 
 
-@operator("PRJ15", "SELECT doc_id, i, 'Section: ' || head || chr(10) || substr(line, 1, 100) AS prompt FROM sections JOIN lines USING (doc_id, i)")
+@operator("PRJ15", """SELECT doc_id, i, 'Thesis: "' || title || '"' || chr(10) || 'Section: "' || substr(line, 1, 40) || '"' || chr(10) || chr(10) || substr(line, 1, 6000) || chr(10) || chr(10)
+                      || 'Answer with one JSON object: {"claims": [], "contributions": [], "limitations": [], "future_work": [], "keywords_inferred": [], "rhetorical_type": ""}' AS prompt FROM lines JOIN works USING (doc_id)""")
 def _(c):
-    return c.lines.select("doc_id", big("i").alias("i"), F.concat(F.lit("Section: "), F.substring("line", 1, 40), F.lit("\n"), F.substring("line", 1, 100)).alias("prompt"))
+    rows = c.lines.join(c.works.select("doc_id", "title"), "doc_id")
+    return rows.select("doc_id", big("i").alias("i"), rules.prompt(F.col("title"), F.substring("line", 1, 40), F.col("line")).alias("prompt"))
 
 
-@operator("PRJ16", "SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN o.o_orderpriority ELSE substr(d.text, 1, 20) END AS title FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN orders o ON o.o_orderkey = d.doc_id")
+@operator("PRJ16", "SELECT d.doc_id, CASE WHEN o.o_orderpriority IS NOT NULL AND d.doc_id % 3 < 2 THEN o.o_orderpriority WHEN d.doc_id % 3 = 0 THEN '' WHEN d.doc_id % 3 = 1 THEN 'Dedico este trabalho' ELSE substr(d.text, 1, 20) END AS title FROM documents d LEFT JOIN orders o ON o.o_orderkey = d.doc_id")
 def _(c):
-    d = c.raw("documents").join(c.raw("labels"), "doc_id", "left").join(c.raw("orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderpriority"), "doc_id", "left")
-    return d.select("doc_id", F.when(F.col("toxic") == 1, F.col("o_orderpriority")).otherwise(F.substring("text", 1, 20)).alias("title"))
+    d = c.raw("documents").join(c.raw("orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderpriority"), "doc_id", "left")
+    parsed = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, "Dedico este trabalho").otherwise(F.substring("text", 1, 20))
+    return d.select("doc_id", rules.better_title(parsed, F.col("o_orderpriority"), fn.is_thanks_title).alias("title"))
 
 
 @operator("PRJ18", "SELECT conv_id, array_to_string(list_distinct_ordered, ',') AS authors FROM (SELECT conv_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_ordered FROM (SELECT conv_id, list(role ORDER BY turn) AS l FROM conversations GROUP BY conv_id))")
@@ -227,24 +264,62 @@ def _(c):
     return c.refs.select("ref_title").distinct().withColumn("bad", records.is_bad_reference(F.col("ref_title")))
 
 
-@operator("FLT10", "SELECT doc_id, i FROM sections WHERE regexp_matches(lower(head), 'licen|^the |summar') AND n_chars >= 40")
+@operator("FLT8", r"""SELECT page_id, array_to_string(r, ',') AS reasons, len(r) > 0 AS reject FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN ['invalid_magic: b' || chr(39) || substr(html, 1, 5) || chr(39)] ELSE
+  list_filter([CASE WHEN n / 1024 < 10 THEN printf('too_small: %.1fKB', round_even(n / 1024, 1)) END, CASE WHEN n / 1e6 > 80 THEN printf('too_large: %.0fMB', round_even(n / 1e6, 0)) END,
+               CASE WHEN page_id % 5 = 0 THEN 'likely_scan: density=0.0%' END], lambda x: x IS NOT NULL) END AS r
+  FROM (SELECT page_id, html, CASE WHEN page_id % 3 = 0 THEN 90000000 + page_id ELSE octet_length(encode(html)) * 4 END AS n FROM pages))""")
+def _(c):
+    """The PDF gate over pages: with or without the magic bytes, small or large, with text or with bytes that print nothing."""
+    body = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("%PDF-").cast("binary"), F.expr("unhex(repeat('00', 20000))"))).otherwise(F.concat(F.lit("%PDF-").cast("binary"), F.col("html").cast("binary")))
+    content = F.when(F.col("page_id") % 4 == 0, F.col("html").cast("binary")).otherwise(body)
+    size = F.when(F.col("page_id") % 3 == 0, F.lit(90_000_000) + F.col("page_id")).otherwise(F.octet_length("html") * 4)
+    files = c.raw("pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".pdf")).alias("name"), size.cast("long").alias("length"), content.alias("content"))
+    return gates.gate_pdf(files).select(F.col("handle").cast("long").alias("page_id"), joined("reasons").alias("reasons"), "reject")
+
+
+_TEI_SQL = r""", t AS (SELECT doc_id, i, regexp_replace(line, '[^ !#-%(-;=?-~]', '', 'g') AS p, CASE WHEN i % 3 = 2 THEN NULL ELSE {heading} END AS h FROM lines WHERE i < 40),
+ b AS (SELECT doc_id, trim(string_agg(coalesce(h || ' ', '') || p, ' ' ORDER BY i)) AS body, count(*) FILTER (WHERE h IS NOT NULL AND NOT regexp_matches(h, '{toc}', 'i')) AS good FROM t GROUP BY doc_id)"""
+
+
+def tei_documents(c: Corpus) -> DataFrame:
+    """Lines as TEI: a division each, every third without a head."""
+    p = F.regexp_replace("line", r"[^ !#-%(-;=?-~]", "")
+    head = F.when(F.col("i") % 3 == 2, F.lit("")).otherwise(F.concat(F.lit("<head>"), heading(), F.lit("</head>")))
+    divs = c.lines.where("i < 40").select("doc_id", "i", F.concat(F.lit("<div>"), head, F.lit("<p>"), p, F.lit("</p></div>")).alias("div"))
+    body = divs.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "div"))), lambda x: x["div"]), "").alias("body"))
+    xml = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body>'), "body", F.lit("</body></text></TEI>"))
+    return body.select(F.concat(F.col("doc_id").cast("string"), F.lit(".tei.xml")).alias("name"), xml.alias("content"))
+
+
+@operator("FLT9", _TEI_SQL.replace("{heading}", "{h}").format(h=HEADING_SQL, toc="|".join(fn.HEADING_TITLE)) + r"""
+  SELECT doc_id, array_to_string(list_filter([CASE WHEN length(body) < 800 THEN printf('body_too_short: %dch', length(body)) END, CASE WHEN garbage > 0.35 THEN printf('high_garbage: %.0f%%', round_even(100 * garbage, 0)) END,
+  CASE WHEN good < 2 THEN printf('few_real_sections: %d', good) END], lambda x: x IS NOT NULL), ',') AS reasons
+  FROM (SELECT *, CASE WHEN length(body) = 0 THEN 1.0 ELSE 1 - length(regexp_replace(body, '[^\p{L}\p{N}\s]', '', 'g')) / length(body) END AS garbage FROM b)""")
+def _(c):
+    judged = gates.gate_tei(tei.outline(tei_documents(c)))
+    return judged.select(F.col("handle").cast("long").alias("doc_id"), joined("reasons").alias("reasons"))
+
+
+@operator("FLT10", f"SELECT doc_id, i FROM lines WHERE length(line) >= 100 AND regexp_matches(lower({HEADING_SQL}), '{_alternatives(rules.TARGET_HEADS)}', 'i')")
 def _(c):
-    return c.sections.where(fn.any_rule(F.lower("head"), ["licen", "^the ", "summar"]) & (F.col("n_chars") >= 40)).select("doc_id", big("i").alias("i"))
+    return c.lines.where(rules.is_target_head(heading()) & (F.length("line") >= rules.TARGET_CHARS)).select("doc_id", big("i").alias("i"))
 
 
-@operator("FLT11", "SELECT doc_id, i, tier FROM (SELECT doc_id, i, CASE WHEN contains(head, 'licen') THEN 1 WHEN class <> 'Section' THEN 2 ELSE 3 END AS tier FROM sections) QUALIFY tier = min(tier) OVER (PARTITION BY doc_id)")
+@operator("FLT11", f"""SELECT doc_id, i, source FROM (SELECT doc_id, i, CASE WHEN length(text) >= 100 AND regexp_matches(lower(head), '{_alternatives(rules.TARGET_HEADS)}', 'i') THEN 'tei'
+    WHEN length(text) >= 100 AND regexp_matches(text, '{_alternatives(rules.CONTENT_PHRASES)}', 'i') THEN 'tei_content_search' WHEN i % 4 = 0 THEN 'ttl_fallback' END AS source
+    FROM (SELECT doc_id, i, CASE WHEN doc_id % 3 = 0 THEN {HEADING_SQL} ELSE 'Figura 3' END AS head, line || CASE WHEN (doc_id + i) % 7 = 0 THEN ' The results show it.' ELSE '' END AS text FROM lines))
+  WHERE source IS NOT NULL QUALIFY CASE source WHEN 'tei' THEN 1 WHEN 'tei_content_search' THEN 2 ELSE 3 END = min(CASE source WHEN 'tei' THEN 1 WHEN 'tei_content_search' THEN 2 ELSE 3 END) OVER (PARTITION BY doc_id)""")
 def _(c):
-    tier = F.when(F.contains("head", F.lit("licen")), 1).when(F.col("class") != "Section", 2).otherwise(3)
-    return records.lowest_tier(c.sections.select("doc_id", big("i").alias("i"), tier.alias("tier")), "doc_id", "tier")
+    return rules.target_sections(told_sections(c)).select("doc_id", big("i").alias("i"), "source")
 
 
 _WORDS = "SELECT conv_id, turn, string_split_regex(text, '[ \\n.,]+') AS w FROM conversations"
 
 
-@operator("FLT12", f"SELECT conv_id, turn, array_to_string(list_filter(k, lambda x, i: list_position(list_transform(k, lambda y: lower(y)), lower(x)) = i)[1:5], ',') AS keywords FROM (SELECT conv_id, turn, list_filter(list_transform(w, lambda x: trim(x)), lambda x: length(x) >= 4 AND lower(x) NOT IN ('that', 'with')) AS k FROM ({_WORDS}))")
+@operator("FLT12", f"SELECT conv_id, turn, array_to_string(list_filter(k, lambda x, i: list_position(list_transform(k, lambda y: lower(y)), lower(x)) = i)[1:5], ',') AS keywords FROM (SELECT conv_id, turn, list_filter(list_transform(list_concat(['Results', ' Turbina ', 'dados', 'turbina', 'future work', 'Aço'], string_split_regex(text, '[ \\n.,]+')), lambda x: trim(x)), lambda x: length(x) >= 4 AND NOT list_contains([{_listed(rules.KEYWORD_STOP)}], lower(x))) AS k FROM conversations)")
 def _(c):
-    words = F.split("text", r"[ \n.,]+")
-    return c.raw("conversations").select("conv_id", "turn", words.alias("w")).select("conv_id", "turn", joined(fn.first_casing(F.col("w"), ["that", "with"], 4, 5)).alias("keywords"))
+    words = F.concat(F.array(*map(F.lit, ("Results", " Turbina ", "dados", "turbina", "future work", "Aço"))), F.split("text", r"[ \n.,]+"))
+    return c.raw("conversations").select("conv_id", "turn", joined(rules.keywords(words)).alias("keywords"))
 
 
 @operator("FLT13", "SELECT conv_id, turn FROM conversations WHERE length(text) < 40 OR contains(lower(text), 'nesta')")
@@ -366,22 +441,35 @@ def _(c):
     return t.agg(F.count_if(F.contains(F.lower("t"), F.lit("tese"))).alias("teses"), F.count_if(F.contains(F.lower("t"), F.lit("dissert"))).alias("dissertacoes"))
 
 
-_COMPARED = "SELECT l_returnflag AS model, round(avg(l_quantity), 2) AS avg_time, round(avg(l_linenumber) FILTER (WHERE l_linenumber > 1), 2) AS avg_tokens, count(*) FILTER (WHERE l_discount = 0) AS errors, round(avg(l_quantity) * 1970 / 3 / 3600, 1) AS est_h FROM lineitem GROUP BY 1"
+_SAMPLES_SQL = """, samples AS (SELECT role AS model, conv_id, turn, CAST(turn + 0.5 AS DOUBLE) AS time, length(text) AS tokens, CASE WHEN conv_id % 11 = 0 THEN 'timeout' ELSE '' END AS error, conv_id % 5 <> 0 AS valid, substr(regexp_replace(text, '[^a-zA-Z0-9 ]', '', 'g'), 1, 60) AS t FROM conversations),
+ judged AS (SELECT *, CASE WHEN valid THEN 1 + CAST(trim(t) <> '' AS INTEGER) ELSE 0 END AS total, CASE WHEN valid AND length(t) >= 40 THEN 1 ELSE 0 END AS specific, CASE WHEN valid THEN CAST(turn % 2 = 0 AS INTEGER) ELSE 0 END AS more FROM samples),
+ q AS (SELECT *, total + more - specific - CASE WHEN valid THEN more * 1 ELSE 0 END AS generic_only FROM judged)
+"""
+
 
+def samples(c: Corpus) -> DataFrame:
+    """Answers of three models: a claim from the text beside a short one, at times a contribution; every fifth is cut off
+    within a string."""
+    t = F.substring(F.regexp_replace("text", "[^a-zA-Z0-9 ]", ""), 1, 60)
+    whole = F.concat(F.lit('Sure: {"claims": ["'), t, F.lit('", "short"], "contributions": ['), F.when(F.col("turn") % 2 == 0, '"A tool that sorts large tables by their keys in place"').otherwise(""), F.lit('], "keywords_inferred": ["data", "Turbina", "abc"], "rhetorical_type": "'), F.when(F.col("role") == "user", "results").otherwise("mixed"), F.lit('"}'))
+    answer = F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit('{"claims": ["'), t)).otherwise(whole)
+    return c.raw("conversations").select(F.col("role").alias("model"), "conv_id", "turn", answer.alias("answer"), (F.col("turn") + 0.5).alias("time"), F.length("text").alias("tokens"), F.when(F.col("conv_id") % 11 == 0, "timeout").otherwise("").alias("error"))
 
-def compared(c: Corpus) -> DataFrame:
-    return c.raw("lineitem").groupBy(F.col("l_returnflag").alias("model")).agg(F.round(F.avg("l_quantity"), 2).alias("avg_time"), F.round(F.avg(F.when(F.col("l_linenumber") > 1, F.col("l_linenumber"))), 2).alias("avg_tokens"), F.count_if(F.col("l_discount") == 0).alias("errors"), F.round(F.avg("l_quantity") * 1970 / 3 / 3600, 1).alias("est_h"))
 
+_FIGURES = """SELECT model, count(*) AS n, count(*) FILTER (WHERE error <> '') AS errors, count(*) FILTER (WHERE NOT valid) AS json_fail, round_even(avg(time), 2) AS avg_time, round_even(avg(tokens) FILTER (WHERE tokens > 0), 2) AS avg_tokens,
+  round_even(avg(specific + more) FILTER (WHERE valid), 2) AS avg_specific, round_even(avg((total - specific) / (total + more)) FILTER (WHERE valid), 2) AS avg_gen_ratio,
+  round_even(avg(1 + more) FILTER (WHERE valid), 2) AS avg_fields, round_even(avg(1) FILTER (WHERE valid), 2) AS avg_kw, count(*) FILTER (WHERE valid AND model = 'user') AS rhet_ok, round_even(round_even(avg(time), 2) * 1970 / 3 / 3600, 1) AS est_h FROM judged GROUP BY model"""
+_FIGURE_NAMES = ["model", "n", "errors", "json_fail", "avg_time", "avg_tokens", "avg_specific", "avg_gen_ratio", "avg_fields", "avg_kw", "rhet_ok", "est_h"]
 
-@operator("AG8", _COMPARED)
+
+@operator("AG8", _SAMPLES_SQL + _FIGURES)
 def _(c):
-    return compared(c)
+    return comparison.models(comparison.quality(samples(c))).select(*_FIGURE_NAMES)
 
 
-@operator("AG9", f"SELECT model, CAST((errors = 0)::INT * 3 + (avg_time < 26)::INT * 3 + (avg_tokens >= 3)::INT * 2 + (est_h >= 4)::INT AS BIGINT) AS score FROM ({_COMPARED})")
+@operator("AG9", _SAMPLES_SQL + f"SELECT model, CAST((errors = 0)::INT * 3 + (avg_gen_ratio < 0.25)::INT * 3 + (avg_specific >= 3.0)::INT * 2 + (avg_fields >= 3.5)::INT * 2 + (json_fail = 0)::INT * 2 + (avg_kw >= 3.0)::INT AS BIGINT) AS score, avg_time FROM ({_FIGURES}) ORDER BY score DESC, avg_time, model LIMIT 1")
 def _(c):
-    points = lambda test, n: F.when(test, n).otherwise(0)
-    return compared(c).select("model", big(points(F.col("errors") == 0, 3) + points(F.col("avg_time") < 26, 3) + points(F.col("avg_tokens") >= 3, 2) + points(F.col("est_h") >= 4, 1)).alias("score"))
+    return comparison.recommend(comparison.compare(samples(c))).select("model", "score", "avg_time")
 
 
 @operator("AG10", LOG_SQL + "SELECT status, count(*) AS n, round(sum(size) / 1e6, 6) AS mb FROM log GROUP BY status")
@@ -394,10 +482,18 @@ def _(c):
     return manifest(c).select(F.explode("types").alias("type"), fn.year_of(F.col("date")).alias("year")).groupBy("type", "year").agg(F.count("*").alias("n"))
 
 
-@operator("AG12", "SELECT cause, count(*) AS n FROM (SELECT unnest([CASE WHEN n_chars < 100 THEN 'short' ELSE 'long' END, CASE WHEN class = 'Section' THEN 'no_class' ELSE 'class' END]) AS cause FROM sections) GROUP BY cause")
+@operator("AG12", f"""SELECT cause, count(*) AS n FROM (SELECT unnest([CASE WHEN heads = 0 THEN '{discourse.NO_HEADS}' ELSE '{discourse.NO_TARGET_HEADS}' END,
+  CASE WHEN n IS NULL THEN '{discourse.NO_GRAPH}' WHEN deo = 0 THEN '{discourse.NO_GRAPH_SECTIONS}' WHEN linked > 0 THEN '{discourse.NO_GRAPH_TEXT}' ELSE '{discourse.NO_GRAPH_LINKS}' END]) AS cause
+  FROM (SELECT d.doc_id, count(*) FILTER (WHERE h <> '') AS heads, count(*) FILTER (WHERE h <> '' AND regexp_matches(lower(h), '{_alternatives(rules.TARGET_HEADS)}', 'i')) AS target,
+        CASE WHEN d.doc_id % 5 <> 0 AND count(i) > 0 THEN count(i) END AS n, count(*) FILTER (WHERE i % 4 = 0 AND d.doc_id % 7 <> 0) AS deo, count(*) FILTER (WHERE i % 4 = 0 AND d.doc_id % 7 <> 0 AND length(line) > 200) AS linked
+        FROM documents d LEFT JOIN (SELECT doc_id, i, line, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN 'Figura' ELSE {HEADING_SQL} END AS h FROM lines) USING (doc_id) GROUP BY d.doc_id)
+  WHERE target = 0) GROUP BY cause""")
 def _(c):
-    causes = F.array(F.when(F.col("n_chars") < 100, "short").otherwise("long"), F.when(F.col("class") == "Section", "no_class").otherwise("class"))
-    return c.sections.select(F.explode(causes).alias("cause")).groupBy("cause").agg(F.count("*").alias("n"))
+    docs, at = c.raw("documents").select("doc_id"), F.col("doc_id") % 3
+    heads = c.lines.select("doc_id", F.when(at == 0, "").when(at == 1, "Figura").otherwise(heading()).alias("head"))
+    kind = F.when((F.col("i") % 4 == 0) & (F.col("doc_id") % 7 != 0), "deo:Results").otherwise("doco:Section")
+    graphed = c.lines.where("doc_id % 5 <> 0").select("doc_id", kind.alias("class"), F.when(F.length("line") > 200, 1).otherwise(0).alias("n_paragraphs"), F.lit(0).alias("n_with_content"))
+    return discourse.cause_counts(discourse.diagnose_sections(docs, heads, graphed))
 
 
 @operator("AG13", LOG_SQL + "SELECT count(*) FILTER (WHERE status = 'error') AS errors, count(*) FILTER (WHERE status <> 'error') AS ok, round(sum(size), 2) AS total FROM log")
@@ -410,10 +506,10 @@ def _(c):
     return c.raw("documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"), F.sum(F.when(F.col("n_chars") > 1000, 1).otherwise(0)).alias("long_docs"))
 
 
-@operator("AG15", "SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE length(content) >= 40) AS specific, count(*) FILTER (WHERE length(content) < 40) AS generic, round(count(*) FILTER (WHERE length(content) < 40) / greatest(count(*), 1), 4) AS ratio, CAST(4 - count(DISTINCT kind) AS BIGINT) AS missing FROM items GROUP BY doc_id")
+@operator("AG15", _SAMPLES_SQL + "SELECT conv_id, turn, valid, CAST(total + more AS BIGINT) AS total, CAST(specific + more AS BIGINT) AS specific, CAST(total - specific AS BIGINT) AS generic, CAST(CASE WHEN valid THEN 3 - more ELSE 0 END AS BIGINT) AS missing, CAST(valid AS BIGINT) AS keywords_ok FROM judged")
 def _(c):
-    dull = fn.is_generic(F.col("content"), [])
-    return c.items.groupBy("doc_id").agg(F.count("*").alias("total"), F.count_if(~dull).alias("specific"), F.count_if(dull).alias("generic"), F.round(F.count_if(dull) / F.greatest(F.count("*"), F.lit(1)), 4).alias("ratio"), (F.lit(4).cast("long") - F.count_distinct("kind")).alias("missing"))
+    q = comparison.quality(samples(c))
+    return q.select("conv_id", "turn", F.col("q.valid_json").alias("valid"), *(big(f"q.{k}").alias(k) for k in ("total", "specific", "generic")), big(F.size("q.missing")).alias("missing"), big("q.keywords_ok").alias("keywords_ok"))
 
 
 # order and limits
@@ -429,10 +525,10 @@ def _(c):
     return c.raw("pages").select("page_id").orderBy("page_id").limit(7)
 
 
-@operator("SO3")
+@operator("SO3", "SELECT doc_id FROM works ORDER BY md5('7|' || doc_id), doc_id LIMIT 15")
 def _(c):
     """A sample in random order, repeatable by its seed."""
-    return c.works.orderBy(F.rand(7)).limit(15).select("doc_id")
+    return records.shuffled(c.works, 7, "doc_id").limit(15).select("doc_id")
 
 
 @operator("SO4", "SELECT page_id, CAST(length(html) AS BIGINT) AS n FROM pages")
@@ -505,8 +601,39 @@ def _(c):
     return w.select("doc_id", fn.year_of(F.col("date_lex")).alias("y"), F.lower("title").alias("low"), F.contains(F.lower("title"), F.lit("the")).alias("has"), F.startswith("title", F.lit("T")).alias("starts"), big(F.length("title")).alias("n"), F.when(F.length("title") > 40, 1).otherwise(0).alias("flag"), F.col("year").try_cast("int").alias("yi"))
 
 
-for _k in ("FN2", "FN3", "FN4", "FN5", "FN6", "FN7", "FN9"):
-    QUERIES[_k] = QUERIES["FN1"]
+@operator("FN2", "SELECT doc_id, lower(title) AS low FROM works")
+def _(c):
+    return c.works.select("doc_id", F.lower("title").alias("low"))
+
+
+@operator("FN3", "SELECT doc_id, contains(lower(title), 'the') AS hit FROM works")
+def _(c):
+    return c.works.select("doc_id", fn.contains_any(F.col("title"), ["the"]).alias("hit"))
+
+
+@operator("FN4", "SELECT doc_id, subject FROM subjects WHERE starts_with(subject, 'CNPQ::')")
+def _(c):
+    return c.subjects.where(F.startswith("subject", F.lit(SUBJECT_PREFIX))).select("doc_id", "subject")
+
+
+@operator("FN5", "SELECT doc_id, CAST(length(text) AS BIGINT) AS n FROM documents")
+def _(c):
+    return c.raw("documents").select("doc_id", big(F.length("text")).alias("n"))
+
+
+@operator("FN6", "SELECT lang, CAST(sum(CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM documents GROUP BY lang")
+def _(c):
+    return c.raw("documents").groupBy("lang").agg(F.sum(F.when(F.col("n_chars") > 1000, 1).otherwise(0)).alias("n"))
+
+
+@operator("FN7", "SELECT y, count(*) AS n FROM (SELECT substr(date_lex, 1, 4) AS y FROM works) GROUP BY y")
+def _(c):
+    return c.works.withColumn("y", fn.year_of(F.col("date_lex"))).groupBy("y").agg(F.count("*").alias("n"))
+
+
+@operator("FN9", "SELECT conv_id, turn, TRY_CAST(substr(text, 1, 2) AS INTEGER) AS n FROM conversations")
+def _(c):
+    return c.raw("conversations").select("conv_id", "turn", F.substring("text", 1, 2).try_cast("int").alias("n"))
 
 
 @operator("FN10", r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean FROM documents")
@@ -530,9 +657,9 @@ def _(c):
     return c.raw("documents").select("doc_id", fn.any_rule(F.lower("text"), ["licen", "password", "^the"]).alias("hit"))
 
 
-@operator("FN14", "SELECT doc_id, i, class FROM sections")
+@operator("FN14", f"SELECT doc_id, i, CASE {' '.join(f"WHEN regexp_matches(lower({HEADING_SQL}), '{p}', 'i') THEN '{k}'" for p, k in rules.SECTION_CLASSES)} ELSE 'doco:Section' END AS class FROM lines")
 def _(c):
-    return c.sections.select("doc_id", big("i").alias("i"), "class")
+    return c.lines.select("doc_id", big("i").alias("i"), rules.section_class(heading()).alias("class"))
 
 
 @operator("FN15", "SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1, regexp_extract(url, '://([^/?#]+)', 1) AS host FROM pages")
@@ -632,17 +759,34 @@ def _(c):
     return audits.validate(works_graph(c)).select("doc_id", joined("problems").alias("problems"), joined("noted").alias("noted"), "manifest_empty")
 
 
-@operator("AU6", "SELECT decision, count(*) AS n FROM (SELECT CASE WHEN doc_id % 4 <> 0 THEN 'ja_ok' WHEN doc_id % 8 = 0 THEN 'ruins_sem_manifest' ELSE 'corrigido' END AS decision FROM documents) GROUP BY decision")
+_REPAIRS = r""", cur AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Resumo' WHEN doc_id % 4 = 1 THEN NULL ELSE 'A title that is fine as it is' END AS old, CASE WHEN doc_id % 8 = 0 THEN 'Sumário' ELSE 'Named ' || doc_id || ' by the manifest' END AS new FROM documents WHERE doc_id % 9 <> 0),
+ decided AS (SELECT doc_id, CASE WHEN doc_id % 4 > 1 THEN 'ja_ok' WHEN doc_id % 8 = 0 THEN 'ruins_sem_manifest' ELSE 'corrigido' END AS decision, old, new FROM cur)
+"""
+
+
+def repairs(c: Corpus) -> DataFrame:
+    """Titles in a store that lacks every fourth handle, against the manifest's."""
+    d, k = c.raw("documents").where("doc_id % 9 <> 0").select("doc_id"), F.col("doc_id")
+    named = d.select("doc_id", F.when(k % 8 == 0, "Sumário").otherwise(F.concat(F.lit("Named "), k.cast("string"), F.lit(" by the manifest"))).alias("title"))
+    held = c.raw("documents").where("doc_id % 4 <> 1").select("doc_id", F.when(k % 4 == 0, "Resumo").otherwise("A title that is fine as it is").alias("title"))
+    return structure.repair_titles(named, held, "doc_id")
+
+
+@operator("JN5", _REPAIRS + "SELECT doc_id, old, new, decision FROM decided")
+def _(c):
+    return repairs(c)
+
+
+@operator("AU6", _REPAIRS + "SELECT decision, count(*) AS n FROM decided GROUP BY decision")
 def _(c):
-    fine = F.lit("A title that is fine as it is")
-    current, named = F.when(F.col("doc_id") % 4 != 0, fine).otherwise("x"), F.when(F.col("doc_id") % 8 == 0, "Resumo").otherwise(fine)
-    return c.raw("documents").select(audits.repair_decision(current, named).alias("decision")).groupBy("decision").agg(F.count("*").alias("n"))
+    return structure.repair_counts(repairs(c))
 
 
-@operator("AU7", "SELECT CASE WHEN event_type = 'view' THEN 'skipped' WHEN user_id % 7 = 0 THEN 'no_pdf' WHEN value > 100 THEN 'too_large' WHEN event_type = 'error' THEN 'failed' WHEN user_id % 5 = 0 THEN 'bad_content_type' WHEN value > 50 THEN 'too_large_stream' WHEN user_id % 3 = 0 THEN 'not_pdf' ELSE 'ok' END AS status, count(*) AS n FROM events GROUP BY 1")
+@operator("AU7", "SELECT CASE WHEN event_type = 'view' AND value > 30 THEN 'already_exists' WHEN user_id % 7 = 0 THEN 'no_pdf_url' WHEN value > 100 THEN 'skipped_too_large' WHEN event_type = 'error' THEN 'download_failed' WHEN user_id % 5 = 0 THEN 'not_pdf' WHEN value > 50 THEN 'skipped_too_large' WHEN user_id % 3 = 0 THEN 'invalid_pdf' ELSE 'ok' END AS status, count(*) AS n FROM events GROUP BY 1")
 def _(c):
-    e = c.raw("events")
-    status = audits.download_status(F.col("event_type") == "view", F.when(F.col("user_id") % 7 != 0, F.lit("u")), F.col("value"), 100, F.when(F.col("user_id") % 5 == 0, "text/html").otherwise("application/pdf"), F.when(F.col("value") > 50, 1000).otherwise(1), F.when(F.col("user_id") % 3 == 0, "<html").otherwise("%PDF-"), F.when(F.col("event_type") == "error", F.lit("e")))
+    e, u = c.raw("events"), F.col("user_id")
+    held = F.when((F.col("event_type") == "view") & (F.col("value") > 30), 5000)
+    status = audits.download_status(held, F.when(u % 7 != 0, F.lit("u")), F.col("value"), 100, F.col("event_type") != "error", F.when(u % 5 == 0, "text/html").otherwise("application/PDF"), F.when(F.col("value") > 50, 1000).otherwise(1), F.when(u % 3 == 0, "<html").otherwise("%PDF-"))
     return e.select(status.alias("status")).groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -680,7 +824,151 @@ def _(c):
     return graph.replace_values(g, "dcterms:title", new).where("p = 'dcterms:title'").join(works, "s", "left_semi").select("s", "o")
 
 
-QUERIES["SNK5"], QUERIES["SNK7"] = QUERIES["SET2"], QUERIES["X04"]
+# sinks: each writes to the shared folder and reads back what is there
+
+
+@operator("SNK1", LOG_SQL + "SELECT handle, status, line FROM log UNION ALL SELECT handle, status, line FROM log WHERE status = 'error'")
+def _(c):
+    at, rows = storage.scratch(c.spark), log(c).select("handle", "status", "line")
+    sinks.append_lines(rows, at)
+    sinks.append_lines(rows.where("status = 'error'"), at)
+    return c.spark.read.schema(rows.schema).json(at)
+
+
+@operator("SNK2", LOG_SQL + "SELECT handle, status, line FROM log WHERE status = 'error'")
+def _(c):
+    at, rows = storage.scratch(c.spark), log(c).select("handle", "status", "line")
+    sinks.overwrite_lines(rows, at)
+    sinks.overwrite_lines(rows.where("status = 'error'"), at)
+    return c.spark.read.schema(rows.schema).json(at)
+
+
+@operator("SNK3", "SELECT doc_id, i, content FROM paragraphs WHERE doc_id = 7")
+def _(c):
+    at = storage.scratch(c.spark)
+    sinks.write_entities(c.paragraphs.select("doc_id", big("i").alias("i"), "content"), at, "doc_id")
+    return sinks.read_entity(c.spark, at, "doc_id long, i long, content string", "doc_id", 7)
+
+
+_GRAPH_COUNTS = "SELECT p, count(*) AS n FROM (SELECT DISTINCT doc_id, 'dcterms:title' AS p, title AS o FROM works UNION SELECT doc_id, 'dcterms:creator', creator FROM creators UNION SELECT doc_id, 'dcterms:subject', subject FROM subjects) GROUP BY p"
+
+
+def small_graph(c: Corpus) -> DataFrame:
+    return graph.as_set(graph.work_triples(c).where("p in ('dcterms:title', 'dcterms:creator', 'dcterms:subject') and s not like '%!_sec!_%' escape '!' and s not like '%!_ref!_%' escape '!'"))
+
+
+def predicate_counts(triples: DataFrame) -> DataFrame:
+    return triples.groupBy("p").agg(F.count("*").alias("n"))
+
+
+@operator("SNK4", _GRAPH_COUNTS)
+def _(c):
+    at = storage.scratch(c.spark)
+    sinks.write_turtle(small_graph(c), at, {"base": "http://example.org/r/", "dcterms": "http://purl.org/dc/terms/"})
+    return predicate_counts(graph.as_set(turtle.read(c.spark, at, "part-*")))
+
+
+QUERIES["SRC7"] = QUERIES["SNK4"]
+
+
+@operator("SNK5", _GRAPH_COUNTS)
+def _(c):
+    at, g = storage.scratch(c.spark), small_graph(c)
+    sinks.load_triples(g.where("p <> 'dcterms:subject'"), at)
+    sinks.load_triples(g.where("p = 'dcterms:subject'"), at)  # the store has triples: left alone
+    sinks.load_triples(g, at, reload=True)
+    sinks.load_triples(g, at, reload=True)
+    return predicate_counts(storage.read(c.spark, at))
+
+
+@operator("SNK6", "SELECT true AS made, false AS again, CAST(0 AS BIGINT) AS n")
+def _(c):
+    at = storage.scratch(c.spark)
+    made, again = sinks.create_dataset(c.spark, at), sinks.create_dataset(c.spark, at)
+    return storage.read(c.spark, at).agg(F.count("*").alias("n")).select(F.lit(made).alias("made"), F.lit(again).alias("again"), "n")
+
+
+@operator("SNK7", "SELECT 'base:11422_' || doc_id AS s, CASE WHEN doc_id % 9 = 0 THEN 'Repaired ' || doc_id ELSE title END AS o FROM works")
+def _(c):
+    at, g = storage.scratch(c.spark), small_graph(c)
+    sinks.load_triples(g.where("p = 'dcterms:title'"), at)
+    new = c.works.where("doc_id % 9 = 0").select(graph.node().alias("s"), F.concat(F.lit("Repaired "), F.col("doc_id").cast("string")).alias("o"))
+    return sinks.replace_values(at, "dcterms:title", new).select("s", "o")
+
+
+@operator("SNK8", "SELECT CAST(page_id % 4 = 0 OR page_id % 3 = 0 OR page_id % 5 = 0 OR octet_length(encode(html)) * 4 < 10240 AS BOOLEAN) AS rejected, count(*) AS n FROM pages GROUP BY 1")
+def _(c):
+    good, bad = storage.scratch(c.spark), storage.scratch(c.spark)
+    sinks.split_rejects(QUERIES["FLT8"][0](c), good, bad)
+    both = c.spark.read.parquet(good).select(F.lit(False).alias("rejected")).unionByName(c.spark.read.parquet(bad).select(F.lit(True).alias("rejected")))
+    return both.groupBy("rejected").agg(F.count("*").alias("n"))
+
+
+@operator("SNK9", "SELECT 'R02' AS query, type AS tipo, count(*) AS total FROM works GROUP BY type")
+def _(c):
+    at = storage.scratch(c.spark)
+    export(c, at, ["R02", "S06"])
+    return c.spark.read.schema("tipo string, total long, query string").json(at).where("query = 'R02'")
+
+
+@operator("SNK12", "SELECT 'next' AS token, CAST(200 AS BIGINT) AS seen, CAST(150 AS BIGINT) AS saved")
+def _(c):
+    at = storage.scratch(c.spark)
+    start = sinks.read_state(c.spark, at)
+    for seen in (100, 200):
+        sinks.write_state(c.spark, at, "next" if seen > 100 else start[0], seen, start[2] + seen - 50)
+    return c.spark.createDataFrame([sinks.read_state(c.spark, at)], "token string, seen long, saved long")
+
+
+class PagesClient:
+    """Answers for the rows of a test table, by what their link says."""
+
+    def head(self, url: str) -> int | None:
+        return 10**9 if "/large/" in url else None
+
+    def get(self, url: str, most: int):
+        if "/gone/" in url:
+            return None
+        if "/html/" in url:
+            return "text/html", b"<html>"
+        return "application/pdf", (b"<html>" if "/fake/" in url else b"%PDF-" + url.encode())
+
+
+@operator("SNK13", "SELECT CASE WHEN page_id % 11 = 0 THEN 'already_exists' WHEN page_id % 7 = 0 THEN 'no_pdf_url' WHEN page_id % 6 = 1 THEN 'skipped_too_large' WHEN page_id % 6 = 2 THEN 'download_failed' WHEN page_id % 6 = 3 THEN 'not_pdf' WHEN page_id % 6 = 4 THEN 'invalid_pdf' ELSE 'ok' END AS status, count(*) AS n, count(DISTINCT CASE WHEN page_id % 11 <> 0 AND page_id % 7 <> 0 AND page_id % 6 IN (0, 5) THEN md5('%PDF-' || 'https://x/' || (CASE WHEN page_id % 6 = 0 THEN 'fine' ELSE 'good' END) || '/' || page_id) END) AS digests FROM pages GROUP BY 1")
+def _(c):
+    files, report = storage.scratch(c.spark), storage.scratch(c.spark)
+    kind = F.element_at(F.array(*map(F.lit, ("fine", "large", "gone", "html", "fake", "good"))), (F.col("page_id") % 6 + 1).cast("int"))
+    url = F.when(F.col("page_id") % 7 != 0, F.concat(F.lit("https://x/"), kind, F.lit("/"), F.col("page_id").cast("string")))
+    rows = c.raw("pages").select(F.concat(F.lit("11422/"), F.col("page_id").cast("string")).alias("handle"), F.lit("T").alias("title"), url.alias("url"))
+    there = c.raw("pages").where("page_id % 11 = 0").select(F.concat(F.lit("11422/"), F.col("page_id").cast("string")).alias("handle"), F.lit(5000).cast("long").alias("size_bytes"))
+    sinks.write_downloads(sinks.download(rows, PagesClient, there=there), files, report)
+    told = c.spark.read.schema("handle string, status string, md5 string").json(report)
+    return told.groupBy("status").agg(F.count("*").alias("n"), F.count_distinct("md5").alias("digests"))
+
+
+# services
+
+
+@operator("SRC13", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://x/a.pdf' WHEN 1 THEN 'https://repo/b' WHEN 2 THEN 'https://repo/bitstream/c.PDF' END AS link FROM pages")
+def _(c):
+    file = lambda bundle, name, mime, retrieve, link: F.struct(F.lit(bundle).alias("bundleName"), F.lit(name).alias("name"), F.lit(mime).alias("mimeType"), F.lit(retrieve).cast("string").alias("retrieveLink"), F.lit(link).cast("string").alias("link"))
+    thumb, text = file("THUMBNAIL", "t.pdf", "application/pdf", "/no", None), file("ORIGINAL", "t.txt", "text/plain", "/no", None)
+    k = F.col("page_id") % 4
+    listed = F.when(k == 0, F.array(thumb, file("ORIGINAL", "a", "application/PDF", "https://x/a.pdf", None))).when(k == 1, F.array(text, file("ORIGINAL", "b", "application/pdf", "", "/b"), file("ORIGINAL", "z.pdf", "application/pdf", "/z", None))).when(k == 2, F.array(file("ORIGINAL", "c.PDF", None, "/bitstream/c.PDF", None))).otherwise(F.array(thumb, text))
+    return c.raw("pages").select("page_id", services.rest_pdf(listed, "https://repo").alias("link"))
+
+
+@operator("UD1", f"""SELECT d.doc_id, CASE WHEN count(s.doc_id) > 0 THEN 'ok' ELSE 'no_target_sections' END AS status, count(s.doc_id) AS n FROM documents d LEFT JOIN ({{}}) s USING (doc_id) GROUP BY d.doc_id""".format(QUERIES["FLT11"][1]))
+def _(c):
+    """Documents analysed by the rules that stand in for a model; how many sections each has."""
+    docs = c.works.select("doc_id", "title", F.lit(None).cast("string").alias("manifest_title"))
+    out = discourse.analyze(docs, told_sections(c))
+    return out.select("doc_id", "status", F.size("sections").cast("long").alias("n"))
+
+
+def export(c: Corpus, path: str, queries: list[str] | None = None) -> None:
+    """The catalogue's results, or those of some queries, to a folder; see sinks.export_results."""
+    sinks.export_results({k: catalog.run(k, c) for k in (catalog.names() if queries is None else queries)}, path)
 
 
 def names() -> list[str]:
