@@ -7,7 +7,10 @@ file and memory-mapped once per Python worker.  Chunks that it doesn't hold are
 and merged exactly, lowest rank first; both kinds go through a bounded cache.
 
 Defined results: null and empty texts have no tokens and decode to the empty text; a special token's string in
-a text becomes that token's id, as the tokenizers library does.  Lone surrogates can't occur in a Spark string.
+a text becomes that token's id, as the tokenizers library does.  Lone surrogates can't occur in a Spark string.  Each
+row is encoded by itself, so repeated rows and ids get equal rows, and a null doc_id stays null; chunks that are as
+frequent as the first one left out stay out too; columns besides id and text don't matter; texts of any length are
+encoded whole.
 """
 
 from __future__ import annotations
@@ -22,7 +25,6 @@ import tempfile
 from array import array
 from collections import Counter
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +38,9 @@ CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 PIECE = regex.compile(PATTERN.replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]").replace(f"[^[{WHITE}]", f"[^{WHITE}"))
 
 LEXICON_WORDS = 1 << 16
-CACHE_WORDS = 800_000
+LONGEST = 64  # characters of a chunk in the lexicon; longer ones are merged as unseen words are
+FLUSH_CHUNKS = 200_000
+CACHE_WORDS = 400_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -219,58 +223,88 @@ class _Cache(dict):
         return out
 
 
+class _Spelled(dict):
+    """Id bytes to the decimal ids, joined by commas, and the bytes that they decode to; it starts anew when it is full."""
+
+    def __init__(self, merges: Merges, most: int):
+        self.decimal, self.token, self.most = merges.decimal, merges.token, most
+
+    def __missing__(self, ids: bytes) -> tuple[str, bytes]:
+        found = memoryview(ids).cast("I").tolist()
+        out = ",".join(map(self.decimal.__getitem__, found)), b"".join(map(self.token.__getitem__, found))
+        if len(ids) <= 256:
+            if len(self) >= self.most:
+                self.clear()
+            self[ids] = out
+        return out
+
+
 class Codec:
     """encode() and decode() of one worker."""
 
     def __init__(self, path: str, blob: bytes, cache: int = CACHE_WORDS):
         self.merges = Merges(path)
         self.cache = _Cache(Lexicon(blob), self.merges, cache)
+        self.spelled = _Spelled(self.merges, cache)
         names = sorted(self.merges.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
-    def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.cache.__getitem__, CHUNK.findall(text)))
-
-    def encode(self, text: str | None) -> array:
-        out = array("I")
+    def parts(self, text: str | None) -> list[bytes]:
+        """The text's ids in order as little-endian unsigned 32-bit bytes, those of a chunk or special token together."""
         if not text:
-            return out
+            return []
         if self.special is None or not self.special.search(text):
-            out.frombytes(self._plain(text))
-            return out
+            return list(map(self.cache.__getitem__, CHUNK.findall(text)))
+        out = []
         for part in self.special.split(text):
             if part in self.merges.special:
-                out.append(self.merges.special[part])
+                out.append(self.merges.special[part].to_bytes(4, "little"))
             else:
-                out.frombytes(self._plain(part))
+                out += map(self.cache.__getitem__, CHUNK.findall(part))
+        return out
+
+    def encode(self, text: str | None) -> array:
+        out = array("I")
+        out.frombytes(b"".join(self.parts(text)))
         return out
 
     def decode(self, ids) -> str:
         return b"".join(map(self.merges.token.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def frequent_chunks(docs: DataFrame, words: int) -> DataFrame:
-    """(chunk, n): the most frequent chunks over all documents, ties to the smaller chunk.
+def chunk_counts(docs: DataFrame) -> DataFrame:
+    """(chunk, n): how often each chunk of at most LONGEST characters occurs in all documents."""
 
-    Each batch sends the chunks that it saw twice or more; Spark adds them up before and after the shuffle."""
+    def count(parts):
+        seen: Counter = Counter()
 
-    def count(batches):
-        for b in batches:
-            seen: Counter = Counter()
-            for t in b["text"]:
+        def packed():
+            rows = {w: n for w, n in seen.items() if len(w) <= LONGEST}
+            return list(rows), list(rows.values())
+
+        for _, texts in parts:
+            for t in texts:
                 if t:
                     seen.update(CHUNK.findall(t))
-            rows = [(w, n) for w, n in seen.items() if n > 1 and len(w) <= 64]
-            yield pd.DataFrame(rows, columns=["chunk", "n"])
+            if len(seen) >= FLUSH_CHUNKS:
+                yield packed()
+                seen.clear()
+        yield packed()
+
+    return C.map_texts(docs, count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
 
-    found = C.docs_of(docs).select("text").mapInPandas(count, "chunk string, n long")
-    return found.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(words)
+
+def frequent_chunks(docs: DataFrame, words: int) -> DataFrame:
+    """(chunk, n): the most frequent chunks, no more than words of them."""
+    return C.most_frequent(C.stash(chunk_counts(docs)), words)
 
 
 def build_lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> bytes:
     """Compiled bytes for the most frequent chunks; their number, and so what is broadcast, is bounded by words."""
     merges = Merges(path)
-    rows = [r["chunk"] for r in frequent_chunks(docs, words).collect()]
+    found = frequent_chunks(docs, words)
+    rows = [r["chunk"] for r in found.select("chunk").collect()]
+    C.forget(found)
     return compile_lexicon({w.encode(): merges.pieces(w) for w in rows})
 
 
@@ -281,37 +315,37 @@ def codec_for(path: str, blob: bytes, name: str) -> Codec:
 
 def encode(docs: DataFrame, path: str, words: int = LEXICON_WORDS, fold=None, fields: str = "ids array<int>") -> DataFrame:
     """doc_id and what fold(codec, text) gives; by default the token ids."""
-    spark = docs.sparkSession
     blob = build_lexicon(docs, path, words)
-    name, shared = hashlib.sha256(blob + path.encode()).hexdigest(), spark.sparkContext.broadcast(blob)
+    name, shared = hashlib.sha256(blob + path.encode()).hexdigest(), docs.sparkSession.sparkContext.broadcast(blob)
     fold = fold or (lambda codec, text: (list(codec.encode(text)),))
-    columns = ["doc_id", *(x.strip().split(" ")[0] for x in fields.split(", "))]
 
-    def run(batches):
+    def run(parts):
         codec = codec_for(path, shared.value, name)
-        for b in batches:
-            rows = [(None if pd.isna(i) else int(i), *fold(codec, t)) for i, t in zip(b["doc_id"], b["text"])]
-            yield pd.DataFrame(rows, columns=columns)
+        for ids, texts in parts:
+            yield [(i, *fold(codec, t)) for i, t in zip(ids, texts)]
 
-    return C.docs_of(docs).mapInPandas(run, f"doc_id long, {fields}")
+    return C.map_texts(docs, run, f"doc_id long, {fields}")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and text of rows with doc_id and ids."""
 
-    def run(batches):
+    def run(batches, schema):
         codec = codec_for(path, compile_lexicon({}), path)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": [codec.decode(x if x is not None else []) for x in b["ids"]]})
+            for at in range(0, b.num_rows, C.SLICE_ROWS):
+                x = b.slice(at, C.SLICE_ROWS)
+                yield C.record_batch([x.column(0), [codec.decode(ids if ids is not None else []) for ids in x.column(1).to_pylist()]], schema)
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return C.map_arrow(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"), run, "doc_id long, text string")
 
 
 def digests(codec: Codec, text: str | None) -> tuple[int, str, str]:
     """Token count, hash of the ids and hash of the text decoded from them."""
-    ids = codec.encode(text).tolist()
-    listed = ",".join(map(codec.merges.decimal.__getitem__, ids))
-    return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()
+    parts = codec.parts(text)
+    spelled = list(map(codec.spelled.__getitem__, parts))
+    decoded = b"".join([b for _, b in spelled]).decode("utf-8", "replace")
+    return sum(map(len, parts)) // 4, hashlib.sha256(",".join([d for d, _ in spelled]).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 def round_trip(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> DataFrame:

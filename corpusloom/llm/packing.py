@@ -6,7 +6,8 @@ greedily, largest fitting piece first; then its smallest piece is replaced by tw
 the widened gap more tightly.  A shard leaves at most one badly filled bin.
 
 Defined results: a null or empty text is one piece that holds the end token alone; repeated rows are packed
-each on its own; an empty table gives an empty one.
+each on its own, also where they share a doc_id or have none; pieces of equal length are taken by doc_id, then number; an
+empty table gives an empty one; columns besides id and text don't matter; a text of any length is cut whole.
 """
 
 from __future__ import annotations
@@ -17,16 +18,18 @@ import zlib
 from array import array
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 from .bpe_lexicon import Merges
 
 CAPACITY = 4096
 SHARD_ROWS = 20_000
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 
 class _Cache(dict):
     """Blank-free chunk to the bytes of its ids; words are independent, as this tokenizer drops white space.
@@ -71,21 +74,23 @@ def tokenizer_for(path: str) -> _Cache:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every document's ids with end_id after them."""
+    """doc_id, piece, start, length, ids_crc32 of every document's ids with end_id after them, and the piece's number in
+    its task, by which copies are told apart."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def run(batches):
-        cache = tokenizer_for(path)
-        for b in batches:
+    def run(parts):
+        cache, made = tokenizer_for(path), 0
+        for ids, texts in parts:
             rows = []
-            for i, t in zip(b["doc_id"], b["text"]):
-                ids = cache.encode(t) + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((None if pd.isna(i) else int(i), k, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for i, t in zip(ids, texts):
+                found = cache.encode(t) + end
+                for k, at in enumerate(range(0, len(found), 4 * capacity)):
+                    part = found[at : at + 4 * capacity]
+                    rows.append((i, k, at // 4, len(part) // 4, zlib.crc32(part), made))
+                    made += 1
+            yield rows
 
-    return C.docs_of(docs).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return C.map_texts(docs, run, "doc_id long, piece int, start long, length long, ids_crc32 long, made long")
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,21 +160,23 @@ def pack(sized: DataFrame, shards: int, capacity: int = CAPACITY) -> DataFrame:
     """The rows with sequence_id and offset; needs doc_id, piece and length of at most capacity.
 
     Full pieces are sequences of their own and meet no other row.  A sequence's number is its shard's number in
-    the high bits and the bin's in the low ones."""
+    the high bits and the bin's in the low ones.  All columns deal the rows into shards."""
     columns = [c for c in sized.columns if c not in ("sequence_id", "offset")]
-    shard = F.pmod(F.xxhash64(*[sized[c] for c in columns]), F.lit(shards))
-    fields = ", ".join(f"`{c}` {sized.schema[c].dataType.simpleString()}" for c in columns)
+    shard = C.fresh(sized, "shard")
+    fields = T.StructType([*(sized.schema[c] for c in columns), T.StructField("sequence_id", C.LONG), T.StructField("offset", C.LONG)])
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"]).reset_index(drop=True)
+    def one(rows: pa.Table) -> pa.Table:
+        order = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("length", "doc_id", "piece")])
+        rows = rows.take(order)
         where, offset = best_two_fit(rows["length"].to_numpy(), capacity)
-        rows["sequence_id"] = (int(key[0]) << 32) + where
-        rows["offset"] = offset
-        return rows[[*columns, "sequence_id", "offset"]]
+        first = rows[shard][0].as_py() << 32
+        return rows.drop_columns([shard]).append_column("sequence_id", pa.array(first + where, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    return sized.select(*columns, shard.alias("_shard")).groupBy("_shard").applyInPandas(one, f"{fields}, sequence_id long, offset long")
+    dealt = sized.select(*columns, F.pmod(F.xxhash64(*[sized[c] for c in columns]), F.lit(shards)).alias(shard))
+    return dealt.groupBy(shard).applyInArrow(one, fields)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Cut, size and pack whole documents: a row per piece with its sequence and place."""
-    return pack(pieces(docs, path, capacity, end_id), shards_for(docs.count(), shard_rows), capacity)
+    sized = C.stash(pieces(docs, path, capacity, end_id))
+    return pack(sized, shards_for(sized.count(), shard_rows), capacity).drop("made")

@@ -8,7 +8,9 @@ first pass.  A document is kept when its base rules
 hold and the share of its words that lies on content lines reaches KEEP_SHARE.
 
 Defined results: null and empty texts have no words, fail the base rules and are not kept; a table without labels
-of both kinds gives a neutral model, under which the base rules alone decide.
+of both kinds gives a neutral model, under which the base rules alone decide; each row is rated by itself, so repeated
+rows and ids get equal rows, and a null doc_id stays null; columns besides id and text don't matter; a text of any
+length is read whole.
 """
 
 from __future__ import annotations
@@ -17,14 +19,13 @@ from collections import Counter
 from operator import ne
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common as C
 
 KEEP_SHARE = 0.65
 SAMPLE_DOCS = 1500  # labelled documents of either kind that the field is trained on, at most
-SAMPLE_LINES = 400  # training lines a document, at most; scoring has no such bound
 SYMBOLS = "#*$%&|<>"
 STATES = 2  # 0 content, 1 boilerplate
 
@@ -133,7 +134,7 @@ def _gradient(seqs, emit, move):
 def train(docs: list[tuple[np.ndarray, int]], passes: int = 3, steps: int = 60, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
     """Emission and transition scores from (line features, 1 good or 0 poor); Adam on the likelihood."""
     emit, move = np.zeros((len(FEATURES), STATES)), np.zeros((STATES, STATES))
-    docs = [(x[:SAMPLE_LINES], q) for x, q in docs if len(x)]
+    docs = [(x, q) for x, q in docs if len(x)]
     if not {0, 1} <= {q for _, q in docs}:
         emit[0, 0] = 1.0
         return emit, move
@@ -164,15 +165,15 @@ def train(docs: list[tuple[np.ndarray, int]], passes: int = 3, steps: int = 60,
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", per_class: int = SAMPLE_DOCS, where=None) -> tuple[np.ndarray, np.ndarray]:
-    """Train on at most per_class labelled documents of either kind."""
+    """Train on all lines of at most per_class labelled documents of either kind."""
 
-    def run(batches):
-        for b in batches:
-            rows = [(int(y), line_features([s for s in (t or "").split("\n") if s.strip(C.SPACE)][:SAMPLE_LINES]).astype("<f4").tobytes()) for y, t in zip(b["y"], b["text"])]
-            yield pd.DataFrame(rows, columns=["y", "x"])
+    def run(parts):
+        for marks, texts in parts:
+            for y, t in zip(marks, texts):
+                yield [(y, line_features([s for s in (t or "").split("\n") if s.strip(C.SPACE)]).astype("<f4").tobytes())]
 
     sample = C.labelled_sample(docs, labels, column, per_class, where)
-    rows = sample.select("y", "text").mapInPandas(run, "y int, x binary").collect()
+    rows = C.map_texts(sample.select(F.col("y").alias("doc_id"), "text"), run, "y int, x binary").collect()
     rows = sorted((r["y"], bytes(r["x"])) for r in rows)
     return train([(np.frombuffer(x, "<f4").reshape(-1, len(FEATURES)).astype(float), y) for y, x in rows])
 
@@ -190,16 +191,15 @@ def content_share(text: str | None, emit: np.ndarray, move: np.ndarray) -> tuple
 def rate(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep_share: float = KEEP_SHARE) -> DataFrame:
     """doc_id, the base figures, base_failed, kept, content_share and n_boilerplate of every document."""
     emit, move = model
-    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share", "n_boilerplate"]
 
-    def run(batches):
-        for b in batches:
+    def run(parts):
+        for ids, texts in parts:
             rows = []
-            for i, t in zip(b["doc_id"], b["text"]):
+            for i, t in zip(ids, texts):
                 *figures, _ = base(t)
                 failed = base_failed(figures[0], figures[4])
                 share, path = content_share(t, emit, move)
-                rows.append((None if pd.isna(i) else int(i), *figures, failed, not failed and share >= keep_share, share, sum(path)))
-            yield pd.DataFrame(rows, columns=names)
+                rows.append((i, *figures, failed, not failed and share >= keep_share, share, sum(path)))
+            yield rows
 
-    return C.docs_of(docs).mapInPandas(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double, n_boilerplate long")
+    return C.map_texts(docs, run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double, n_boilerplate long")

@@ -6,7 +6,10 @@ join finds parts of complementary roles - identifier, secret, endpoint - whose d
 is reported only when such a partner exists.  Intervals are sorted and searched by bisection, so a text with
 many parts costs n log n steps, not pairs.
 
-Defined results: a null or empty text has no spans.  Positions count code points; an end is exclusive.
+Defined results: a null or empty text has no spans.  Positions count code points; an end is exclusive.  Each row is
+scanned by itself, so repeated rows and ids get equal rows, and a null doc_id stays null; of equally near partners the one
+with the smaller position is linked; columns besides id and text pass through or don't matter; a text of any length is
+scanned whole.
 """
 
 from __future__ import annotations
@@ -16,7 +19,6 @@ import math
 import re
 from collections import Counter
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,25 +137,27 @@ FIELDS = "doc_id long, spans array<struct<kind: string, start: int, end: int>>,
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """doc_id, the reported spans, the links behind them and the redacted text of every document."""
 
-    def run(batches):
-        for b in batches:
+    def run(parts):
+        for ids, texts in parts:
             out = []
-            for i, t in zip(b["doc_id"], b["text"]):
+            for i, t in zip(ids, texts):
                 spans, pairs = scan_text(t, scope)
-                out.append((None if pd.isna(i) else int(i), spans, [(*x, *y) for x, y in pairs], redact(t, spans)))
-            yield pd.DataFrame(out, columns=["doc_id", "spans", "links", "redacted"])
+                out.append((i, spans, [(*x, *y) for x, y in pairs], redact(t, spans)))
+            yield out
 
-    return C.docs_of(docs).mapInPandas(run, FIELDS)
+    return C.map_texts(docs, run, FIELDS)
 
 
-def redacted(text, scope: int = SCOPE):
-    """A column of texts with all reported stretches replaced."""
+def redacted(docs: DataFrame, scope: int = SCOPE, text: str = "text") -> DataFrame:
+    """The rows, all columns, with all reported stretches of one column replaced."""
+    at = docs.columns.index(text)
 
-    @F.pandas_udf("string")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([redact(t, scan_text(t, scope)[0]) for t in texts], dtype=object)
+    def run(batches, schema):
+        for b in C.slices(batches, at):
+            out = [redact(t, scan_text(t, scope)[0]) for t in b.column(at).to_pylist()]
+            yield C.record_batch([out if k == at else c for k, c in enumerate(b.columns)], schema)
 
-    return of(text)
+    return C.map_arrow(docs, run, docs.schema)
 
 
 def digest(scanned: DataFrame) -> DataFrame:
