@@ -101,17 +101,17 @@ ORACLE_SQL: dict[str, str] = {
         FROM reach r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
     "op4_license_dice": license_scan.oracle_sql(),
     "op3_line_cuckoo": r"""
-        WITH line AS (
-          SELECT doc_id, u.k, u.line,
-                 lower_ascii.t AS key
-          FROM documents d,
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+        line AS (
+          SELECT r, doc_id, u.k, u.line, lower_ascii.t AS key
+          FROM d,
                LATERAL (SELECT unnest(string_split(coalesce(d.text, ''), chr(10))) AS line,
                                generate_subscripts(string_split(coalesce(d.text, ''), chr(10)), 1) AS k) u,
                LATERAL (SELECT translate(trim(u.line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)),
                                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t) lower_ascii),
-        hot AS (SELECT key FROM line WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+        hot AS (SELECT key FROM line WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10)
         SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines,
                CAST(count(*) FILTER (WHERE key IN (SELECT key FROM hot)) AS BIGINT) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE key NOT IN (SELECT key FROM hot)), '')) AS kept_sha256
-        FROM line GROUP BY doc_id""",
+        FROM line GROUP BY r, doc_id""",
 }
