@@ -1,18 +1,20 @@
 """Toxicity by a subsequence string kernel, a support vector machine and Nystroem landmarks.
 
-The kernel of two words counts common subsequences of three characters that span at most SPAN characters, each
+The kernel of two strings counts common subsequences of three characters that span at most SPAN characters, each
 weighted by DECAY for every character skipped, so insults with gaps or inserted characters stay near the plain
-ones.  The units of a sentence are its words and its pairs of neighbouring words, in which the blank is a character
-that subsequences cross; a pair counts where neither of its words is bad by itself.  The machine is trained on units of
-labelled documents: those of clean documents are negative; of a toxic document the units that the model
-finds worst are positive, chosen anew in each round, also with a blank inserted, and clean documents' worst ones are
-added as hard negatives.
+ones.  A labelled sentence is a bag of units: its words and its pairs of neighbouring words, in which the blank is a
+character that subsequences cross; a pair counts where neither of its words is bad by itself.  A label says of a toxic
+document that one of its sentences holds a bad unit, and of a clean one that none does: the units that the model finds
+worst in a toxic document are positive, chosen anew in each round, also with a blank inserted; units of clean documents
+are negative, and their worst ones are added as hard negatives.  (Whole sentences as units were tried; the README has the
+figures: a word drowns in its sentence.)
 Landmarks give a feature map K_mm^(-1/2) k_m(x); as the kernel has an explicit (finite) feature space, the trained
 machine collapses exactly into one weight for each subsequence, and scoring a unit is a sum of looked-up weights.
 A document's score is a logistic function of the values of its two worst units, occurrences counted.
 
 Defined results: null and empty texts score as a text without any word; a table without labels of both kinds gives
-score 0 everywhere; no column but the text is an input of a score.
+score 0 everywhere; no column but the text is an input of a score; each row is scored by itself, so repeated rows and ids
+get equal scores, and a null doc_id stays null; a text of any length is scored whole.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ SPAN, DECAY = 6, 0.6
 LANDMARKS = 192
 SAMPLE_DOCS = 1500  # labelled documents of either label that are learned from, at most
 ROUNDS = 4
-CACHE_WORDS = 250_000
+CACHE_WORDS = 300_000
 LOW = -3.0  # a missing word's value
 
 _SPACED = re.compile(r"(?:(?<=\s)|^)\w(?:[ .*_-]\w){3,}(?=\W|$)")
@@ -49,7 +51,10 @@ SIZE = 64**3
 _MARKS = ".,;:!?\"'()[]{}|#*%&$<>-_«»¿¡"
 PHRASES = 2000  # pairs that training looks at because they are more frequent in toxic documents, at most
 SAMPLE_PAIRS = 30  # other pairs of a clean document that training looks at
-CHUNK_WORDS = 100_000
+FIRST_NEGATIVES = 2000  # units of clean documents that the first machine is trained against, drawn at random
+NEGATIVES = 12_000  # of the hard negatives gathered in later rounds, the machine takes the worst two thirds of this
+# number and an even draw of the others; it bounds the driver's memory (a row of LANDMARKS doubles each) and time
+CHUNK_WORDS = 30_000
 
 
 def spans_of(word: str) -> list[str]:
@@ -261,7 +266,7 @@ def train(texts, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray] | None:
     value = _first_scores(words, docs)
     value[pairs[_part_values(value, parts) >= value[pairs]]] = 0
     clean = np.concatenate([ids for y, ids in docs if not y])
-    negative = clean[rng.permutation(len(clean))[:2000]].tolist()
+    negative = clean[rng.permutation(len(clean))[:FIRST_NEGATIVES]].tolist()
     table = None
     for turn in range(rounds):
         positive: list[int] = []
@@ -274,9 +279,10 @@ def train(texts, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray] | None:
             else:
                 negative += top[:2]
         negative = list(dict.fromkeys(negative))
-        if len(negative) > 12_000:
+        if len(negative) > NEGATIVES:
             ranked = sorted(negative, key=lambda k: (-value[k], k))
-            negative = ranked[:8000] + ranked[8000 :: max(1, len(ranked) // 4000)]
+            worst = 2 * NEGATIVES // 3
+            negative = ranked[:worst] + ranked[worst :: max(1, 3 * len(ranked) // NEGATIVES)]
         known = set(negative)
         positive = [k for k in positive if k not in known] or positive
         bad = [words[k] for k in positive]
@@ -317,40 +323,59 @@ def _worst(values) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = SAMPLE_DOCS, where=None):
     """Train on at most per_class labelled documents of either label; where picks the labels that may be learned from."""
 
-    def listed(batches):
-        for b in batches:
-            rows = [(int(y), w) for y, t in zip(b["y"], b["text"]) for w in pairs_of(t)]
-            yield pd.DataFrame(rows, columns=["y", "pair"])
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for y, t in zip(b["y"], b["text"]):
-                found = Counter(w for s in sentences(t or "") for x in tokens_of(s) for w in spans_of(x))
+    def listed(parts):
+        for _, texts in parts:
+            for line in texts:
+                y, found = int(line[0]), sorted(pairs_of(line[1:]))
+                for at in range(0, len(found), 4096):
+                    yield [y] * len(found[at : at + 4096]), found[at : at + 4096]
+
+    def run(parts):
+        for _, texts in parts:
+            for line in texts:
+                y, t = int(line[0]), line[1:]
+                # a document's value has its two worst units, so a third occurrence tells nothing
+                found = Counter(w for s in sentences(t) for x in tokens_of(s) for w in spans_of(x))
                 pairs = pairs_of(t)
-                own = zlib.crc32((t or "").encode("utf-8", "replace"))  # each document draws others
+                own = zlib.crc32(t.encode("utf-8", "replace"))  # each document draws others
                 some = [] if y else sorted(pairs, key=lambda w: (zlib.crc32(w.encode("utf-8", "replace"), own), w))[:SAMPLE_PAIRS]
                 units = [w for w in sorted(found) for _ in range(min(2, found[w]))] + sorted((pairs & phrases).union(some))
-                rows.append((int(y), "\n".join(units)))
-            yield pd.DataFrame(rows, columns=["y", "words"])
+                yield [(y, "\n".join(units))]
 
-    sample = C.labelled_sample(docs, labels, column, per_class, where)
-    n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    rows = C.labelled_sample(docs, labels, column, per_class, where)
+    sample = C.stash(rows.select(F.col("doc_id"), F.concat(F.col("y").cast("string"), F.coalesce("text", F.lit(""))).alias("text")))
+    n = {int(r["y"]): r["n"] for r in sample.groupBy(F.substring("text", 1, 1).alias("y")).agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
+        C.forget(sample)
         return None
-    counts = sample.select("y", "text").mapInPandas(listed, "y int, pair string").groupBy("pair").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
+    counts = C.map_texts(sample, listed, "y int, pair string").groupBy("pair").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
     ahead = F.col("n1") / n[1] - 3 * F.col("n0") / n[0]
     phrases = {r["pair"] for r in counts.where((F.col("n1") > 1) & (ahead > 0)).orderBy(ahead.desc(), "pair").limit(PHRASES).collect()}
-    rows = sorted((r["y"], r["words"]) for r in sample.select("y", "text").mapInPandas(run, "y int, words string").collect())
+    rows = sorted((r["y"], r["words"]) for r in C.map_texts(sample, run, "y int, words string").collect())
+    C.forget(sample)
     return train((y, ws.split("\n") if ws else []) for y, ws in rows)
 
 
+class _Bare(dict):
+    """bare() of words, remembered; it starts anew when it is full."""
+
+    def __init__(self, most: int):
+        self.most = most
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= self.most:
+            self.clear()
+        out = self[word] = bare(word)
+        return out
+
+
 class Scorer:
     """Word values of one worker, in a bounded cache, and documents' scores."""
 
     def __init__(self, model, most: int = CACHE_WORDS):
         self.table, self.logit = model
         self.cache: dict[str, float] = {}
+        self.bare = _Bare(most)
         self.most = most
 
     def learn(self, tokens: set[str]) -> None:
@@ -378,7 +403,7 @@ class Scorer:
             open_ += f
             owner += [k] * len(w)
             if len(words) > 1 and (len(words) >= CHUNK_WORDS or k == len(texts) - 1):
-                values = pair_values([bare(x) for x in words], self.table[:-1]) + self.table[-1]
+                values = pair_values(list(map(self.bare.__getitem__, words)), self.table[:-1]) + self.table[-1]
                 for j in np.flatnonzero((values > 0) & np.array(open_[:-1], bool)).tolist():
                     if self.cache.get(words[j], LOW) <= 0 and self.cache.get(words[j + 1], LOW) <= 0:
                         out[owner[j]].append(float(values[j]))
@@ -393,27 +418,41 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(self.logit @ (1.0, a, b), -30, 30))))
 
 
-def scores(spark, model, text):
-    """A column of scores for a column of texts."""
-    if model is None:
-        return F.lit(0.0)
+def _scored(spark, model):
+    """A function from a list of texts to their scores, for workers."""
     shared = spark.sparkContext.broadcast(model)
     name = zlib.crc32(model[0].tobytes() + model[1].tobytes())
 
-    @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        scorer, out = C.held_by_worker(("toxicity", name), lambda: Scorer(shared.value)), []
-        for at in range(0, len(texts), 500):
-            found = [tokens_of(t) for t in texts.iloc[at : at + 500]]
-            scorer.learn(set().union(*found))
-            part = texts.iloc[at : at + 500].tolist()
-            out += map(scorer.score, part, found, scorer.pairs(part))
-        return pd.Series(out, dtype="float64")
+    def of(texts: list) -> list[float]:
+        scorer = C.held_by_worker(("toxicity", name), lambda: Scorer(shared.value))
+        found = [tokens_of(t) for t in texts]
+        scorer.learn(set().union(*found))
+        return list(map(scorer.score, texts, found, scorer.pairs(texts)))
 
-    return of(text)
+    return of
 
 
 def score(docs: DataFrame, model) -> DataFrame:
     """doc_id and score of every document."""
-    docs = C.docs_of(docs)
-    return docs.select("doc_id", scores(docs.sparkSession, model, docs["text"]).alias("score"))
+    if model is None:
+        return C.docs_of(docs).select("doc_id", F.lit(0.0).alias("score"))
+    of = _scored(docs.sparkSession, model)
+
+    def run(parts):
+        for ids, texts in parts:
+            yield ids, of(texts)
+
+    return C.map_texts(docs, run, "doc_id long, score double")
+
+
+def below(docs: DataFrame, model, threshold: float, text: str = "text") -> DataFrame:
+    """The rows, all columns as they are, whose text's score stays under the threshold."""
+    if model is None:
+        return docs.where(F.lit(0.0) < threshold)
+    of, at = _scored(docs.sparkSession, model), docs.columns.index(text)
+
+    def run(batches, _):
+        for b in C.slices(batches, at):
+            yield b.filter(pa.array([x < threshold for x in of(b.column(at).to_pylist())]))
+
+    return C.map_arrow(docs, run, docs.schema)
