@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contains_any
 from ..operators.records import shuffled
+from ..sources import sinks
 from ..sources.adapters import SUBJECT_PREFIX, Corpus, sql_prefix
 
 #: Terms that occur in the test tables, per role.
@@ -338,3 +339,8 @@ def names() -> list[str]:
 def oracle(name: str) -> str | None:
     sql = CATALOG[name][1]
     return None if sql is None else sql_prefix() + sql
+
+
+def export(corpus: Corpus, path: str, queries: list[str] | None = None) -> None:
+    """The results of all queries, or of some, as JSON lines in a folder for each; see sinks.export_results."""
+    sinks.export_results({k: run(k, corpus) for k in (names() if queries is None else queries)}, path)

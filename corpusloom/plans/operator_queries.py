@@ -907,7 +907,7 @@ def _(c):
 @operator("SNK9", "SELECT 'R02' AS query, type AS tipo, count(*) AS total FROM works GROUP BY type")
 def _(c):
     at = storage.scratch(c.spark)
-    export(c, at, ["R02", "S06"])
+    catalog.export(c, at, ["R02", "S06"])
     return c.spark.read.schema("tipo string, total long, query string").json(at).where("query = 'R02'")
 
 
@@ -966,11 +966,6 @@ def _(c):
     return out.select("doc_id", "status", F.size("sections").cast("long").alias("n"))
 
 
-def export(c: Corpus, path: str, queries: list[str] | None = None) -> None:
-    """The catalogue's results, or those of some queries, to a folder; see sinks.export_results."""
-    sinks.export_results({k: catalog.run(k, c) for k in (catalog.names() if queries is None else queries)}, path)
-
-
 def names() -> list[str]:
     return sorted(QUERIES)
 

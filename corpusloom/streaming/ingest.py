@@ -1,17 +1,18 @@
 """Incremental ingest of manifest records with Structured Streaming.
 
 New files are read once (the checkpoint keeps the place), records pass the harvest's predicates, and the first record
-of a handle wins across runs: each micro-batch meets the table written so far by an anti-join, so the state is the
-table itself and grows with the data on disk, not in memory.
+of a handle wins across runs: each micro-batch meets what the table has in the buckets of its handles by an anti-join, so
+the state is the table itself and grows with the data on disk, not in memory.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.records import accepted, year_passes
-from ..sources.readers import MANIFEST, first_wins
+from ..sources.readers import MANIFEST, exists, first_wins
 
 #: Words of accepted types and the first year.
 ACCEPTED, FIRST_YEAR, LAST_YEAR = ["tese", "dissert", "thesis", "doctoral", "master"], 2000, 2100
@@ -21,20 +22,27 @@ def harvest_filter(types: Column, date: Column, words: list[str] | None = None,
     return accepted(types, ACCEPTED if words is None else words) & year_passes(date, low, high)
 
 
+#: Folders that the table is dealt into by a hash of the handle; a batch reads those that it touches.
+BUCKETS = 64
+
+
+def bucket_of(handle: str = "handle") -> Column:
+    return F.pmod(F.xxhash64(handle), F.lit(BUCKETS)).cast("int")
+
+
 def stored(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(MANIFEST).parquet(path)
-    except Exception as e:  # the table comes with the first batch
-        if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], MANIFEST)
-        raise
+    if not exists(spark, path):  # the table comes with the first batch
+        return spark.createDataFrame([], MANIFEST).withColumn("bucket", F.lit(0))
+    return spark.read.schema(T.StructType([*MANIFEST.fields, T.StructField("bucket", T.IntegerType())])).parquet(path)
 
 
 def append_new(batch: DataFrame, path: str) -> None:
     """Add the records of handles that the table doesn't have; of repeated ones in the batch the earliest."""
     spark = batch.sparkSession
-    new = first_wins(batch.where("handle is not null and handle <> ''"), "handle", "collected_at")
-    new.join(stored(spark, path).select("handle"), "handle", "left_anti").select(*MANIFEST.fieldNames()).write.mode("append").parquet(path)
+    new = first_wins(batch.where("handle is not null and handle <> ''"), "handle", "collected_at").withColumn("bucket", bucket_of())
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
+    held = stored(spark, path).where(F.col("bucket").isin(*touched)).select("handle")
+    new.join(held, "handle", "left_anti").select(*MANIFEST.fieldNames(), "bucket").write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def ingest(spark: SparkSession, source: str, table: str, checkpoint: str, keep: Column | None = None):

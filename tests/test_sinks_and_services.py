@@ -7,6 +7,7 @@ import threading
 import pytest
 from corpusloom.plans import graph, report
 from corpusloom.sources import services, sinks, storage, turtle
+from corpusloom.streaming import harvest
 from pyspark.sql import functions as F
 
 
@@ -167,7 +168,9 @@ def test_files_of_items(spark):
     assert got == {"1/1": "u", "1/2": "s", "1/3": "https://r/f", "1/4": None, "1/5": None}
 
 
-PAGE = """<OAI-PMH xmlns="http://www.openarchives.org/OAI/2.0/"><ListRecords><record><header><identifier>oai:x:{n}</identifier><datestamp>2020</datestamp></header></record>
+PAGE = """<OAI-PMH xmlns="http://www.openarchives.org/OAI/2.0/"><ListRecords><record><header><identifier>oai:x:{n}</identifier><datestamp>2020</datestamp></header>
+<metadata><d xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title> T {n} </dc:title><dc:title>second</dc:title><dc:type>Tese</dc:type><dc:date>2011-01-01</dc:date><dc:creator>A</dc:creator><dc:creator> </dc:creator>
+<dc:identifier>http://h/handle/{n}</dc:identifier><dc:identifier>http://h/{n}.PDF</dc:identifier></d></metadata></record>
 <resumptionToken>{token}</resumptionToken></ListRecords></OAI-PMH>"""
 SETS = '<OAI-PMH xmlns="http://www.openarchives.org/OAI/2.0/"><ListSets><set><setSpec>{n}</setSpec><setName>Set {n}</setName></set><resumptionToken>{token}</resumptionToken></ListSets></OAI-PMH>'
 
@@ -236,6 +239,18 @@ def test_streaming_harvest(spark, repository, tmp_path):
     assert sorted(r["identifier"] for r in spark.read.parquet(f"file://{tmp_path}/out").select(F.col("identifier")).collect()) == ["oai:x:s1-0", "oai:x:s1-1", "oai:x:s1-2"]
 
 
+def test_harvest_into_a_manifest(spark, repository, tmp_path):
+    table, check = f"file://{tmp_path}/manifest", f"file://{tmp_path}/check"
+    harvest.harvest_all(spark, repository[0], table, check, ["s1", "s2"], "http://h")
+    rows = {r["handle"]: r for r in spark.read.parquet(table).collect()}
+    assert set(rows) == {f"{s}-{k}" for s in ("s1", "s2") for k in range(3)}
+    r = rows["s1-1"]
+    assert (r["title"], r["creators"], r["handle_url"], r["pdf_url_oai"], r["types"]) == ("T s1-1", ["A"], "http://h/handle/s1-1", "http://h/s1-1.PDF", ["Tese"])
+    asked = len(repository[1])
+    harvest.harvest_all(spark, repository[0], table, check, ["s1", "s2"], "http://h")
+    assert len(repository[1]) == asked and spark.read.parquet(table).count() == 6  # nothing is asked for twice
+
+
 def test_graph_is_written_as_blocks(spark):
     g = triples(spark, [("a", "p", "1", "lit", "")])
     assert graph.turtle(g).first()["block"] == 'a\n    p "1" .'

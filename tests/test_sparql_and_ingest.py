@@ -110,3 +110,10 @@ def test_first_record_wins_across_runs(spark, tmp_path):
     ingest.ingest(spark, src, table, check)
     got = {r["handle"]: r["title"] for r in spark.read.parquet(table).collect()}
     assert got == {"1": "first", "4": "new"}
+
+
+def test_what_a_rerun_still_has_to_do(spark):
+    rows = spark.createDataFrame([(f"1/{k}",) for k in range(6)], "handle string")
+    log = spark.createDataFrame([("1/0", "ok"), ("1/1", "http_500"), ("1/2", "ok"), ("1/2", "ok")], "handle string, status string")
+    assert [r["handle"] for r in ingest.pending(rows, log, ["ok"]).orderBy("handle").collect()] == ["1/1", "1/3", "1/4", "1/5"]
+    assert [r["handle"] for r in ingest.pending(rows, log, ["ok"], 2).collect()] == ["1/1", "1/3"]
