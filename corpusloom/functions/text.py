@@ -170,3 +170,10 @@ def first_casing(values: Column, stop: list[str], min_chars: int, most: int) ->
 
 def floor_percent(a: Column, n: Column) -> Column:
     return F.floor(100 * a / F.greatest(n, F.lit(1))).cast("long")
+
+
+def duration(seconds: Column) -> Column:
+    """Hours, minutes and seconds, the larger parts left out while they are zero."""
+    s = F.floor(seconds).cast("int")
+    h, m, rest = F.floor(s / 3600).cast("int"), F.floor(s % 3600 / 60).cast("int"), s % 60
+    return F.when(s >= 3600, F.format_string("%dh %dm %ds", h, m, rest)).when(s >= 60, F.format_string("%dm %ds", m, rest)).otherwise(F.format_string("%ds", rest))

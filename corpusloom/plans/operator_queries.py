@@ -16,7 +16,8 @@ from ..functions import text as fn
 from ..operators import audits, comparison, discourse, gates, records, structure
 from ..sources import readers, services, sinks, storage, tei, turtle
 from ..sources.adapters import SUBJECT_PREFIX, Corpus, sql_prefix
-from . import catalog, graph
+from ..streaming import ingest
+from . import catalog, graph, report, sparql
 from .catalog import item_texts
 
 QUERIES: dict[str, tuple[Callable[[Corpus], DataFrame], str | None]] = {}
@@ -966,6 +967,192 @@ def _(c):
     return out.select("doc_id", "status", F.size("sections").cast("long").alias("n"))
 
 
+# readers: what was written is read back
+
+
+def written(c: Corpus, rows: DataFrame) -> str:
+    at = storage.scratch(c.spark)
+    rows.write.text(at)
+    return at
+
+
+def manifest_lines(c: Corpus) -> DataFrame:
+    """A manifest as it lies on disk: records, blank and broken lines; of every third handle an older line before."""
+    m = c.works.select("doc_id", "handle", "title")
+    line = lambda title: F.to_json(F.struct("handle", title.alias("title")))
+    old = F.when(F.col("doc_id") % 3 == 0, line(F.lit("old")))
+    parts = F.array(old, F.lit(""), F.when(F.col("doc_id") % 5 == 0, F.lit("{broken")), line(F.col("title")), F.lit('{"title": "no handle"}'))
+    return m.select(F.array_join(F.array_compact(parts), "\n").alias("value"))
+
+
+@operator("SRC2", "SELECT handle, title FROM works")
+def _(c):
+    at = written(c, manifest_lines(c))
+    found, used = readers.load_manifest_index(c.spark, [at + "_none", at])
+    return found.where(F.lit(used == at)).select("handle", "title")
+
+
+@operator("SRC3", "SELECT handle, title FROM works WHERE title <> ''")
+def _(c):
+    at = written(c, manifest_lines(c))
+    return readers.load_manifest(c.spark, readers.find_manifest(c.spark, None, [at + "_none", at])).where("title <> ''").select("handle", "title")
+
+
+@operator("SRC5", "SELECT doc_id, CAST(length(title) AS BIGINT) AS n FROM works WHERE NOT contains(title, chr(10))")
+def _(c):
+    at = written(c, c.works.where(~F.contains("title", F.lit("\n"))).select(F.concat_ws("\t", F.col("doc_id").cast("string"), "title").alias("value")))
+    lines = readers.files(c.spark, at, "part-*").select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).where("line <> ''")
+    return lines.select(F.substring_index("line", "\t", 1).cast("long").alias("doc_id"), big(F.length(F.regexp_replace("line", "^[0-9]+\t", ""))).alias("n"))
+
+
+_HEADED = "SELECT doc_id, i, coalesce(h, '') AS h, p FROM t"
+
+
+@operator("SRC6", _TEI_SQL.replace("{heading}", "{h}").format(h=HEADING_SQL, toc="x") + "SELECT doc_id, CASE WHEN length(regexp_replace(trim(body), '\\s+', ' ', 'g')) >= 500 THEN 'ok' ELSE 'short_body' END AS status, n FROM b JOIN (SELECT doc_id, count(*) AS n FROM t WHERE h IS NOT NULL OR length(regexp_replace(trim(p), '\\s+', ' ', 'g')) >= 30 GROUP BY doc_id) USING (doc_id)")
+def _(c):
+    parsed = tei.parse_table(tei_documents(c)).where("size(sections) > 0")
+    return parsed.select(F.substring_index("name", ".", 1).cast("long").alias("doc_id"), "status", big(F.size("sections")).alias("n"))
+
+
+@operator("UD4", _TEI_SQL.replace("{heading}", "{h}").format(h=HEADING_SQL, toc="x") + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS i, coalesce(h, '') AS head FROM t WHERE h IS NOT NULL OR length(regexp_replace(trim(p), '\\s+', ' ', 'g')) >= 30")
+def _(c):
+    return tei.sections(tei.parse_table(tei_documents(c))).select(F.substring_index("name", ".", 1).cast("long").alias("doc_id"), big("i").alias("i"), "head")
+
+
+@operator("SRC9", "SELECT 'h/' || conv_id AS handle, count(*) AS n FROM conversations GROUP BY conv_id")
+def _(c):
+    one = F.struct(F.col("turn").cast("int").alias("section_index"), F.col("role").alias("section_head"), F.array("text").alias("claims"))
+    docs = c.raw("conversations").groupBy("conv_id").agg(F.collect_list(one).alias("sections")).select(F.concat(F.lit("h/"), F.col("conv_id").cast("string")).alias("handle"), F.lit("ok").alias("status"), "sections")
+    at = storage.scratch(c.spark)
+    docs.repartition(F.spark_partition_id()).write.option("maxRecordsPerFile", 1).json(at)
+    return readers.load_discourse(c.spark, at).select("handle", big(F.size("sections")).alias("n"))
+
+
+@operator("PRJ17", "SELECT ref_title, 'Silva,B C,' || ref_title AS authors FROM refs WHERE len(string_split(ref_title, ' ')) <= 4 AND NOT regexp_matches(ref_title, '[0-9]{2,}$') AND length(regexp_replace(lower(ref_title), '[^a-z]', '', 'g')) >= 11 GROUP BY ref_title")
+def _(c):
+    names = F.array(F.lit("Ana Maria Costa Souza Lima"), F.lit("Silva"), F.lit("CAPÍTULO 3 x"), F.lit("B C"), F.col("ref_title"), F.lit("Never Reached"))
+    fits = (F.size(F.split("ref_title", " ")) <= 4) & ~F.col("ref_title").rlike("[0-9]{2,}$")
+    rows = c.refs.select("ref_title").distinct().where(fits).select(F.array(F.struct(F.col("ref_title").alias("title"), F.lit("2001").alias("year"), names.alias("authors"))).alias("refs"))
+    kept = rows.select(F.explode(structure.clean_refs(F.col("refs"))).alias("r"))
+    return kept.select(F.col("r.title").alias("ref_title"), joined("r.authors").alias("authors"))
+
+
+# the SPARQL front end
+
+
+def all_triples(c: Corpus) -> DataFrame:
+    return graph.as_set(graph.work_triples(c))
+
+
+@operator("SRC15", "SELECT subject AS s, count(*) AS n FROM (SELECT DISTINCT doc_id, subject FROM subjects) GROUP BY subject HAVING count(*) > 1")
+def _(c):
+    return sparql.select("SELECT ?s (COUNT(?w) AS ?n) WHERE { ?w dcterms:subject ?s . ?w a fabio:Work } GROUP BY ?s HAVING (COUNT(?w) > 1)", all_triples(c))
+
+
+@operator("JN6", "SELECT title AS t, creator AS c FROM works JOIN (SELECT DISTINCT doc_id, creator FROM creators) USING (doc_id) WHERE type = 'DoctoralThesis'")
+def _(c):
+    return sparql.select("SELECT ?t ?c WHERE { ?w a fabio:DoctoralThesis . ?w dcterms:title ?t . ?w dcterms:creator ?c }", all_triples(c))
+
+
+@operator("JN7", "SELECT handle AS h, coalesce(date_lex, lang) AS d FROM works WHERE lang <> 'en' OR date_lex IS NOT NULL UNION ALL SELECT handle, lang FROM works WHERE lang = 'en' AND date_lex IS NULL")
+def _(c):
+    """A variable that the first optional part leaves unbound is bound by the second."""
+    return sparql.select("SELECT ?h ?d WHERE { ?w bibo:handle ?h OPTIONAL { ?w dcterms:date ?d } OPTIONAL { ?w dcterms:language ?d } }", all_triples(c))
+
+
+@operator("JN8", "SELECT handle AS h FROM works WHERE date_lex IS NULL")
+def _(c):
+    return sparql.select("SELECT ?h WHERE { ?w bibo:handle ?h FILTER NOT EXISTS { ?w dcterms:date ?d } }", all_triples(c))
+
+
+# services and runs
+
+
+@operator("SRC16", "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'http_500' WHEN 2 THEN 'pending' WHEN 3 THEN 'timeout' ELSE 'error' END AS status, CASE WHEN page_id % 5 = 0 THEN '<TEI>' || page_id || '.pdf' END AS tei FROM pages WHERE page_id < 200")
+def _(c):
+    def make():
+        def post(name, content, flags, timeout):
+            k = int(name.split(".")[0]) % 5
+            if k > 2:
+                raise TimeoutError if k == 3 else ConnectionError("down")
+            return {0: (200, "<TEI>" + name), 1: (500, "broken"), 2: (503, "busy")}[k]
+
+        return post
+
+    files = c.raw("pages").where("page_id < 200").select(F.concat(F.col("page_id").cast("string"), F.lit(".pdf")).alias("name"), F.col("html").cast("binary").alias("content"))
+    out = services.structure_files(files, make, 4, sleep=lambda seconds: None)
+    return out.select(F.substring_index("name", ".", 1).cast("long").alias("page_id"), "status", "tei")
+
+
+QUERIES["UD3"] = QUERIES["SRC16"]
+
+
+@operator("SRC17", "SELECT conv_id, turn, CASE (conv_id + turn) % 3 WHEN 0 THEN '{\"claims\": [\"' || role || '\"' WHEN 1 THEN NULL ELSE '{}' END AS answer FROM conversations")
+def _(c):
+    def make():
+        def client(prompt):
+            key, role = prompt.split("|")
+            tries = iter([(500, ""), (200, {0: '{"claims": ["' + role + '"', 1: "no object", 2: "{}"}[int(key)]), (200, "")])
+            return services.ask_model(prompt, lambda request, timeout: next(tries), services.is_json_object, sleep=lambda seconds: None)
+
+        return client
+
+    rows = c.raw("conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("k"), F.concat_ws("|", ((F.col("conv_id") + F.col("turn")) % 3).cast("string"), "role").alias("prompt"))
+    out = services.with_client(rows, "k", "prompt", make, 4)
+    return out.select(F.substring_index("k", "/", 1).cast(c.raw("conversations").schema["conv_id"].dataType).alias("conv_id"), F.substring_index("k", "/", -1).cast(c.raw("conversations").schema["turn"].dataType).alias("turn"), "answer")
+
+
+QUERIES["UD2"] = QUERIES["SRC17"]
+
+
+@operator("SRC19", "SELECT * FROM (VALUES ('e0', 'Identify', 'ok', 0), ('e0', 'ListRecords', 'ok', 2), ('e1', 'Identify', 'unreadable', NULL), ('e1', 'ListRecords', 'no_answer', NULL)) v(endpoint, verb, status, n_records)")
+def _(c):
+    def make():
+        page = b'<r xmlns="http://www.openarchives.org/OAI/2.0/"><record/><record/></r>'
+        return lambda url: {"e0?verb=Identify": b"<r/>", "e0?verb=ListRecords&metadataPrefix=oai_dc": page, "e1?verb=Identify": b"<html"}.get(url)
+
+    names = lambda k, *x: c.spark.createDataFrame([(v,) for v in x], f"{k} string")
+    return services.probe(names("endpoint", "e0", "e1").crossJoin(names("verb", "Identify", "ListRecords")), make)
+
+
+@operator("ST3", LOG_SQL + "SELECT handle FROM works WHERE handle NOT IN (SELECT handle FROM log WHERE status = 'error')")
+def _(c):
+    return ingest.pending(c.works.select("handle"), log(c), ["error"])
+
+
+@operator("ST4", "SELECT * FROM (VALUES ('a', 'skipped'), ('b', 'ok'), ('c', 'error'), ('d', 'skipped')) v(step, status)")
+def _(c):
+    def fail():
+        raise ValueError("no")
+
+    steps = report.run_steps([("a", int), ("b", int), ("c", fail), ("d", int)], from_step="b")
+    return c.spark.createDataFrame([(r["step"], r["status"]) for r in steps], "step string, status string")
+
+
+@operator("SNK10", "SELECT string_agg(line, chr(10) ORDER BY k, line) AS text FROM (SELECT 0 AS k, '| tipo | total |' AS line UNION ALL SELECT 1, '| --- | --- |' UNION ALL SELECT 2, '| ' || type || ' | ' || count(*) || ' |' FROM works GROUP BY type)")
+def _(c):
+    text = report.table(catalog.run("R02", c).orderBy("tipo"))
+    return c.spark.createDataFrame([(text,)], "text string")
+
+
+@operator("SNK11", "SELECT * FROM (VALUES ('a', 'ok'), ('b', 'planned')) v(step, status)")
+def _(c):
+    at = storage.scratch(c.spark)
+    sinks.write_run_log(c.spark, [*report.run_steps([("a", int)]), *report.run_steps([("b", int)], dry_run=True)], at)
+    return c.spark.read.json(at).select(F.explode("steps").alias("s")).select("s.step", "s.status")
+
+
+@operator("FN8", "SELECT doc_id FROM works ORDER BY md5('11|' || doc_id), doc_id LIMIT 7")
+def _(c):
+    return records.shuffled(c.works, 11, "doc_id").limit(7).select("doc_id")
+
+
+@operator("FN23", "SELECT l_orderkey, l_linenumber, CASE WHEN s >= 3600 THEN printf('%dh %dm %ds', s // 3600, s % 3600 // 60, s % 60) WHEN s >= 60 THEN printf('%dm %ds', s // 60, s % 60) ELSE printf('%ds', s) END AS took FROM (SELECT l_orderkey, l_linenumber, CAST(floor(l_quantity * l_linenumber * l_linenumber * 7) AS BIGINT) AS s FROM lineitem)")
+def _(c):
+    seconds = F.col("l_quantity") * F.col("l_linenumber") * F.col("l_linenumber") * 7
+    return c.raw("lineitem").select("l_orderkey", "l_linenumber", fn.duration(seconds).alias("took"))
+
+
 def names() -> list[str]:
     return sorted(QUERIES)
 

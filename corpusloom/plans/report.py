@@ -16,14 +16,16 @@ NO_DATA, CELL = "_Sem dados._", 100
 SECTIONS = [("Corpus", "R01"), ("Types", "R02"), ("Rhetorical classes", "R03"), ("Years", "R04"), ("Subjects", "R05"), ("Items", "R06"), ("Density", "R07"), ("Topics", "R08"), ("Limitations by area", "R09"), ("Cited references", "R10"), ("Keywords", "R11"), ("Quantitative claims", "R12"), ("Works with most limitations", "R13"), ("Future work by area", "R14")]
 
 
+def markdown(names: list[str], rows) -> str:
+    cell = lambda v: ("" if v is None else str(v))[:CELL].replace("|", "\\|").replace("\n", " ")
+    lines = [names, ["---"] * len(names), *([cell(v) for v in r] for r in rows)]
+    return "\n".join("| " + " | ".join(x) + " |" for x in lines)
+
+
 def table(df: DataFrame, most: int = 1000) -> str:
     """A small result as a Markdown table: cells cut, bars escaped."""
     rows = df.limit(most).collect()
-    if not rows:
-        return NO_DATA
-    cell = lambda v: ("" if v is None else str(v))[:CELL].replace("|", "\\|").replace("\n", " ")
-    lines = [df.columns, ["---"] * len(df.columns), *([cell(v) for v in r] for r in rows)]
-    return "\n".join("| " + " | ".join(x) + " |" for x in lines)
+    return markdown(df.columns, rows) if rows else NO_DATA
 
 
 def ratio(a: float, b: float) -> float:
@@ -37,6 +39,16 @@ def build(corpus: Corpus, sections=None) -> str:
     return "\n".join(parts) + "\n"
 
 
+def comparison(scored: DataFrame) -> str:
+    """Scored models (see operators.comparison), the best first, with the one to take."""
+    figures = ["model", "score", "n", "errors", "json_fail", "avg_specific", "avg_gen_ratio", "avg_fields", "avg_kw", "avg_time", "tps", "est_h"]
+    rows = scored.select(*figures).limit(100).collect()
+    best = [r["model"] for r in rows if r["score"] == rows[0]["score"]] if rows else []
+    why = "most points" if len(best) == 1 else "equal points, less time"
+    told = f"Take **{rows[0]['model']}**: {why}." if rows else NO_DATA
+    return "\n".join(["# Comparison of models", "", markdown(figures, rows) if rows else NO_DATA, "", told]) + "\n"
+
+
 def run_steps(steps: list[tuple[str, Callable[[], object]]], from_step: str | None = None, only: str | None = None, skip: tuple[str, ...] = (), dry_run: bool = False, stop: bool = True) -> list[dict]:
     """Run named steps in order; a log row each with status ok, error, skipped or planned."""
     names = [k for k, _ in steps]

@@ -316,3 +316,35 @@ class OaiReader(DataSourceReader):
             if not token:
                 return
             asked = {"verb": "ListRecords", "resumptionToken": token}
+
+
+# diagnosis
+
+
+def probe(rows: DataFrame, make: Callable[[], Callable[[str], bytes | None]]) -> DataFrame:
+    """(endpoint, verb, status, n_records) of each pair of an endpoint and a verb, asked once: ok with the records or
+    sets on the page, unreadable, or no_answer."""
+
+    def run(batches):
+        get = make()
+        for b in batches:
+            out = []
+            for endpoint, verb in zip(b["endpoint"], b["verb"]):
+                page = get(f"{endpoint}?verb={verb}&metadataPrefix=oai_dc" if verb == "ListRecords" else f"{endpoint}?verb={verb}")
+                if page is None:
+                    out.append((endpoint, verb, "no_answer", None))
+                    continue
+                try:
+                    root = ET.fromstring(page)
+                    out.append((endpoint, verb, "ok", sum(1 for _ in root.iter(f"{{{OAI['o']}}}record")) + sum(1 for _ in root.iter(f"{{{OAI['o']}}}set"))))
+                except ET.ParseError:
+                    out.append((endpoint, verb, "unreadable", None))
+            yield pd.DataFrame(out, columns=["endpoint", "verb", "status", "n_records"]).astype({"n_records": "Int64"})
+
+    return rows.select("endpoint", "verb").mapInPandas(run, "endpoint string, verb string, status string, n_records long")
+
+
+def set_profile(records: DataFrame) -> DataFrame:
+    """(set, type, year, n) of manifest records: what a set holds."""
+    each = records.select(F.explode("sets").alias("set"), "types", "date").select("set", F.explode_outer("types").alias("type"), "date")
+    return each.groupBy("set", "type", F.substring("date", 1, 4).alias("year")).agg(F.count("*").alias("n"))
