@@ -237,9 +237,9 @@ def id_bits(rows: DataFrame, column: str, bits: int = 1 << 25) -> bytes:
     """A bit map of fixed size (4 MB) with a bit for the low bits of each hash in a column: what is broadcast has one
     size at every scale.  A wrong hit only costs a row that a later exact join drops."""
     found = rows.selectExpr(f"`{column}` & {bits - 1}L as b").selectExpr("shiftright(b, 6) as w", "shiftleft(1L, cast(b & 63 as int)) as m").groupBy("w").agg(F.bit_or("m").alias("m"))
+    words = found.toArrow()  # bits / 64 rows at most, in one job
     out = np.zeros(bits // 64, dtype=np.int64)
-    for batch in found.toLocalIterator(prefetchPartitions=True):
-        out[batch["w"]] = batch["m"]
+    out[words["w"].to_numpy()] = words["m"].to_numpy()
     return out.tobytes()
 
 
@@ -248,12 +248,11 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
 
     The bound is read off the histogram of the counts, whose rows are the distinct counts: a driver that collects the
     result gets no more than that, whatever the number of partitions."""
-    least, total = 0, 0
-    for r in counts.groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n")).toLocalIterator():
-        total += r["rows"]
-        if total > most:
-            least = r["n"] + 1
-            break
+    histogram = counts.groupBy("n").agg(F.count("*").alias("rows")).toArrow()
+    n, rows = histogram["n"].to_numpy(), histogram["rows"].to_numpy()
+    order = np.argsort(-n)
+    over = np.flatnonzero(np.cumsum(rows[order]) > most)
+    least = int(n[order][over[0]]) + 1 if len(over) else 0
     out = counts.where(F.col("n") >= least)
     out._stash = getattr(counts, "_stash", None)  # the caller's to forget
     return out
