@@ -117,26 +117,55 @@ def test_hnsw_recall_and_odd_vectors(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(900, 16))
     x[100:400] = x[100]  # a hot vector
+    big = 2**60 + 100  # divisible by 100 only as it is, not as a float
+    big -= big % 100
     rows = [(k, v.tolist(), 1) for k, v in enumerate(x)]
-    rows += [(1000, None, 1), (1001, [], 1), (1002, [0.0] * 16, 1), (1003, [float("nan")] + [1.0] * 15, 1), (1004, [None] + [1.0] * 15, 1), (1100, [1.0, 2.0], 1), (5, x[5].tolist(), 2)]
+    rows += [(1000, None, 1), (1001, [], 1), (1002, [0.0] * 16, 1), (1003, [float("nan")] + [1.0] * 15, 1), (1004, [None] + [1.0] * 15, 1), (1100, [1.0, 2.0], 1), (5, x[5].tolist(), 2), (None, x[7].tolist(), 1)]
+    rows += [(600, x[601].tolist(), 3), (600, x[600].tolist(), 3), (big, x[8].tolist(), 1)]  # ids that repeat, with another vector and as a copy
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
     got = hnsw.nearest(table, F.col("vec_id") % 100 == 0, shard_rows=300).toPandas()
-    assert set(got["query_id"]) == set(range(0, 900, 100))
-    hits = 0
-    for q in range(0, 900, 100):
-        d = np.sqrt(((x - x[q]) ** 2).sum(1))
-        d[q] = np.inf
-        want = sorted(zip(d.tolist(), range(900)))[:10]
-        mine = got[got["query_id"] == q].sort_values("rank")
-        assert mine["rank"].tolist() == list(range(1, 11))
-        assert np.allclose(mine["score"], d[mine["vec_id"]]) and mine["score"].is_monotonic_increasing
+    ids = np.array([i for i, v, _ in rows if i is not None and v and len(v) == 16 and all(c is not None and c == c for c in v) and any(v)])
+    xs = np.array([v for i, v, _ in rows if i is not None and v and len(v) == 16 and all(c is not None and c == c for c in v) and any(v)])
+    assert set(got["query_id"]) == {*range(0, 900, 100), big}
+    hits = total = 0
+    for (q, _), mine in got.groupby(["query_id", "query_no"]):
+        mine = mine.sort_values("rank")
+        assert mine["rank"].tolist() == list(range(1, 11)) and mine["score"].is_monotonic_increasing
+        lists = []
+        for at in np.flatnonzero(ids == q):  # the query's own row alone is left out
+            d = np.sqrt(((xs - xs[at]) ** 2).sum(1))
+            d[at] = np.inf
+            lists.append(sorted(zip(d.tolist(), ids.tolist()))[:10])
         if q in (100, 200, 300):
-            assert mine["vec_id"].tolist() == [i for _, i in want]  # ties to the smaller id
-        hits += len({i for _, i in want} & set(mine["vec_id"]))
-    assert hits >= 0.9 * 90
+            assert mine["vec_id"].tolist() == [i for _, i in lists[0]]  # ties to the smaller id
+        hits += max(len({i for _, i in want} & set(mine["vec_id"])) for want in lists)
+        total += len({i for _, i in lists[0]})
+    assert hits >= 0.9 * total
+    six = {n: g.sort_values("rank") for n, g in got[got["query_id"] == 600].groupby("query_no")}
+    assert len(six) == 3 and sorted(g["score"].iloc[0] for g in six.values()) == [0.0, 0.0, 0.0]
+    assert sorted(g["vec_id"].iloc[0] for g in six.values()) == [600, 600, 601]
     assert hnsw.nearest(table.where("vec_id < 0"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_shards_grow_with_rows_alone():
+    assert [hnsw.shards_for(n, 12) for n in (0, 2000, 10_000, 50_000, 10**7)] == [1, 1, 4, 12, 77]
+
+
+def test_recall_over_several_shards(spark):
+    import duckdb
+
+    e = duckdb.sql("select vec_id, embedding from '/root/testdata/sf0.1/embeddings.parquet' order by vec_id").fetchall()
+    ids, x = np.array([r[0] for r in e]), np.array([r[1] for r in e])
+    table = common.load(spark, "/root/testdata/sf0.1", "embeddings")
+    got = hnsw.nearest(table, F.col("vec_id") % 100 == 0, shard_rows=700).toPandas()
+    hits = total = 0
+    for q in ids[ids % 100 == 0]:
+        d = ((x - x[ids == q]) ** 2).sum(1)
+        d[ids == q] = np.inf
+        hits, total = hits + len(set(ids[np.lexsort((ids, d))[:10]].tolist()) & set(got[got["query_id"] == q]["vec_id"])), total + 10
+    assert len(ids) > 1400 and hits >= 0.9 * total
+
+
 def test_recall_on_the_test_table(spark, small):
     import duckdb
 
