@@ -1,8 +1,10 @@
 """A corpus pipeline over documents: toxicity, line dedup, near duplicates, secrets, packing.
 
 Each stage takes the rows that the stage before it kept and, but for the last, returns them with the columns of
-documents.  Defined results: rows with null texts pass as empty ones; a row without a doc_id can't be named by a group
-of near duplicates and stays; an empty table passes through.
+documents.  Defined results: rows with null texts pass as empty ones; columns besides id, text and n_chars pass through,
+whatever their names; an empty table passes through.  Rows are told apart by id and text: of a group of near duplicates
+the row with the smallest doc_id stays (rows without one come last), and different texts under one doc_id both stay
+unless they are near duplicates.  A line of ten rows or more stays in the rows that have the smallest doc_id of them.
 """
 
 from __future__ import annotations
@@ -17,35 +19,33 @@ from corpusloom.llm.queries import fold_of, vocabulary
 TOXIC = 0.5
 
 
-def _with_text(docs: DataFrame, text) -> DataFrame:
-    """The same columns with another text; n_chars follows it where there is one."""
-    out = docs.withColumn("text", text)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text where there is one."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays under TOXIC; labels of the held-out fifth are not learned from."""
     model = toxicity.fit(docs, load(spark, sf_dir, "labels"), where=fold_of() != 0)
-    return docs.where(toxicity.scores(spark, model, F.col("text")) < TOXIC)
+    return toxicity.below(docs, model, TOXIC)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of ten documents or more stay in the first of them alone; a document that loses all its lines goes."""
     out = line_dedup.with_kept(docs, keep_first=True)
-    out = out.where((F.col("_kept.n_dropped") == 0) | (F.trim("_kept.text", F.lit(" \t\n\x0b\x0c\r")) != ""))
-    return _with_text(out, F.col("_kept.text")).select(*docs.columns)
+    kept = out[out.columns[-1]]
+    out = out.where((kept["n_dropped"] == 0) | (F.trim(kept["text"], F.lit(" \t\n\x0b\x0c\r")) != ""))
+    return _counted(out.withColumn("text", kept["text"])).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id."""
-    kept = jaccard_join.components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group of near duplicates."""
+    return jaccard_join.keep_one(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each reported stretch replaced by its kind."""
-    return _with_text(docs, secret_scan.redacted(F.col("text"))).select(*docs.columns)
+    return _counted(secret_scan.redacted(docs)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
