@@ -2,7 +2,7 @@
 
 Understood: PREFIX; SELECT of variables and (expression AS ?v), DISTINCT; COUNT, COUNT(DISTINCT), SUM, MIN, MAX, AVG, also
 within expressions; basic graph patterns with a, names, IRIs and literals; OPTIONAL, UNION, nested groups; FILTER with
-&& || ! comparison, arithmetic, IN, NOT EXISTS; BIND; STR, SUBSTR, STRLEN, LCASE, UCASE, CONTAINS, STRSTARTS, IF, RAND,
+&& || ! comparison, arithmetic, IN, NOT EXISTS; BIND; STR, IRI, CONCAT, SUBSTR, STRLEN, LCASE, UCASE, CONTAINS, STRSTARTS, IF, RAND,
 xsd:integer; GROUP BY, HAVING, ORDER BY, LIMIT, OFFSET.  Patterns become filtered projections of the triples joined on
 the variables they share; Catalyst picks order and strategy.  Solutions are bags.  An unbound variable is null: it is
 compatible with every value where groups are joined, and a filter that is not true drops its solution.
@@ -63,6 +63,13 @@ class Parser:
         while self.has("PREFIX"):
             name, iri = self.take()[1], self.take()[1]
             self.prefixes[name.rstrip(":")] = iri[1:-1]
+        rows = self.selection()
+        if self.at < len(self.tokens):
+            raise SparqlError(f"unexpected {self.peek()!r}")
+        return rows
+
+    def selection(self) -> DataFrame:
+        """A SELECT with what follows it, at the top or within a group."""
         self.take("SELECT")
         distinct = self.has("DISTINCT")
         items: list[tuple[str, int]] = []  # a variable and where its expression starts, or -1
@@ -96,10 +103,10 @@ class Parser:
         scope = rows.columns
         if self.has("HAVING"):
             aggregates["_having"] = self.primary(rows)
-        order: list[tuple[str | Column, bool]] = []
+        order: list[tuple[str | int, bool]] = []  # a column, or where an expression over the solutions starts
         if self.has("ORDER"):
             self.take("BY")
-            while self.at < len(self.tokens) and self.word() not in ("LIMIT", "OFFSET"):
+            while self.at < len(self.tokens) and self.word() not in ("LIMIT", "OFFSET", "}"):
                 down = self.has("DESC")
                 if not down:
                     self.has("ASC")
@@ -109,7 +116,8 @@ class Parser:
                 elif self.peek().startswith("?"):
                     order.append((self.take()[1][1:], down))
                 else:
-                    order.append((self.primary(rows), down))
+                    order.append((self.at, down))
+                    self.primary(rows)
         if keys or aggregates:
             if reused := [k for k in aggregates if k in scope]:
                 raise SparqlError(f"?{reused[0]} is already in scope")
@@ -119,8 +127,16 @@ class Parser:
         for name, c in out.items():
             rows = rows.withColumn(name, c)
         if order:
-            by = [F.col(c) if isinstance(c, str) and c in rows.columns else F.lit(None) if isinstance(c, str) else c for c, _ in order]
-            rows = rows.orderBy(*(c.desc_nulls_last() if down else c.asc_nulls_first() for c, (_, down) in zip(by, order)))
+            end, by = self.at, []
+            for c, down in order:
+                if isinstance(c, int):
+                    self.at = c
+                    x = self.primary(rows)
+                else:
+                    x = F.col(c) if c in rows.columns else F.lit(None)
+                by.append(x.desc_nulls_last() if down else x.asc_nulls_first())
+            self.at = end
+            rows = rows.orderBy(*by)
         names = [k for name, _ in items for k in ([c for c in rows.columns if c[0] != "_"] if name == "*" else [name])]
         if missing := [k for k in names if k not in rows.columns]:
             rows = rows.withColumns({k: F.lit(None).cast("string") for k in missing})
@@ -131,10 +147,7 @@ class Parser:
             which, n = self.take()[1].upper(), int(self.take()[1])
             limit, offset = (n, offset) if which == "LIMIT" else (limit, n)
         rows = rows.offset(offset) if offset else rows
-        rows = rows.limit(limit) if limit is not None else rows
-        if self.at < len(self.tokens):
-            raise SparqlError(f"unexpected {self.peek()!r}")
-        return rows
+        return rows.limit(limit) if limit is not None else rows
 
     def aggregated(self, at: int, stop: str) -> bool:
         """Whether an expression, up to a word or the bracket that ends it, holds an aggregate."""
@@ -143,7 +156,7 @@ class Parser:
             word = self.tokens[at][1].upper()
             depth += {"(": 1, ")": -1}.get(word, 0)
             found |= word in AGGREGATES and at + 1 < len(self.tokens) and self.tokens[at + 1][1] == "("
-            if (stop and word == stop and depth == 0) or (not stop and depth <= 0 and word in (")", "LIMIT", "OFFSET")) or (not stop and depth == 0 and word.startswith("?")):
+            if (stop and word == stop and depth == 0) or (not stop and depth <= 0 and word in (")", "}", "LIMIT", "OFFSET")) or (not stop and depth == 0 and word.startswith("?")):
                 return found
             at += 1
         return found
@@ -153,6 +166,10 @@ class Parser:
     def group(self) -> DataFrame:
         """A braced group; its filters hold for the whole group, wherever they stand."""
         self.take("{")
+        if self.word() == "SELECT":
+            rows = self.selection()
+            self.take("}")
+            return rows
         rows: DataFrame | None = None
         filters: list[int] = []
         absent: list[DataFrame] = []
@@ -342,7 +359,7 @@ class Parser:
         if self.peek(1) == "(" and kind in ("word", "name"):
             self.take()
             args = self.arguments(rows)
-            simple = {"STR": lambda x: x.cast("string"), "STRLEN": F.length, "LCASE": F.lower, "UCASE": F.upper, "CONTAINS": F.contains, "STRSTARTS": F.startswith, "IF": lambda t, a, b: F.when(t, a).otherwise(b), "RAND": lambda: F.rand(self.seed), "BOUND": lambda x: x.isNotNull(), "SUBSTR": lambda x, a, n=None: F.substr(x, a.cast("int"), n.cast("int") if n is not None else None), "XSD:INTEGER": lambda x: x.try_cast("int")}
+            simple = {"STR": lambda x: x.cast("string"), "IRI": lambda x: x.cast("string"), "CONCAT": F.concat, "STRLEN": F.length, "LCASE": F.lower, "UCASE": F.upper, "CONTAINS": F.contains, "STRSTARTS": F.startswith, "IF": lambda t, a, b: F.when(t, a).otherwise(b), "RAND": lambda: F.rand(self.seed), "BOUND": lambda x: x.isNotNull(), "SUBSTR": lambda x, a, n=None: F.substr(x, a.cast("int"), n.cast("int") if n is not None else None), "XSD:INTEGER": lambda x: x.try_cast("int")}
             if name not in simple:
                 raise SparqlError(f"unknown function {name}")
             return simple[name](*args)
