@@ -376,3 +376,29 @@ def test_stages(spark, docs, texts, small):
     assert counted(r["doc_id"] for r in last.where("piece = 0").collect()) == counted(i for i, _ in texts)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), small).count() == 0, name
+
+
+def test_trained_field_end_to_end(spark):
+    """Fit on labelled documents, rate others: the verdict is that of the best of all paths, enumerated."""
+    import itertools
+
+    def text(k, good):
+        r = random.Random(k)
+        lines = [prose(1000 * k + j, 25) for j in range(r.randrange(2, 5))]
+        return "\n".join(lines if good else [*lines[:2], *("Menu | Home | Login ###" + str(j) for j in range(r.randrange(2, 5)))])
+
+    rows = [(k, text(k, k % 2 == 0), k % 2 == 0) for k in range(60)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(y)) for k, _, y in rows], "doc_id long, quality int")
+    emit, move = model = quality_crf.fit(docs, labels)
+    new = [(k, text(k, k % 2 == 0)) for k in range(100, 130)]
+    got = {r["doc_id"]: r for r in quality_crf.rate(spark.createDataFrame(new, "doc_id long, text string"), model).collect()}
+    for k, t in new:
+        lines = t.split("\n")
+        x = quality_crf.line_features(lines) @ emit
+        best = max(itertools.product((0, 1), repeat=len(lines)), key=lambda p: sum(x[j, s] for j, s in enumerate(p)) + sum(move[a, b] for a, b in zip(p, p[1:])))
+        sizes = [len(s.split()) for s in lines]
+        share = sum(n for n, s in zip(sizes, best) if s == 0) / sum(sizes)
+        assert np.isclose(got[k]["content_share"], share) and got[k]["n_boilerplate"] == sum(best)
+        assert got[k]["kept"] == (not got[k]["base_failed"] and share >= quality_crf.KEEP_SHARE)
+    assert np.mean([got[k]["n_boilerplate"] > 0 for k in range(101, 130, 2)]) > 0.9 > 0.1 > np.mean([got[k]["n_boilerplate"] > 0 for k in range(100, 130, 2)])
