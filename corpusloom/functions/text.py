@@ -14,6 +14,11 @@ def clean_text(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
+def xml_text(x: Column, path: str) -> Column:
+    """All text below the nodes of a path of an XML document, joined by blanks; names stand without their namespace."""
+    return F.trim(F.array_join(F.xpath(x, F.lit(path + "//text()")), " "))
+
+
 def stem(handle: Column) -> Column:
     """File stem of a handle: every slash becomes an underscore."""
     return F.replace(handle, F.lit("/"), F.lit("_"))

@@ -347,14 +347,20 @@ def _(c):
 # joins
 
 
-@operator("JN1", "SELECT conv_id AS doc_id, count(*) AS n FROM conversations JOIN documents ON doc_id = conv_id GROUP BY conv_id")
+def parsed_names(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    """Parsed files of all documents, and a manifest that lacks every fourth."""
+    names = c.raw("documents").select("doc_id", F.concat(F.lit("11422_"), F.col("doc_id").cast("string"), F.lit(".tei.xml")).alias("name"))
+    return names, c.works.where("doc_id % 4 <> 0").select("handle", "title")
+
+
+@operator("JN1", "SELECT doc_id, handle, title AS m_title FROM works WHERE doc_id % 4 <> 0")
 def _(c):
-    return c.raw("conversations").select(F.col("conv_id").alias("doc_id")).join(c.raw("documents").select("doc_id"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return structure.matched(*parsed_names(c))[0].select("doc_id", "handle", "m_title")
 
 
-@operator("JN2", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT conv_id FROM conversations)")
+@operator("JN2", "SELECT doc_id, handle FROM works WHERE doc_id % 4 = 0")
 def _(c):
-    return c.raw("documents").select("doc_id").join(c.raw("conversations").select(F.col("conv_id").alias("doc_id")), "doc_id", "left_anti")
+    return structure.matched(*parsed_names(c))[1].select("doc_id", "handle")
 
 
 @operator("JN3", "SELECT w.doc_id, w.title, k.keyword FROM works w LEFT JOIN keywords k USING (doc_id)")
@@ -478,9 +484,9 @@ def _(c):
     return log(c).groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum("size") / 1e6, 6).alias("mb"))
 
 
-@operator("AG11", MANIFEST_SQL + "SELECT t AS type, substr(date, 1, 4) AS year, count(*) AS n FROM (SELECT unnest(types) AS t, date FROM manifest) GROUP BY ALL")
+@operator("AG11", MANIFEST_SQL + "SELECT s AS set, t AS type, substr(date, 1, 4) AS year, count(*) AS n FROM (SELECT unnest(subjects) AS s, CASE WHEN len(types) = 0 THEN [NULL] ELSE types END AS ts, date FROM manifest), unnest(ts) AS u(t) GROUP BY ALL")
 def _(c):
-    return manifest(c).select(F.explode("types").alias("type"), fn.year_of(F.col("date")).alias("year")).groupBy("type", "year").agg(F.count("*").alias("n"))
+    return services.set_profile(manifest(c).withColumn("sets", F.col("subjects")))
 
 
 @operator("AG12", f"""SELECT cause, count(*) AS n FROM (SELECT unnest([CASE WHEN heads = 0 THEN '{discourse.NO_HEADS}' ELSE '{discourse.NO_TARGET_HEADS}' END,
@@ -642,9 +648,9 @@ def _(c):
     return c.raw("documents").select("doc_id", fn.clean_text(F.col("text")).alias("clean"))
 
 
-@operator("FN11", r"SELECT page_id, array_to_string(regexp_extract_all(html, '<(?:p|h1)>([^<]+)', 1), ' ') AS t FROM pages")
+@operator("FN11", _TEI_SQL.replace("{heading}", "{h}").format(h=HEADING_SQL, toc="x") + "SELECT doc_id, body AS t FROM b")
 def _(c):
-    return c.raw("pages").select("page_id", F.array_join(F.regexp_extract_all("html", F.lit("<(?:p|h1)>([^<]+)"), F.lit(1)), " ").alias("t"))
+    return tei_documents(c).select(F.substring_index("name", ".", 1).cast("long").alias("doc_id"), fn.xml_text(F.col("content"), "//body").alias("t"))
 
 
 @operator("FN12", r"SELECT doc_id, round(length(regexp_replace(text, '[^\p{L}]', '', 'g')) / greatest(length(text), 1), 6) AS alpha, round(length(regexp_replace(text, '[^0-9]', '', 'g')) / greatest(length(text), 1), 6) AS digit, round(CASE WHEN length(text) = 0 THEN 1.0 ELSE 1 - length(regexp_replace(text, '[^\p{L}\p{N}\s]', '', 'g')) / length(text) END, 6) AS garbage FROM documents")
