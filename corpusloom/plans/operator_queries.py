@@ -554,9 +554,9 @@ def _(c):
     return c.raw("events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first")).orderBy(F.desc("n"), "first").limit(3).drop("first")
 
 
-@operator("SO7", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT conv_id FROM conversations) ORDER BY doc_id LIMIT 12")
+@operator("SO7", LOG_SQL + "SELECT handle FROM works WHERE handle NOT IN (SELECT handle FROM log WHERE status = 'error') ORDER BY handle LIMIT 12")
 def _(c):
-    return QUERIES["JN2"][0](c).orderBy("doc_id").limit(12)
+    return ingest.pending(c.works.select("handle"), log(c), ["error"], 12)
 
 
 @operator("SO8", "SELECT doc_id, sec, content FROM items WHERE kind = 'claim' QUALIFY row_number() OVER (PARTITION BY doc_id, sec ORDER BY j) = 1 ORDER BY doc_id, sec LIMIT 5")
@@ -1111,7 +1111,7 @@ def _(c):
 QUERIES["UD2"] = QUERIES["SRC17"]
 
 
-@operator("SRC19", "SELECT * FROM (VALUES ('e0', 'Identify', 'ok', 0), ('e0', 'ListRecords', 'ok', 2), ('e1', 'Identify', 'unreadable', NULL), ('e1', 'ListRecords', 'no_answer', NULL)) v(endpoint, verb, status, n_records)")
+@operator("SRC19", "SELECT endpoint, verb, status, CAST(n AS BIGINT) AS n_records FROM (VALUES ('e0', 'Identify', 'ok', 0), ('e0', 'ListRecords', 'ok', 2), ('e1', 'Identify', 'unreadable', NULL), ('e1', 'ListRecords', 'no_answer', NULL)) v(endpoint, verb, status, n)")
 def _(c):
     def make():
         page = b'<r xmlns="http://www.openarchives.org/OAI/2.0/"><record/><record/></r>'
