@@ -875,7 +875,12 @@ def _(c):
     return predicate_counts(graph.as_set(turtle.read(c.spark, at, "part-*")))
 
 
-QUERIES["SRC7"] = QUERIES["SNK4"]
+@operator("SRC7", "SELECT 'b:w' || doc_id AS s, p, o FROM (SELECT doc_id, 'a' AS p, 'b:Work' AS o FROM works UNION ALL SELECT doc_id, 'b:title', title FROM works UNION ALL SELECT doc_id, 'b:lang', lang FROM works UNION ALL SELECT doc_id, 'b:lang', 'xx' FROM works UNION ALL SELECT doc_id, 'b:n', '12' FROM works)")
+def _(c):
+    """Turtle texts of a work each: a prefix, a full IRI under it, escapes, a tagged literal, a list of objects, a number."""
+    escaped = F.replace(F.replace(F.replace("title", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    text = F.concat(F.lit("@prefix b: <http://b/> .\n# a work\nb:w"), F.col("doc_id").cast("string"), F.lit(' a <http://b/Work> ;\n  b:title "'), escaped, F.lit('"@pt ;\n  b:lang "'), "lang", F.lit('", "xx" ; b:n 12 .\n'))
+    return turtle.parse_table(c.works.select(F.col("handle").alias("file"), text.alias("value"))).select("s", "p", "o")
 
 
 @operator("SNK5", _GRAPH_COUNTS)
@@ -1090,7 +1095,21 @@ def _(c):
     return out.select(F.substring_index("name", ".", 1).cast("long").alias("page_id"), "status", "tei")
 
 
-QUERIES["UD3"] = QUERIES["SRC16"]
+@operator("UD3", "SELECT page_id, 'ok' AS status, CAST(page_id % 4 AS BIGINT) AS n FROM pages WHERE page_id % 4 > 0 AND page_id < 400")
+def _(c):
+    """Files structured by a service, and what it answers parsed."""
+
+    def make():
+        def post(name, content, flags, timeout):
+            k = int(name.split(".")[0]) % 4
+            divs = "".join(f"<div><head>Part {j}</head><p>{'word ' * 120}</p></div>" for j in range(k))
+            return 200, f'<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body>{divs}</body></text></TEI>'
+
+        return post
+
+    files = c.raw("pages").where("page_id < 400").select(F.concat(F.col("page_id").cast("string"), F.lit(".pdf")).alias("name"), F.col("html").cast("binary").alias("content"))
+    parsed = tei.parse_table(services.structure_files(files, make, 4).where("status = 'ok'"), "name", "tei").where("status = 'ok'")
+    return parsed.select(F.substring_index("name", ".", 1).cast("long").alias("page_id"), "status", big(F.size("sections")).alias("n"))
 
 
 @operator("SRC17", "SELECT conv_id, turn, CASE (conv_id + turn) % 3 WHEN 0 THEN '{\"claims\": [\"' || role || '\"' WHEN 1 THEN NULL ELSE '{}' END AS answer FROM conversations")
@@ -1108,7 +1127,14 @@ def _(c):
     return out.select(F.substring_index("k", "/", 1).cast(c.raw("conversations").schema["conv_id"].dataType).alias("conv_id"), F.substring_index("k", "/", -1).cast(c.raw("conversations").schema["turn"].dataType).alias("turn"), "answer")
 
 
-QUERIES["UD2"] = QUERIES["SRC17"]
+@operator("UD2", "SELECT conv_id, turn, (conv_id + turn) % 5 < 3 AS readable, CASE WHEN (conv_id + turn) % 5 < 3 THEN role END AS claim, CASE WHEN (conv_id + turn) % 5 < 3 THEN CASE WHEN (conv_id + turn) % 5 = 0 THEN 'Turbina' ELSE '' END END AS keywords FROM conversations")
+def _(c):
+    """Raw answers as models give them: whole, fenced, cut off after an item, cut off within one, without an object."""
+    k, role = (F.col("conv_id") + F.col("turn")) % 5, F.col("role")
+    whole = F.concat(F.lit('{"claims": ["'), role, F.lit('"], "keywords_inferred": ["Results", "Turbina", "turbina", "abc"], "rhetorical_type": "results"}'))
+    raw = F.when(k == 0, whole).when(k == 1, F.concat(F.lit('```json\n{"claims": ["'), role, F.lit('"]}\n```'))).when(k == 2, F.concat(F.lit('Sure: {"claims": ["'), role, F.lit('"'))).when(k == 3, F.concat(F.lit('{"claims": ["'), role)).otherwise("no object")
+    a = discourse.parse_answer(raw)
+    return c.raw("conversations").select("conv_id", "turn", a.isNotNull().alias("readable"), a["claims"][0].alias("claim"), joined(a["keywords_inferred"]).alias("keywords"))
 
 
 @operator("SRC19", "SELECT endpoint, verb, status, CAST(n AS BIGINT) AS n_records FROM (VALUES ('e0', 'Identify', 'ok', 0), ('e0', 'ListRecords', 'ok', 2), ('e1', 'Identify', 'unreadable', NULL), ('e1', 'ListRecords', 'no_answer', NULL)) v(endpoint, verb, status, n)")
