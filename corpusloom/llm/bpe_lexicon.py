@@ -39,8 +39,8 @@ PIECE = regex.compile(PATTERN.replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{W
 
 LEXICON_WORDS = 1 << 16
 LONGEST = 64  # characters of a chunk in the lexicon; longer ones are merged as unseen words are
-FLUSH_CHUNKS = 200_000
-CACHE_WORDS = 400_000
+FLUSH_CHUNKS = 600_000
+CACHE_WORDS = 800_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -190,16 +190,30 @@ class Lexicon:
         self.final = whole[at : at + n]
         self.label = at + n + (-n % 4)
 
+    def beginnings(self, n: int = 6) -> set[bytes]:
+        """The words' first n bytes, shorter words as they are; most unseen words are told by them."""
+        out, todo = set(), [(self.root, b"")]
+        while todo:
+            state, word = todo.pop()
+            if len(word) == n:
+                out.add(word)
+                continue
+            if self.final[state]:
+                out.add(word)
+            for edge in range(self.first[state], self.first[state + 1]):
+                todo.append((self.target[edge], word + self.map[self.label + edge : self.label + edge + 1]))
+        return out
+
     def find(self, word: bytes) -> bytes | None:
         """The word's ids as little-endian unsigned 32-bit bytes, or None."""
         state, number = self.root, 0
-        first, start, find = self.first, self.label, self.map.find
+        first, start, find, target, weight = self.first, self.label, self.map.find, self.target, self.weight
         for k in range(len(word)):
             edge = find(word[k : k + 1], start + first[state], start + first[state + 1]) - start
             if edge < 0:
                 return None
-            number += self.weight[edge]
-            state = self.target[edge]
+            number += weight[edge]
+            state = target[edge]
         if not self.final[state]:
             return None
         return bytes(self.ids[4 * self.offset[number] : 4 * self.offset[number + 1]])
@@ -210,12 +224,16 @@ class _Cache(dict):
 
     def __init__(self, lexicon: Lexicon, merges: Merges, most: int):
         self.lexicon, self.merges, self.most = lexicon, merges, most
+        self.beginnings = lexicon.beginnings()
 
     def __missing__(self, chunk: str) -> bytes:
         if chunk[-1] in ".,!" and chunk[:-1].strip(" ").isalpha() and chunk[:-1].isascii():  # the pattern parts these
             out = self[chunk[:-1]] + self[chunk[-1]]
-        elif (out := self.lexicon.find(chunk.encode())) is None:
-            out = array("I", self.merges.pieces(chunk)).tobytes()
+        else:
+            raw = chunk.encode()
+            out = self.lexicon.find(raw) if raw[:6] in self.beginnings else None
+            if out is None:
+                out = array("I", self.merges.pieces(chunk)).tobytes()
         if len(chunk) <= 64:
             if len(self) >= self.most:
                 self.clear()
@@ -223,49 +241,30 @@ class _Cache(dict):
         return out
 
 
-class _Spelled(dict):
-    """Id bytes to the decimal ids, joined by commas, and the bytes that they decode to; it starts anew when it is full."""
-
-    def __init__(self, merges: Merges, most: int):
-        self.decimal, self.token, self.most = merges.decimal, merges.token, most
-
-    def __missing__(self, ids: bytes) -> tuple[str, bytes]:
-        found = memoryview(ids).cast("I").tolist()
-        out = ",".join(map(self.decimal.__getitem__, found)), b"".join(map(self.token.__getitem__, found))
-        if len(ids) <= 256:
-            if len(self) >= self.most:
-                self.clear()
-            self[ids] = out
-        return out
-
-
 class Codec:
     """encode() and decode() of one worker."""
 
     def __init__(self, path: str, blob: bytes, cache: int = CACHE_WORDS):
         self.merges = Merges(path)
         self.cache = _Cache(Lexicon(blob), self.merges, cache)
-        self.spelled = _Spelled(self.merges, cache)
         names = sorted(self.merges.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
-    def parts(self, text: str | None) -> list[bytes]:
-        """The text's ids in order as little-endian unsigned 32-bit bytes, those of a chunk or special token together."""
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.cache.__getitem__, CHUNK.findall(text)))
+
+    def encode(self, text: str | None) -> array:
+        out = array("I")
         if not text:
-            return []
+            return out
         if self.special is None or not self.special.search(text):
-            return list(map(self.cache.__getitem__, CHUNK.findall(text)))
-        out = []
+            out.frombytes(self._plain(text))
+            return out
         for part in self.special.split(text):
             if part in self.merges.special:
-                out.append(self.merges.special[part].to_bytes(4, "little"))
+                out.append(self.merges.special[part])
             else:
-                out += map(self.cache.__getitem__, CHUNK.findall(part))
-        return out
-
-    def encode(self, text: str | None) -> array:
-        out = array("I")
-        out.frombytes(b"".join(self.parts(text)))
+                out.frombytes(self._plain(part))
         return out
 
     def decode(self, ids) -> str:
@@ -342,10 +341,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def digests(codec: Codec, text: str | None) -> tuple[int, str, str]:
     """Token count, hash of the ids and hash of the text decoded from them."""
-    parts = codec.parts(text)
-    spelled = list(map(codec.spelled.__getitem__, parts))
-    decoded = b"".join([b for _, b in spelled]).decode("utf-8", "replace")
-    return sum(map(len, parts)) // 4, hashlib.sha256(",".join([d for d, _ in spelled]).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+    ids = codec.encode(text).tolist()
+    listed = ",".join(map(codec.merges.decimal.__getitem__, ids))
+    return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()
 
 
 def round_trip(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> DataFrame:

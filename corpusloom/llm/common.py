@@ -135,7 +135,13 @@ def slices(batches, column: int = 1):
 
 def record_batch(columns, schema: pa.Schema) -> pa.RecordBatch:
     """Columns (lists or arrays, None for null) as a batch; nothing passes through floats, so ids stay exact."""
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    def column(c, kind: pa.DataType) -> pa.Array:
+        if not isinstance(c, pa.Array):
+            return pa.array(c, kind)
+        return c if c.type == kind else c.cast(kind)  # names of zones and of nested fields may differ
+
+    return pa.RecordBatch.from_arrays([column(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -68,14 +68,14 @@ def sentences(text: str) -> list[str]:
     return [s for s in re.split(r"[.!?\n]+", text) if s.strip()]
 
 
-def neighbours(text: str | None) -> tuple[list[str], list[bool]]:
-    """The words of all sentences in order, and whether the next one is of the same sentence."""
+def neighbours(text: str | None) -> tuple[list[str], bytearray]:
+    """The words of all sentences in order, and whether (1) the next one is of the same sentence or not (0)."""
     words: list[str] = []
-    follows: list[bool] = []
+    follows = bytearray()
     for s in sentences((text or "").lower()):
         found = s.split()
         words += found
-        follows += [True] * (len(found) - 1) + [False]
+        follows += b"\1" * (len(found) - 1) + b"\0"
     return words, follows
 
 
@@ -89,11 +89,23 @@ def pairs_of(text: str | None) -> set[str]:
     return {f"{a} {b}" for a, b, f in zip(words, words[1:], follows) if f and len(a) + len(b) < 32}
 
 
+def _inner(c: np.ndarray, table: np.ndarray, d2: int) -> np.ndarray:
+    """Weights of the subsequences that begin at each place and span d2 + 1 characters, as running sums."""
+    m = len(c) - d2
+    outer = (c[:m] << 12) | c[d2:]
+    inner = table[outer | (c[1 : 1 + m] << 6)]
+    for d1 in range(2, d2):
+        inner += table[outer | (c[d1 : d1 + m] << 6)]
+    out = np.zeros(m + 1)
+    np.cumsum(inner, dtype=np.float64, out=out[1:])
+    return out
+
+
 def pair_values(words: list[str], table: np.ndarray) -> np.ndarray:
     """apply_weights for every word joined with the next by a blank: differences of one array's running sums, the marks
     at the pair's ends apart; pairs shorter than SPAN one by one."""
-    c = _codes([" ".join(words)])[0][1:-1].astype(np.int64)
-    high, mid = c << 12, c << 6
+    c = _codes([" ".join(words)])[0][1:-1]
+    mid = c << 6
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(sizes + 1) - 1
     s, e = (end - sizes)[:-1], end[1:]
@@ -108,12 +120,10 @@ def pair_values(words: list[str], table: np.ndarray) -> np.ndarray:
     value, square = np.zeros(len(s)), np.zeros(len(s))
     first, last = table[61 << 12 : 62 << 12], table[62::64]
     for d2 in range(2, SPAN) if len(s) else ():
-        w, m = DECAY ** (d2 - 2), len(c) - d2
-        inner, ends = np.zeros(m), np.zeros(len(s))
+        w, ends = DECAY ** (d2 - 2), np.zeros(len(s))
         for d1 in range(1, d2):
-            inner += table[high[:m] | mid[d1 : d1 + m] | c[d2:]]
             ends += first[mid[s - 1 + d1] | c[s - 1 + d2]] + last[mid[e - d2] | c[e - d2 + d1]]
-        sums = np.concatenate([[0.0], np.cumsum(inner)])
+        sums = _inner(c, table, d2)
         value += w * (sums[e - d2] - sums[s] + ends)
         square += w * w * (d2 - 1) * (e - s + 2 - d2)
     out[long] = value / np.sqrt(np.maximum(square, 1e-12))
@@ -158,12 +168,18 @@ def norms(words: list[str]) -> np.ndarray:
 
 
 def apply_weights(words: list[str], table: np.ndarray) -> np.ndarray:
-    """Sum of the subsequences' weights over the norm, for each word."""
-    out, square = np.zeros(len(words)), np.zeros(len(words))
-    for who, u, w in _occurrences(words):
-        out += w * np.bincount(who, weights=table[u], minlength=len(words))
-        square += w * w * np.bincount(who, minlength=len(words))
-    return out / np.sqrt(np.maximum(square, 1e-12))
+    """Sum of the subsequences' weights over the norm, for each word, by running sums over all words in a row."""
+    c, _ = _codes(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2  # with a mark at either end
+    end = np.cumsum(sizes)
+    value, square = np.zeros(len(words)), np.zeros(len(words))
+    for d2 in range(2, SPAN):
+        if len(c) <= d2:
+            break
+        w, sums, own = DECAY ** (d2 - 2), _inner(c, table, d2), np.flatnonzero(sizes > d2)
+        value[own] += w * (sums[end[own] - d2] - sums[end[own] - sizes[own]])
+        square[own] += w * w * (d2 - 1) * (sizes[own] - d2)
+    return value / np.sqrt(np.maximum(square, 1e-12))
 
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
@@ -380,7 +396,8 @@ class Scorer:
     """Word values of one worker, in a bounded cache, and documents' scores."""
 
     def __init__(self, model, most: int = CACHE_WORDS):
-        self.table, self.logit = model
+        table, self.logit = model
+        self.table, self.bias = table[:-1].astype(np.float32), float(table[-1])  # half the bytes to look up in
         self.cache: dict[str, float] = {}
         self.bare = _Bare(most)
         self.most = most
@@ -392,29 +409,29 @@ class Scorer:
             new = list(tokens)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            spans = [spans_of(t) for t in part]
-            flat = [w for x in spans for w in x]
-            values = apply_weights(flat, self.table[:-1]) + self.table[-1]
-            k = 0
-            for t, x in zip(part, spans):
-                self.cache[t] = float(values[k]) if len(x) == 1 else float(values[k : k + len(x)].max())
-                k += len(x)
+            words = list(map(self.bare.__getitem__, part))
+            values = (apply_weights(words, self.table) + self.bias).tolist()
+            self.cache.update(zip(part, values))
+            for t, w in zip(part, words):
+                if len(w) > 24:  # a long one counts by its worst stretch
+                    self.cache[t] = float(apply_weights(spans_of(t), self.table).max()) + self.bias
 
     def pairs(self, texts) -> list[list[float]]:
         """The values above 0 of each text's pairs whose words are not bad by themselves."""
         out: list[list[float]] = [[] for _ in texts]
-        words, open_, owner = [], [], []
+        words, follows, upto, first = [], bytearray(), [], 0
         for k, t in enumerate(texts):
             w, f = neighbours(t)
             words += w
-            open_ += f
-            owner += [k] * len(w)
+            follows += f
+            upto.append(len(words))
             if len(words) > 1 and (len(words) >= CHUNK_WORDS or k == len(texts) - 1):
-                values = pair_values(list(map(self.bare.__getitem__, words)), self.table[:-1]) + self.table[-1]
-                for j in np.flatnonzero((values > 0) & np.array(open_[:-1], bool)).tolist():
+                values = pair_values(list(map(self.bare.__getitem__, words)), self.table) + self.bias
+                hit = np.flatnonzero((values > 0) & (np.frombuffer(follows, np.uint8)[:-1] > 0))
+                for j, at in zip(hit.tolist(), (first + np.searchsorted(upto, hit, "right")).tolist()):
                     if self.cache.get(words[j], LOW) <= 0 and self.cache.get(words[j + 1], LOW) <= 0:
-                        out[owner[j]].append(float(values[j]))
-                words, open_, owner = [], [], []
+                        out[at].append(float(values[j]))
+                words, follows, upto, first = [], bytearray(), [], k + 1
         return out
 
     def score(self, text: str | None, found: set[str], pairs=()) -> float:

@@ -402,3 +402,25 @@ def test_trained_field_end_to_end(spark):
         assert np.isclose(got[k]["content_share"], share) and got[k]["n_boilerplate"] == sum(best)
         assert got[k]["kept"] == (not got[k]["base_failed"] and share >= quality_crf.KEEP_SHARE)
     assert np.mean([got[k]["n_boilerplate"] > 0 for k in range(101, 130, 2)]) > 0.9 > 0.1 > np.mean([got[k]["n_boilerplate"] > 0 for k in range(100, 130, 2)])
+
+
+def test_columns_of_any_type_pass_through(spark):
+    import datetime
+    from decimal import Decimal
+
+    base = prose(1, 60)
+    rows = [(k, base if k < 4 else prose(k, 50) + "\npassword = abcdefgh12345678", datetime.datetime(2020, 1, k + 1, 5), datetime.date(2020, 1, 1), Decimal("1.25"), ["a", None], {"k": k}, (k, ["x"]), bytearray(b"z"), 1.5) for k in range(8)]
+    kinds = "doc_id int, text string, ts timestamp, d date, dec decimal(10,2), arr array<string>, m map<string, int>, st struct<a: int, b: array<string>>, bin binary, x float"
+    docs = spark.createDataFrame(rows, kinds)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        want = {r["doc_id"]: r.asDict(True) for r in docs.drop("text").collect()}
+        model = toxicity.fit(spark.createDataFrame([(k, prose(k, 30) + (" moron" if k % 2 else "")) for k in range(20)], "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, toxic int"))
+        for out in (toxicity.below(docs, model, 1.1), secret_scan.redacted(docs), jaccard_join.keep_one(docs), line_dedup.with_kept(docs, 3), line_dedup.with_kept(docs, 3, broadcast_bytes=0)):
+            names = [c for c in docs.columns if c != "text"]
+            assert out.select(*docs.columns).schema == docs.schema
+            got = {r["doc_id"]: r.asDict(True) for r in out.select(*names).collect()}
+            assert got and all(got[k] == want[k] for k in got)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
