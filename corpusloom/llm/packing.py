@@ -31,10 +31,20 @@ CAPACITY = 4096
 SHARD_ROWS = 20_000
 CACHE_WORDS = 500_000
 
+def _below(text: str) -> bool:
+    """Whether all characters are below U+0130, the first whose lower case is longer; Latin-1 tells most texts quickly."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return max(text) < "İ"
+    return True
+
+
 class _Cache(dict):
     """Blank-free chunk to the bytes of its ids; words are independent, as this tokenizer drops white space.
 
-    Lower-case Latin words, with a full stop or comma after them, are merged here; all else goes to the library."""
+    Lower-case Latin words, with a full stop or comma after them, are merged here; all else goes to the library.  When
+    it is full, what is in it grows old and goes when it is full again, but for what is met meanwhile."""
 
     def __init__(self, path: str, most: int):
         from tokenizers import Tokenizer
@@ -43,11 +53,14 @@ class _Cache(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.merges = Merges(path)
+        self.old: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             self.special = [x["content"] for x in json.load(f)["added_tokens"]]
 
     def __missing__(self, word: str) -> bytes:
-        if word[-1] in ".," and word[:-1].isalpha() and word[-2] < "İ":
+        if (out := self.old.get(word)) is not None:
+            pass
+        elif word[-1] in ".," and word[:-1].isalpha() and word[-2] < "İ":
             out = self[word[:-1]] + self[word[-1]]
         elif word.isalpha() and max(word) < "İ" and word.islower():
             out = array("I", self.merges.merge(word.encode())).tobytes()
@@ -55,6 +68,7 @@ class _Cache(dict):
             out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(word) <= 64:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[word] = out
         return out
@@ -63,7 +77,7 @@ class _Cache(dict):
         """Little-endian unsigned 32-bit ids of a whole text."""
         if not text:
             return b""
-        plain = text.isascii() or max(text) < "İ"
+        plain = _below(text)
         if any(x in text for x in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1f\x85"):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return b"".join(map(self.__getitem__, (text.lower() if plain else text).split()))
