@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 M, EF_BUILD, EF_SEARCH = 16, 64, 112
-MIN_ROWS, SHARD_ROWS = 2048, 1 << 17
+EF_ROWS = 4096  # a search keeps EF_SEARCH candidates in a graph of so many nodes, more by the square root in larger ones
+MIN_ROWS, SHARD_ROWS = 2048, 1 << 15
 BLOCK_BYTES = 4 << 20  # of one row of a stored graph, about
 
 
@@ -213,6 +214,11 @@ def build(points: DataFrame, shards: int, k: int = 10) -> DataFrame:
     return C.map_arrow(dealt(points.select(shard.alias("shard"), "dims", "vec_id", "v"), shards, "vec_id"), run, INDEX)
 
 
+def width_for(rows: int, ef: int) -> int:
+    """Candidates that a search keeps: a wider search in a larger graph keeps recall level."""
+    return max(ef, math.ceil(ef * math.sqrt(rows / EF_ROWS)))
+
+
 class Stored:
     """A shard's graph, put together again from its rows."""
 
@@ -221,12 +227,13 @@ class Stored:
         self.x = np.frombuffer(whole["x"]).reshape(-1, dims)
         levels = [np.frombuffer(whole[k], np.int32).reshape(-1, widths[k]) for k in sorted(k for k in whole if k.isdigit())]
         self.graph = Graph(self.x, levels=levels, start=start)
+        self.rows = len(self.x)
         self.ids, self.first = np.frombuffer(whole["ids"], np.int64), np.frombuffer(whole["first"], np.int64)
 
     def near(self, own: int, q: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
         """The k nearest (distance, id) that are found; one row that is the query itself is left out."""
         out, left_out = [], False
-        for p in self.graph.search(q, k + 1, ef):
+        for p in self.graph.search(q, k + 1, width_for(self.rows, ef)):
             d = float(np.sqrt(((self.x[p] - q) ** 2).sum()))
             for i in self.ids[self.first[p] : self.first[p + 1]].tolist():
                 if d == 0 and i == own and not left_out:

@@ -148,7 +148,7 @@ def test_hnsw_recall_and_odd_vectors(spark):
 
 
 def test_shards_grow_with_rows_alone():
-    assert [hnsw.shards_for(n, 12) for n in (0, 2000, 10_000, 50_000, 10**7)] == [1, 1, 4, 12, 77]
+    assert [hnsw.shards_for(n, 12) for n in (0, 2000, 10_000, 50_000, 10**7)] == [1, 1, 4, 12, 306]
 
 
 def test_recall_over_several_shards(spark):
