@@ -14,6 +14,10 @@ from ..functions.text import HEADING_AUTHOR, HEADING_TITLE, any_rule, floor_perc
 #: Bounds of the gates.
 PDF_MAGIC, PDF_MIN_KB, PDF_MAX_MB, PDF_SAMPLE, PDF_DENSITY = "%PDF-", 10, 80, 51200, 0.05
 TEI_BODY_CHARS, TEI_GARBAGE, TEI_SECTIONS, TEI_HEADING_AUTHORS, TEI_REF_GARBAGE, TEI_BAD_REFS, HEAD_CHARS = 800, 0.35, 2, 0.5, 0.3, 0.5, 2
+#: The codes of reasons, those of files first, then those of documents; the last two only warn.
+READ_ERROR, INVALID_MAGIC, TOO_SMALL, TOO_LARGE, LIKELY_SCAN = "read_error", "invalid_magic", "too_small", "too_large", "likely_scan"
+PARSE_ERROR, TITLE_IS_TOC, NO_BODY, BODY_TOO_SHORT, HIGH_GARBAGE, FEW_SECTIONS = "parse_error", "title_is_toc", "no_body", "body_too_short", "high_garbage", "few_real_sections"
+AUTHORS_UNRELIABLE, REFS_UNRELIABLE = "grobid_authors_unreliable", "grobid_refs_unreliable"
 
 
 def _reasons(*found: Column) -> Column:
@@ -47,12 +51,12 @@ def gate_pdf(files: DataFrame, name: str = "name", length: str = "length", conte
     share = density(body)
     kb, mb = size / 1024, size / 1e6
     found = _reasons(
-        F.when(kb < PDF_MIN_KB, F.format_string("too_small: %.1fKB", kb)),
-        F.when(mb > PDF_MAX_MB, F.format_string("too_large: %.0fMB", mb)),
-        F.when(share < PDF_DENSITY, F.concat(F.lit("likely_scan: density="), F.format_string("%.1f", 100 * share), F.lit("%"))),
+        F.when(kb < PDF_MIN_KB, F.format_string(TOO_SMALL + ": %.1fKB", kb)),
+        F.when(mb > PDF_MAX_MB, F.format_string(TOO_LARGE + ": %.0fMB", mb)),
+        F.when(share < PDF_DENSITY, F.concat(F.lit(LIKELY_SCAN + ": density="), F.format_string("%.1f", 100 * share), F.lit("%"))),
     )
-    unread = F.array(F.lit("read_error"))
-    reasons = F.when(body.isNull(), unread).when(~magic, F.array(F.concat(F.lit("invalid_magic: "), _shown(F.substring(body, 1, 5))))).otherwise(found)
+    unread = F.array(F.lit(READ_ERROR))
+    reasons = F.when(body.isNull(), unread).when(~magic, F.array(F.concat(F.lit(INVALID_MAGIC + ": "), _shown(F.substring(body, 1, 5))))).otherwise(found)
     stem = F.regexp_replace(F.col(name), r"\.[^.]*$", "")
     out = files.select(F.col(name).alias("name"), handle_of(stem).alias("handle"), F.bround(mb, 2).alias("size_mb"), F.when(magic, F.bround(share, 3)).alias("text_density"), reasons.alias("reasons"))
     return out.withColumn("reject", F.size("reasons") > 0)
@@ -68,14 +72,14 @@ def gate_tei(parsed: DataFrame) -> DataFrame:
     garbage = garbage_ratio(body)
     good = F.size(F.filter("heads", lambda h: h.isNotNull() & (F.length(F.trim(h)) > HEAD_CHARS) & ~heading(h)))
     n_refs, bad_refs = F.size("ref_titles"), F.size(F.filter("ref_titles", lambda t: (t != "") & (garbage_ratio(t) > TEI_REF_GARBAGE)))
-    title = F.when((F.col("title") != "") & heading(F.col("title")), "title_is_toc")
-    authors = F.when((n_authors > 0) & (toc / n_authors > TEI_HEADING_AUTHORS), F.format_string("grobid_authors_unreliable: %d/%d", toc, n_authors))
-    refs = F.when((n_refs > 0) & (bad_refs / n_refs > TEI_BAD_REFS), F.format_string("grobid_refs_unreliable: %d/%d", bad_refs, n_refs))
-    short = F.when(F.length(body) < TEI_BODY_CHARS, F.format_string("body_too_short: %dch", F.length(body)))
-    noisy = F.when(garbage > TEI_GARBAGE, F.concat(F.lit("high_garbage: "), F.format_string("%.0f", 100 * garbage), F.lit("%")))
-    few = F.when(good < TEI_SECTIONS, F.format_string("few_real_sections: %d", good))
-    broken, bare = F.col("status") == "parse_error", F.col("body").isNull()
-    reasons = F.when(broken, F.array(F.lit("parse_error"))).when(bare, _reasons(title, authors, F.lit("no_body"))).otherwise(_reasons(title, authors, short, noisy, few, refs))
+    title = F.when((F.col("title") != "") & heading(F.col("title")), TITLE_IS_TOC)
+    authors = F.when((n_authors > 0) & (toc / n_authors > TEI_HEADING_AUTHORS), F.format_string(AUTHORS_UNRELIABLE + ": %d/%d", toc, n_authors))
+    refs = F.when((n_refs > 0) & (bad_refs / n_refs > TEI_BAD_REFS), F.format_string(REFS_UNRELIABLE + ": %d/%d", bad_refs, n_refs))
+    short = F.when(F.length(body) < TEI_BODY_CHARS, F.format_string(BODY_TOO_SHORT + ": %dch", F.length(body)))
+    noisy = F.when(garbage > TEI_GARBAGE, F.concat(F.lit(HIGH_GARBAGE + ": "), F.format_string("%.0f", 100 * garbage), F.lit("%")))
+    few = F.when(good < TEI_SECTIONS, F.format_string(FEW_SECTIONS + ": %d", good))
+    broken, bare = F.col("status") == PARSE_ERROR, F.col("body").isNull()
+    reasons = F.when(broken, F.array(F.lit(PARSE_ERROR))).when(bare, _reasons(title, authors, F.lit(NO_BODY))).otherwise(_reasons(title, authors, short, noisy, few, refs))
     rejects = F.when(broken | bare, F.lit(True)).otherwise(title.isNotNull() | short.isNotNull() | noisy.isNotNull() | few.isNotNull())
     metrics = F.struct(n_authors.alias("n_authors"), toc.alias("toc_authors"), F.length(body).alias("body_chars"), F.bround(garbage, 3).alias("garbage_ratio"), good.alias("good_sections"), F.size("heads").alias("total_sections"), n_refs.alias("n_refs"))
     stem = F.regexp_replace("name", r"(\.tei)?\.[^.]*$", "")
