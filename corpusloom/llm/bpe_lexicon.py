@@ -40,7 +40,7 @@ PIECE = regex.compile(PATTERN.replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{W
 LEXICON_WORDS = 1 << 16
 LONGEST = 64  # characters of a chunk in the lexicon; longer ones are merged as unseen words are
 FLUSH_CHUNKS = 600_000
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -68,6 +68,13 @@ class Merges:
         for k, (a, b) in enumerate(x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"]):
             self.rank.setdefault(vocab[a] * self.size + vocab[b], k)
             self.made.append(vocab[(a.removesuffix(suffix) if suffix else a) + b])
+        none: dict[int, int] = {}
+        self.after: list[dict[int, int]] = [none] * self.size  # of each id, the rank of its merge with the id that follows
+        for key, k in self.rank.items():
+            a, b = divmod(key, self.size)
+            if self.after[a] is none:
+                self.after[a] = {}
+            self.after[a][b] = k
         self.token = [b""] * self.size
         self.decimal = list(map(str, range(self.size)))
         for s, i in vocab.items():
@@ -81,16 +88,16 @@ class Merges:
             ids[-1] = self.last[word[-1]]
         if len(ids) > 48:
             return self._merge_long(ids)
-        get, size, none, made = self.rank.get, self.size, len(self.made), self.made
-        ranks = [get(a * size + b, none) for a, b in zip(ids, ids[1:])]
+        after, none, made = self.after, len(self.made), self.made
+        ranks = [after[a].get(b, none) for a, b in zip(ids, ids[1:])]
         while ranks and (best := min(ranks)) < none:
             at = ranks.index(best)
             ids[at] = new = made[best]
             del ids[at + 1], ranks[at]
             if at:
-                ranks[at - 1] = get(ids[at - 1] * size + new, none)
+                ranks[at - 1] = after[ids[at - 1]].get(new, none)
             if at < len(ranks):
-                ranks[at] = get(new * size + ids[at + 1], none)
+                ranks[at] = after[new].get(ids[at + 1], none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -219,23 +226,39 @@ class Lexicon:
         return bytes(self.ids[4 * self.offset[number] : 4 * self.offset[number + 1]])
 
 
+def _latin_word(word: str) -> bool:
+    """Letters of Latin-1 alone: the tokenizer's pattern leaves such a word whole and parts it from marks."""
+    if word.isascii():
+        return word.isalpha()
+    try:
+        word.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return word.isalpha()
+
+
 class _Cache(dict):
-    """chunk to id bytes; it starts anew when it is full."""
+    """chunk to id bytes; when it is full, what is in it grows old and goes when it is full again, but for what is met
+    meanwhile."""
 
     def __init__(self, lexicon: Lexicon, merges: Merges, most: int):
         self.lexicon, self.merges, self.most = lexicon, merges, most
         self.beginnings = lexicon.beginnings()
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        if chunk[-1] in ".,!" and chunk[:-1].strip(" ").isalpha() and chunk[:-1].isascii():  # the pattern parts these
+        if (out := self.old.get(chunk)) is not None:
+            pass
+        elif chunk[-1] in ".,!" and _latin_word(chunk[:-1].lstrip(" ")):
             out = self[chunk[:-1]] + self[chunk[-1]]
         else:
             raw = chunk.encode()
             out = self.lexicon.find(raw) if raw[:6] in self.beginnings else None
             if out is None:
-                out = array("I", self.merges.pieces(chunk)).tobytes()
+                out = array("I", self.merges.merge(raw) if _latin_word(chunk.lstrip(" ")) else self.merges.pieces(chunk)).tobytes()
         if len(chunk) <= 64:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = out
         return out
