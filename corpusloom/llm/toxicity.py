@@ -333,14 +333,14 @@ def _part_values(value: np.ndarray, parts: np.ndarray) -> np.ndarray:
     return np.where(parts >= 0, value[parts], LOW).max(1) if len(parts) else np.zeros(0)
 
 
-def _worst(values) -> tuple[float, float]:
-    first = second = LOW
-    for v in values:
-        if v > first:
-            first, second = v, first
-        elif v > second:
-            second = v
-    return min(3.0, first), min(3.0, second)
+def _worst(values: list[float]) -> tuple[float, float]:
+    """The two largest values, between LOW and 3."""
+    if not values:
+        return LOW, LOW
+    first = max(values)
+    values.remove(first)
+    second = max(values, default=LOW)
+    return min(3.0, max(LOW, first)), min(3.0, max(LOW, second))
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = SAMPLE_DOCS, where=None):
