@@ -243,7 +243,8 @@ def _first_scores(words: list[str], docs: list[tuple[int, np.ndarray]]) -> np.nd
     n1 = sum(y for y, _ in docs)
     n0 = len(docs) - n1
     c, owner = _codes(words)
-    owners, buckets = [], []
+    owner = owner.astype(np.int32)
+    found = []  # of each length: the stretches' buckets, word after word, and where each word's begin
     for n in (4, 5, 6):
         if len(c) >= n:
             h = np.zeros(len(c) - n + 1, np.uint64)
@@ -251,21 +252,23 @@ def _first_scores(words: list[str], docs: list[tuple[int, np.ndarray]]) -> np.nd
                 for k in range(n):
                     h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + c[k : len(c) - n + 1 + k].astype(np.uint64)
                 h ^= h >> np.uint64(32)
+            h %= np.uint64(GRAM_BUCKETS)
             same = owner[: len(c) - n + 1] == owner[n - 1 :]
-            owners.append(owner[: len(c) - n + 1][same])
-            buckets.append((h[same] % np.uint64(GRAM_BUCKETS)).astype(np.int32))
-    owner, bucket = np.concatenate(owners), np.concatenate(buckets)
-    order = np.argsort(owner, kind="stable")
-    bucket, at = bucket[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
+            found.append((h.astype(np.int32)[same], np.searchsorted(owner[: len(c) - n + 1][same], np.arange(len(words) + 1))))
+            del h, same
     seen = np.zeros((2, GRAM_BUCKETS), np.int32)
     for y, ids in docs:
         if len(ids):
-            seen[y][np.unique(np.concatenate([bucket[at[k] : at[k + 1]] for k in np.unique(ids)]))] += 1
-    p1, p0 = seen[1] / n1, seen[0] / n0
-    p = (seen[0] + seen[1]) / (n1 + n0)
-    z = np.where(seen[1] > 1, (p1 - 3 * p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12), 0.0)
+            seen[y][np.unique(np.concatenate([bucket[at[k] : at[k + 1]] for bucket, at in found for k in np.unique(ids).tolist()]))] += 1
+    told = np.flatnonzero(seen[1] > 1)
+    p1, p0 = seen[1][told] / n1, seen[0][told] / n0
+    p = (seen[0][told] + seen[1][told]) / (n1 + n0)
+    z = np.zeros(GRAM_BUCKETS)
+    z[told] = (p1 - 3 * p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
+    del seen
     out = np.zeros(len(words))
-    np.maximum.at(out, np.repeat(np.arange(len(words)), np.diff(at)), z[bucket])
+    for bucket, at in found:
+        np.maximum.at(out, np.repeat(np.arange(len(words), dtype=np.int32), np.diff(at)), z[bucket])
     return out
 
 
@@ -376,7 +379,14 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: in
     phrases = {r["pair"] for r in counts.where((F.col("n1") > 1) & (ahead > 0)).orderBy(ahead.desc(), "pair").limit(PHRASES).collect()}
     rows = sorted((r["y"], r["words"]) for r in C.map_texts(sample, run, "y int, words string").collect())
     C.forget(sample)
-    return train((y, ws.split("\n") if ws else []) for y, ws in rows)
+
+    def taken():
+        while rows:  # a document's text of units goes as it is read
+            y, ws = rows.pop()
+            yield y, ws.split("\n") if ws else []
+
+    rows.reverse()
+    return train(taken())
 
 
 class _Bare(dict):
