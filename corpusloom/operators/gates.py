@@ -24,6 +24,11 @@ def _reasons(*found: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def _fixed(x: Column, digits: int) -> Column:
+    """A number with so many decimals, halves to even; format_string alone rounds them up."""
+    return F.format_string(f"%.{digits}f", F.bround(x, digits))
+
+
 def _bytes_text(x: Column) -> Column:
     """Bytes one to one as characters."""
     return F.decode(x, "ISO-8859-1")
@@ -51,9 +56,9 @@ def gate_pdf(files: DataFrame, name: str = "name", length: str = "length", conte
     share = density(body)
     kb, mb = size / 1024, size / 1e6
     found = _reasons(
-        F.when(kb < PDF_MIN_KB, F.format_string(TOO_SMALL + ": %.1fKB", kb)),
-        F.when(mb > PDF_MAX_MB, F.format_string(TOO_LARGE + ": %.0fMB", mb)),
-        F.when(share < PDF_DENSITY, F.concat(F.lit(LIKELY_SCAN + ": density="), F.format_string("%.1f", 100 * share), F.lit("%"))),
+        F.when(kb < PDF_MIN_KB, F.concat(F.lit(TOO_SMALL + ": "), _fixed(kb, 1), F.lit("KB"))),
+        F.when(mb > PDF_MAX_MB, F.concat(F.lit(TOO_LARGE + ": "), _fixed(mb, 0), F.lit("MB"))),
+        F.when(share < PDF_DENSITY, F.concat(F.lit(LIKELY_SCAN + ": density="), _fixed(100 * share, 1), F.lit("%"))),
     )
     unread = F.array(F.lit(READ_ERROR))
     reasons = F.when(body.isNull(), unread).when(~magic, F.array(F.concat(F.lit(INVALID_MAGIC + ": "), _shown(F.substring(body, 1, 5))))).otherwise(found)
@@ -76,7 +81,7 @@ def gate_tei(parsed: DataFrame) -> DataFrame:
     authors = F.when((n_authors > 0) & (toc / n_authors > TEI_HEADING_AUTHORS), F.format_string(AUTHORS_UNRELIABLE + ": %d/%d", toc, n_authors))
     refs = F.when((n_refs > 0) & (bad_refs / n_refs > TEI_BAD_REFS), F.format_string(REFS_UNRELIABLE + ": %d/%d", bad_refs, n_refs))
     short = F.when(F.length(body) < TEI_BODY_CHARS, F.format_string(BODY_TOO_SHORT + ": %dch", F.length(body)))
-    noisy = F.when(garbage > TEI_GARBAGE, F.concat(F.lit(HIGH_GARBAGE + ": "), F.format_string("%.0f", 100 * garbage), F.lit("%")))
+    noisy = F.when(garbage > TEI_GARBAGE, F.concat(F.lit(HIGH_GARBAGE + ": "), _fixed(100 * garbage, 0), F.lit("%")))
     few = F.when(good < TEI_SECTIONS, F.format_string(FEW_SECTIONS + ": %d", good))
     broken, bare = F.col("status") == PARSE_ERROR, F.col("body").isNull()
     reasons = F.when(broken, F.array(F.lit(PARSE_ERROR))).when(bare, _reasons(title, authors, F.lit(NO_BODY))).otherwise(_reasons(title, authors, short, noisy, few, refs))

@@ -58,6 +58,16 @@ def document(title="A plain title", persons=("Ana Souza",), heads=("Introdução
     return f'<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>{title}</title></titleStmt><sourceDesc><biblStruct><analytic>{people}</analytic></biblStruct></sourceDesc></fileDesc></teiHeader><text><body>{divs}</body><back><listBibl>{listed}</listBibl></back></text></TEI>'
 
 
+def test_gates_round_halves_to_even(spark):
+    pdf = b"%PDF-" + b"x" * 100
+    df = spark.createDataFrame([("1.pdf", 7424, pdf), ("2.pdf", 7936, pdf), ("3.pdf", 90_500_000, pdf), ("4.pdf", 91_500_000, pdf)], "name string, length long, content binary")
+    got = {r["handle"]: r["reasons"] for r in gates.gate_pdf(df).collect()}
+    assert got == {"1": ["too_small: 7.2KB"], "2": ["too_small: 7.8KB"], "3": ["too_large: 90MB"], "4": ["too_large: 92MB"]}
+    body = ("a" * 123 + "#" * 77) * 5  # 38.5 %
+    outline = spark.createDataFrame([("1.xml", "ok", "", [], body, ["One", "Two"], [])], tei.OUTLINE)
+    assert gates.gate_tei(outline).first()["reasons"] == ["high_garbage: 38%"]
+
+
 def test_tei_gate(spark):
     docs = {
         "1_1": document(), "1_2": "<broken", "1_3": '<TEI xmlns="http://www.tei-c.org/ns/1.0"/>', "1_4": document(title="Capítulo 3 2005"),
