@@ -33,6 +33,17 @@ def test_same_rows_as_sql(spark, small, oracle, source, name):
     assert rows(got) == rows(want)
 
 
+def test_titles_of_odd_texts_are_those_of_the_sql(spark, tmp_path):
+    texts = ["Ao dr. Silva, obrigado", "", None, "A real title of a work", "Dedico este trabalho a"]
+    spark.createDataFrame([(3 * k + r, t) for k, t in enumerate(texts) for r in range(3)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, f"{k % 5}-X") for k in range(15)], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "orders"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = operator_queries.run("PRJ16", Corpus(spark, str(tmp_path))).toPandas()
+    assert rows(got) == rows(con.sql(operator_queries.oracle("PRJ16")).df())
+
+
 def test_random_samples_are_repeatable(spark, small):
     for name in ("A07",):
         a, b = (catalog.run(name, Corpus(spark, small)).collect() for _ in range(2))
