@@ -22,20 +22,29 @@ def node(*parts) -> Column:
     return F.concat(F.lit("base:11422_"), F.col("doc_id").cast("string"), *(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
 
 
-def work_triples(c: Corpus) -> DataFrame:
-    """Works, sections, paragraphs and references, before set semantics."""
-    w, sec, par, ref = c.works, c.sections, c.paragraphs, c.refs
-    sec_id, par_id, ref_id = node("_sec_", F.col("i")), node("_sec_", F.col("i"), "_para_", F.col("j")), node("_ref_", F.col("k"))
-    both = F.explode(F.array_distinct(F.array(F.concat(F.lit("deo:"), F.col("class")), F.lit("doco:Section"))))
+def description_triples(c: Corpus) -> DataFrame:
+    """What is said of the works themselves, before set semantics; titles and languages come without the joins of a work."""
+    w, t = c.works, c.texts
     parts = [
         _rows(w, node(), "a", F.concat(F.lit("fabio:"), F.col("type")), "iri"),
-        _rows(w, node(), "a", F.lit("fabio:Work"), "iri"),
+        _rows(t, node(), "a", F.lit("fabio:Work"), "iri"),
         _rows(w, node(), "bibo:handle", F.col("handle")),
-        _rows(w, node(), "dcterms:title", F.col("title")),
+        _rows(t, node(), "dcterms:title", F.col("title")),
         _rows(w.where("date_lex is not null"), node(), "dcterms:date", F.col("date_lex"), "lit", "xsd:date"),
-        _rows(w, node(), "dcterms:language", F.col("lang")),
+        _rows(t, node(), "dcterms:language", F.col("lang")),
         _rows(c.creators, node(), "dcterms:creator", F.col("creator")),
         _rows(c.subjects, node(), "dcterms:subject", F.col("subject")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def work_triples(c: Corpus) -> DataFrame:
+    """Works, sections, paragraphs and references, before set semantics."""
+    sec, par, ref = c.sections, c.paragraphs, c.refs
+    sec_id, par_id, ref_id = node("_sec_", F.col("i")), node("_sec_", F.col("i"), "_para_", F.col("j")), node("_ref_", F.col("k"))
+    both = F.explode(F.array_distinct(F.array(F.concat(F.lit("deo:"), F.col("class")), F.lit("doco:Section"))))
+    parts = [
+        description_triples(c),
         _rows(sec, node(), "po:contains", sec_id, "iri"),
         _rows(sec.select("doc_id", "i", both.alias("t")), sec_id, "a", F.col("t"), "iri"),
         _rows(sec, sec_id, "dcterms:title", F.col("head")),

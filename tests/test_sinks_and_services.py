@@ -5,8 +5,9 @@ import json
 import threading
 
 import pytest
-from corpusloom.plans import graph, report
+from corpusloom.plans import graph, operator_queries, report
 from corpusloom.sources import services, sinks, storage, turtle
+from corpusloom.sources.adapters import Corpus
 from corpusloom.streaming import harvest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,14 @@ def test_triple_store(spark, tmp_path):
     assert {(r["s"], r["o"]) for r in storage.read(spark, at).where("p = 'p'").collect()} == {("a", "9"), ("c", "2")}
 
 
+def test_small_graph_makes_nothing_of_sections_and_references(spark, small):
+    g = operator_queries.small_graph(Corpus(spark, small))
+    tables = {f.rsplit("/", 1)[-1] for f in g.inputFiles()}
+    assert tables == {"documents.parquet", "orders.parquet", "customer.parquet"}
+    every = graph.as_set(graph.work_triples(Corpus(spark, small))).where("p in ('dcterms:title', 'dcterms:creator', 'dcterms:subject') and s not like '%!_sec!_%' escape '!' and s not like '%!_ref!_%' escape '!'")
+    assert g.count() > 0 and sorted(g.collect()) == sorted(every.collect())
+
+
 def test_turtle_round_trip(spark, tmp_path):
     g = triples(spark, [("base:a", "a", "base:C", "iri", ""), ("base:a", "x:t", 'say "hi"\\\nnext', "lit", ""), ("base:b", "x:d", "2005", "lit", "xsd:gYear")])
     sinks.write_turtle(g, f"file://{tmp_path}/ttl", {"base": "http://b/", "x": "http://x/", "xsd": "http://w/"})
