@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
+from .workers import map_slices
+
 #: Retries of a request, the factor between waits and the statuses that are tried again.
 RETRIES, BACKOFF, AGAIN = 5, 3.0, (429, 500, 502, 503, 504)
 
@@ -42,18 +44,18 @@ def with_client(rows: DataFrame, key: str, text: str, make: Callable[[], Callabl
     if concurrency:
         rows = rows.repartition(concurrency)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(slices: Iterator[dict[str, list]]) -> Iterator[list[dict]]:
         client = make()
-        for b in batches:
+        for b in slices:
             out = []
             for k, t in zip(b[key], b[text]):
                 try:
-                    out.append((k, client(t), None))
+                    out.append({key: k, "answer": client(t)})
                 except Exception as e:  # whatever a service raises
-                    out.append((k, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=[key, "answer", "error"])
+                    out.append({key: k, "error": f"{type(e).__name__}: {e}"})
+            yield out
 
-    return rows.select(key, text).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, answer string, error string")
+    return map_slices(rows.select(key, text), run, f"{key} {rows.schema[key].dataType.simpleString()}, answer string, error string")
 
 
 # structuring PDF files

@@ -3,9 +3,11 @@
 import io
 import urllib.error
 
+import pyarrow as pa
 from corpusloom.plans import report
-from corpusloom.sources import services, tei
+from corpusloom.sources import services, tei, workers
 from corpusloom.sources.adapters import Corpus
+from pyspark.sql import functions as F
 
 TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>A  title</title></titleStmt>
 <sourceDesc><biblStruct><analytic><author><persName><forename>Ana</forename><surname>Souza</surname></persName></author></analytic></biblStruct></sourceDesc></fileDesc>
@@ -44,6 +46,23 @@ def test_fetch_tries_again():
     assert services.fetch("u", opener=gone, sleep=waits.append) is None and len(waits) == 2
 
 
+def test_workers_hold_few_rows_at_once(spark):
+    batch = pa.RecordBatch.from_pydict({"k": list(range(1000)), "t": ["x" * 100] * 990 + ["y" * workers.SLICE_BYTES] * 5 + [None] * 5})
+    got = list(workers.slices([batch, batch.slice(0, 0)]))
+    assert [k for b in got for k in b["k"]] == list(range(1000)) and [t for b in got for t in b["t"]] == batch["t"].to_pylist()
+    assert max(len(b["k"]) for b in got) <= workers.SLICE_ROWS and all(len(b["t"]) == 1 or sum(len(t or "") for t in b["t"]) <= workers.SLICE_BYTES for b in got)
+    xml = "<TEI xmlns='http://www.tei-c.org/ns/1.0'><text><body><div><head>One</head><p>" + "word " * 2000 + "</p></div></body></text></TEI>"
+    df = spark.range(0, 1000, 1, 1).select(F.col("id").cast("string").alias("name"), F.lit(xml).alias("content"))
+    for plan in (tei.parse_table(df), tei.outline(df), services.with_client(df, "name", "content", lambda: str)):
+        assert "MapInArrow" in plan._jdf.queryExecution().executedPlan().toString()
+    assert tei.parse_table(df).where("status = 'ok' and size(sections) = 1").count() == 1000
+
+
+def test_large_ids_beside_null_ones_stay_exact(spark):
+    rows = spark.createDataFrame([(2**53 + 1, "a"), (None, "b")], "id long, t string").coalesce(1)
+    assert sorted(services.with_client(rows, "id", "t", lambda: str.upper).select("id", "answer").collect(), key=str) == [(2**53 + 1, "A"), (None, "B")]
+
+
 def test_clients_report_errors(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "boom")], "id long, text string")
 
