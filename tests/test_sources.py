@@ -4,7 +4,7 @@ import io
 import urllib.error
 
 import pyarrow as pa
-from corpusloom.plans import report
+from corpusloom.plans import operator_queries, report
 from corpusloom.sources import services, tei, workers
 from corpusloom.sources.adapters import Corpus
 from pyspark.sql import functions as F
@@ -58,6 +58,11 @@ def test_workers_hold_few_rows_at_once(spark):
     assert tei.parse_table(df).where("status = 'ok' and size(sections) = 1").count() == 1000
 
 
+def test_sections_come_from_sliced_workers(spark, small):
+    plan = operator_queries.run("UD4", Corpus(spark, small))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+
+
 def test_large_ids_beside_null_ones_stay_exact(spark):
     rows = spark.createDataFrame([(2**53 + 1, "a"), (None, "b")], "id long, t string").coalesce(1)
     assert sorted(services.with_client(rows, "id", "t", lambda: str.upper).select("id", "answer").collect(), key=str) == [(2**53 + 1, "A"), (None, "B")]
