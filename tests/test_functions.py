@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from corpusloom.functions import rules
 from corpusloom.functions import text as fn
 from corpusloom.operators import audits, records
 from corpusloom.plans import graph
@@ -135,3 +136,24 @@ def test_triples_are_a_set(spark):
     new = spark.createDataFrame([("a", "2")], "s string, o string")
     assert {r["o"] for r in graph.replace_values(g, "p", new).where("p = 'p'").collect()} == {"2"}
     assert graph.turtle(graph.as_set(g)).first()["block"] == 'a\n    p "1" ;\n    q b .'
+
+
+def test_alternatives_find_what_each_pattern_finds(spark):
+    for patterns in (rules.CONTENT_PHRASES, rules.TARGET_HEADS, fn.NOISE_TITLE, fn.HEADING_AUTHOR, [r"\bab|cd", r"\bk?x", r"\b(?:one|two)\b", r"\bkelvin", r"\bin[|]de"]):
+        texts = ["", "xcd", "X", "x kelvin", "\u212aELVIN", "akelvin", "in|de", "two", "WE CONCLUDE", "awe conclude", "\u0130t was shown that", "\u0131n this work we presented", "\u017fugestões para trabalhos futuros", "éin this work it presented", "Os resultados\u00a0mostram", "the results indicate", "conclui-se  que", "Conclusão", "xconclusão", "VII - CONCLUSÕES", "Capítulo 5 Resultados", "final", "trabalho futuro incluirá", "Recomendações", "o UFRJ parte dos requisitos", "....." ]
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        plain = F.col("t").rlike("(?iuU)" + "|".join(f"(?:{p})" for p in patterns))
+        assert df.where(~F.col("t").isNull() & (fn.any_rule(F.col("t"), patterns, "(?iuU)") != plain)).collect() == []
+    shared = fn.alternatives(rules.CONTENT_PHRASES)  # one look at the border for all that open at one
+    assert shared.count("(?=") == 1 and all(f"|{p}" not in shared for p in rules.CONTENT_PHRASES)
+    assert fn.alternatives([r"\bab|cd", r"\bk?x"]) == r"(?:\bab|cd)|(?:\bk?x)"
+
+
+def test_json_is_repaired_without_patterns_where_it_is_whole(spark):
+    raw = [None, "", "no braces", '{"a": [1, 2', '  {"a": {"é": ["x"', '```json\n{"a": 1}\n```', '```json {"a": [1 ```\n', 'text {"a": 1}', '{"a": "```"}', '{"a": 1}]]', "[1, {", "``` ```"]
+    df = spark.createDataFrame([(x,) for x in raw], "x string")
+    body = F.regexp_replace(F.regexp_replace(F.trim("x"), r"^```(?:json)?\s*|\s*```$", ""), r"^[^{]*", "")
+    missing = lambda a, b: F.greatest(F.regexp_count(body, F.lit(a)) - F.regexp_count(body, F.lit(b)), F.lit(0))
+    plain = F.concat(body, F.repeat(F.lit("]"), missing(r"\[", r"\]")), F.repeat(F.lit("}"), missing(r"\{", r"\}")))
+    assert df.where(~fn.repair_json(F.col("x")).eqNullSafe(plain)).collect() == []
+    assert "regexp_count" not in str(fn.repair_json(F.col("x")))
