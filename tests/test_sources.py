@@ -1,6 +1,7 @@
 """TEI, services, harvesting and reports on literal input."""
 
 import io
+import os
 import urllib.error
 
 import pyarrow as pa
@@ -63,6 +64,21 @@ def test_sections_come_from_sliced_workers(spark, small):
     assert "MapInArrow" in plan and "MapInPandas" not in plan
 
 
+def test_a_worker_grows_little_over_its_documents(spark, monkeypatch):
+    """A task of 100 MB of documents in one partition: what its worker holds, from document to document."""
+    real = tei.parse
+
+    def parse(content):
+        with open("/proc/self/statm") as f:
+            return real(content) | {"body_chars": int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")}
+
+    monkeypatch.setattr(tei, "parse", parse)
+    xml = "<TEI xmlns='http://www.tei-c.org/ns/1.0'><text><body><div><head>One</head><p>" + "word " * 2000 + "</p></div></body></text></TEI>"
+    df = spark.range(0, 10000, 1, 1).select(F.col("id").cast("string").alias("name"), F.lit(xml).alias("content"))
+    told = tei.parse_table(df).where("size(sections) = 1").agg(F.count("*").alias("n"), (F.max("body_chars") - F.min("body_chars")).alias("grown")).first()
+    assert told["n"] == 10000 and told["grown"] < 64 << 20, told
+
+
 def test_large_ids_beside_null_ones_stay_exact(spark):
     rows = spark.createDataFrame([(2**53 + 1, "a"), (None, "b")], "id long, t string").coalesce(1)
     assert sorted(services.with_client(rows, "id", "t", lambda: str.upper).select("id", "answer").collect(), key=str) == [(2**53 + 1, "A"), (None, "B")]
